@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from barline.functions.numeric import clamp, points, ratio, rnd
 from barline.operators.series import by_day, true_range
-from barline.session import shuffle_partitions
 
 LOOKBACK = 90
 MIN_BARS = 150
@@ -31,12 +30,23 @@ def mark_local_highs(bars: DataFrame) -> DataFrame:
     )
 
 
-def at_sessions(bars: DataFrame, as_of: list[date], keep: int = TREND_BARS) -> DataFrame:
-    """Each (ticker, as-of) with its newest `keep` bars, `back` counting from 1 = newest."""
+def near_sessions(bars: DataFrame, as_of: list[date], keep: int) -> DataFrame:
+    """Bars that any as-of day can reach, with `n_bars` (place in the series) and `ends`, the
+    number of bars each as-of day sees."""
+    whole = W.partitionBy("ticker")
+    ends = F.array(*[F.count(F.when(F.col("dt") <= F.lit(d), 1)).over(whole).cast("int") for d in as_of])
+    numbered = bars.withColumns({"n_bars": F.row_number().over(by_day("ticker")), "ends": ends})
+    return numbered.filter((F.col("n_bars") > F.array_min("ends") - keep) & (F.col("n_bars") <= F.array_max("ends")))
+
+
+def at_sessions(near: DataFrame, as_of: list[date], keep: int = TREND_BARS) -> DataFrame:
+    """Each (ticker, as-of) with its newest `keep` bars, `back` counting from 1 = newest. The
+    expansion happens inside each ticker's partition, so it needs no further shuffle."""
     days = F.array(*[F.lit(d) for d in as_of])
-    rows = bars.withColumn("as_of", F.explode(F.filter(days, lambda d: d >= F.col("dt"))))
-    newest = W.partitionBy("ticker", "as_of").orderBy(F.col("dt").desc())
-    return rows.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= keep)
+    places = F.arrays_zip(days.alias("as_of"), F.col("ends").alias("n"))
+    seen = F.filter(places, lambda p: (p["n"] >= F.col("n_bars")) & (p["n"] - F.col("n_bars") < keep))
+    rows = near.withColumn("p", F.explode(seen))
+    return rows.withColumns({"as_of": F.col("p.as_of"), "total": F.col("p.n"), "back": F.col("p.n") - F.col("n_bars") + 1}).drop("p", "ends")
 
 
 def merge_close_highs(highs: Column) -> Column:
@@ -93,7 +103,7 @@ def bar_measures(rows: DataFrame) -> DataFrame:
         F.col("is_high") & (back <= LOOKBACK - 10) & (back >= 6), F.struct((-back).alias("o"), F.col("high").alias("v"))
     )))
     return rows.groupBy("ticker", "as_of").agg(
-        F.max("n_bars").alias("n_bars"),
+        F.max("total").alias("n_bars"),
         F.max(F.when(back == 1, F.col("close"))).alias("price"),
         mean("close", 150).alias("ma150"), mean("close", TREND_BARS).alias("ma200"),
         mean("tr", 10).alias("atr10"), mean("tr", 60).alias("atr60"),
@@ -107,9 +117,8 @@ def bar_measures(rows: DataFrame) -> DataFrame:
 def contraction_score(bars: DataFrame, as_of: list[date], min_bars: int = MIN_BARS) -> DataFrame:
     """Score and measures of every ticker with enough bars at each as-of day, with the 200-bar
     mean (null below 200 bars) so that a screen needs no second pass over the bars."""
-    spread = bars.repartition(shuffle_partitions(bars.sparkSession), "ticker")  # array work, few bytes
-    numbered = spread.withColumn("n_bars", F.row_number().over(by_day("ticker")))
-    rows = at_sessions(true_range(mark_local_highs(numbered)), as_of)
+    near = near_sessions(bars, as_of, TREND_BARS + 16)  # room for the high test and the previous close
+    rows = at_sessions(true_range(mark_local_highs(near)), as_of)
     base = bar_measures(rows).filter(F.col("n_bars") >= min_bars)
 
     size = F.size("window")

@@ -53,10 +53,15 @@ def position(
     return running_total(df, by, order, F.lit(1).cast("long"), out, small).withColumn(out, F.col(out).cast("int"))
 
 
+def percent_of(part: Column, whole: Column) -> Column:
+    """100 * part / whole to one decimal, half up, in whole-number arithmetic."""
+    return F.floor((part * 2000 + whole) / (whole * 2)) / 10
+
+
 def percent_at_or_below(
     df: DataFrame, by: list[str], value: str, out: str, small: bool | None = None
 ) -> DataFrame:
-    """100 * count(v <= value) / count(v) within `by`, rows with a null value get null."""
+    """100 * count(v <= value) / count(v) within `by` to one decimal; null where value is null."""
     if not by:
         return percent_at_or_below(df.withColumn("_one", F.lit(1)), ["_one"], value, out, small).drop("_one")
     if small is None:
@@ -64,14 +69,14 @@ def percent_at_or_below(
     if small:
         # The ordered frame includes ties, and count() leaves nulls out of both numbers.
         everyone = W.partitionBy(*by)
-        share = F.count(value).over(everyone.orderBy(value)) / F.count(value).over(everyone) * 100
+        share = percent_of(F.count(value).over(everyone.orderBy(value)), F.count(value).over(everyone))
         return df.withColumn(out, F.when(F.col(value).isNotNull(), share))
 
     # One row per distinct value: a value shared by a third of the rows is one row here.
     levels = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     ladder = running_total(levels, by, [F.col(value)], F.col("_n"), "_upto", small=False)
     totals = levels.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    scale = ladder.join(totals, by).select(*by, value, (F.col("_upto") / F.col("_all") * 100).alias(out))
+    scale = ladder.join(totals, by).select(*by, value, percent_of(F.col("_upto"), F.col("_all")).alias(out))
     return df.join(scale, [*by, value], "left")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,6 @@ def raw_percentiles(returns: DataFrame, by: list[str], small: bool | None = None
     out = returns
     for h in HORIZON_KEYS:
         out = ranking.percent_at_or_below(out, by, f"ret_{h}", f"raw_{h}", small)
-        out = out.withColumn(f"raw_{h}", rnd(F.col(f"raw_{h}"), 1))
     return out
 
 
@@ -214,34 +214,51 @@ def setup_tier(strict_reference: bool = False) -> Column:
     )
 
 
-def _best(rows: DataFrame, order: list[Column], direction: str) -> DataFrame:
-    return rows.orderBy(*order).limit(1).withColumn("direction", F.lit(direction))
+# Pick directions in the order they choose.
+DIRECTIONS = ["minervini", "momentum", "vcp"]
 
 
 def top_picks(ranked: DataFrame, strict_reference: bool = False) -> DataFrame:
     """Up to three different tickers: best setup, largest rank gain, best contraction shape.
 
     When a direction's first choice is taken already, the next one comes from its fallback pool:
-    rank order, except the rank gain, which keeps its own order.
+    rank order, except the rank gain, which keeps its own order. At most two tickers can be
+    taken, so three candidates per list decide everything: one pass over the ranked rows cuts
+    them to a dozen.
     """
-    rs, vcp = F.col("rs_score"), F.col("contraction_score")
-    rows = ranked.withColumn("tier", setup_tier(strict_reference))
-    setup = _best(rows.filter(F.col("tier").isNotNull()),
-                  [F.col("tier"), F.col("combined_score").desc(), F.col("rank")], "minervini")
-
-    gained = rows.filter((F.col("rank_change") > 0) & (rs >= 65))
-    gain_order = [F.col("rank_change").desc(), F.col("rank")]
-    free = gained.join(setup.select("ticker"), "ticker", "left_anti")
-    gain = _best(free, gain_order, "momentum")
-
-    shaped = rows.filter((vcp >= 75) & (rs >= 70)).withColumn("_shape", rnd(vcp * 0.7 + rs * 0.3, 4))
-    taken = setup.select("ticker").unionByName(gain.select("ticker"))
-    shape_first = _best(shaped, [F.col("_shape").desc(), F.col("rank")], "vcp")
-    first_free = shape_first.join(taken, "ticker", "left_anti").withColumn("_choice", F.lit(1))
-    fallback = _best(shaped.join(taken, "ticker", "left_anti"), [F.col("rank")], "vcp").withColumn("_choice", F.lit(2))
-    shape = first_free.unionByName(fallback).orderBy("_choice").limit(1).drop("_choice", "_shape")
-    picks = setup.unionByName(gain).unionByName(shape)
-    return picks.withColumn("reason", pick_reason()).drop("tier")
+    rs, vcp, rank = F.col("rs_score"), F.col("contraction_score"), F.col("rank")
+    score, gain = F.col("combined_score"), F.col("rank_change")
+    tier = setup_tier(strict_reference)
+    in_shape = (vcp >= 75) & (rs >= 70)
+    entry = lambda name, *keys: F.struct(
+        F.lit(name).alias("pool"), *[k.cast("double").alias(f"k{i}") for i, k in enumerate(keys)])
+    pools = F.array_compact(F.array(
+        F.when(tier.isNotNull(), entry("setup", tier, -score)),
+        F.when((gain > 0) & (rs >= 65), entry("gain", -gain, F.lit(0))),
+        F.when(in_shape, entry("shape", -rnd(vcp * 0.7 + rs * 0.3, 4), F.lit(0))),
+        F.when(in_shape, entry("shape_by_rank", F.lit(0), F.lit(0))),
+    ))
+    row = F.struct(*ranked.columns).alias("row")
+    entries = ranked.select(row, rank.alias("_rank"), F.explode(pools).alias("e")).select("row", "_rank", "e.*")
+    best = ranking.first_k(entries, ["pool"], [F.col("k0"), F.col("k1"), F.col("_rank")], 3, out="place")
+    lists = best.agg(F.sort_array(F.collect_list(F.struct("pool", "place", "row"))).alias("all"))
+
+    def choose(pool: str, *taken: Column) -> Column:
+        free = lambda c: reduce(
+            lambda ok, t: ok & (c["row"]["ticker"] != F.coalesce(t["ticker"], F.lit(""))), taken, c["pool"] == pool)
+        return F.get(F.filter("all", free), F.lit(0))["row"]
+
+    chosen = (
+        lists.withColumn("p0", choose("setup"))
+        .withColumn("p1", choose("gain", F.col("p0")))
+        .withColumn("first_shape", choose("shape"))
+    )
+    used = (F.col("p0"), F.col("p1"))
+    is_free = reduce(lambda ok, t: ok & (F.col("first_shape.ticker") != F.coalesce(t["ticker"], F.lit(""))), used, F.lit(True))
+    final = chosen.withColumn("p2", F.when(is_free, F.col("first_shape")).otherwise(choose("shape_by_rank", *used)))
+    named = F.array(*[F.struct(F.lit(d).alias("direction"), F.col(f"p{i}").alias("row")) for i, d in enumerate(DIRECTIONS)])
+    picks = final.select(F.explode(named).alias("x")).filter("x.row IS NOT NULL").select("x.direction", "x.row.*")
+    return picks.withColumn("reason", pick_reason())
 
 
 def pick_reason() -> Column:

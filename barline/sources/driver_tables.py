@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barline.functions.numeric import rnd
+from barline.session import shuffle_partitions
 from barline.sources import dims
 
 # Level and width that keep each series near its usual reading.
@@ -52,7 +53,8 @@ def bars_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with a 60-row trailing mean price, so that pullbacks look like real ones."""
     trailing = W.partitionBy("ticker").orderBy("dt").rowsBetween(-59, 0)
     smooth = {c: rnd(F.avg(c).over(trailing), 4) for c in ("high", "low", "close")}
-    return bars(spark, sf_dir).withColumns(smooth)
+    # One spread by ticker serves this window and all array work that follows.
+    return bars(spark, sf_dir).repartition(shuffle_partitions(spark), "ticker").withColumns(smooth)
 
 
 def benchmark_closes(bar_rows: DataFrame) -> DataFrame:
