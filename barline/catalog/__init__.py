@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["screens", "markets"]
+MODULES = ["screens", "markets", "newsdesk", "streams"]
 
 
 def load():

@@ -299,17 +299,20 @@ def options_panel(spark, sf):
 # ---- rule bands over whole histories ---------------------------------------
 
 def wide_days(spark, sf, symbols: list[str]):
-    """One row per day on which all the symbols have a close."""
+    """One row per trading day with the newest close of every symbol so far."""
     names = {sym: f"s{i}" for i, sym in enumerate(symbols)}
     rows = t.closes(spark, sf).filter(F.col("symbol").isin(symbols))
     wide = rows.groupBy("dt").agg(*[F.max(F.when(F.col("symbol") == sym, F.col("close"))).alias(n) for sym, n in names.items()])
-    return wide.dropna()
+    so_far = W.partitionBy(F.lit(1)).orderBy("dt")  # one row per trading day
+    return wide.withColumns({n: F.last(n, ignorenulls=True).over(so_far) for n in names.values()}).dropna()
 
 
 def wide_sql(symbols: list[str]) -> str:
     picks = ", ".join(f"max(CASE WHEN symbol = '{sym}' THEN close END) AS s{i}" for i, sym in enumerate(symbols))
     keep = " AND ".join(f"s{i} IS NOT NULL" for i in range(len(symbols)))
-    return f"wide AS (SELECT * FROM (SELECT dt, {picks} FROM closes GROUP BY dt) WHERE {keep})"
+    listed = ", ".join(s.lit(x) for x in symbols)
+    filled = ", ".join(f"last_value(s{i} IGNORE NULLS) OVER (ORDER BY dt) AS s{i}" for i in range(len(symbols)))
+    return f"wide AS (SELECT * FROM (SELECT dt, {filled} FROM (SELECT dt, {picks} FROM closes WHERE symbol IN ({listed}) GROUP BY dt)) WHERE {keep})"
 
 
 BAND_SYMBOLS = ["^VIX", "^VIX9D", "^SKEW", "^VVIX", "^IRX", "^TNX"]
@@ -390,8 +393,10 @@ def _stage_inputs(weekly: bool) -> tuple[str, str]:
          {s.r('(list_max(v) - v[-1]) / list_max(v) * 100', 1)} AS decline FROM (
     SELECT dt, list({s.r('close', 2)}) OVER (ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS v FROM {source} WHERE symbol = '^VVIX'))"""
     days = f"""days4 AS (
-  SELECT * FROM (SELECT dt, max(CASE WHEN symbol = '^VIX' THEN close END) AS vix, max(CASE WHEN symbol = '^SKEW' THEN close END) AS skew,
-    max(CASE WHEN symbol = '^VIX9D' THEN close END) AS fg FROM {source} GROUP BY dt)
+  SELECT * FROM (SELECT dt, last_value(vix IGNORE NULLS) OVER (ORDER BY dt) AS vix, last_value(skew IGNORE NULLS) OVER (ORDER BY dt) AS skew,
+    last_value(fg IGNORE NULLS) OVER (ORDER BY dt) AS fg FROM (
+      SELECT dt, max(CASE WHEN symbol = '^VIX' THEN close END) AS vix, max(CASE WHEN symbol = '^SKEW' THEN close END) AS skew,
+             max(CASE WHEN symbol = '^VIX9D' THEN close END) AS fg FROM {source} GROUP BY dt))
   JOIN vv USING (dt) WHERE vix IS NOT NULL AND skew IS NOT NULL AND fg IS NOT NULL)"""
     return cte, days
 
@@ -406,7 +411,9 @@ def _stage_frame(spark, sf, weekly: bool):
     vv = vv.select("dt", F.try_element_at("v", F.lit(-1)).alias("vvix"), peak.alias("peak"),
                    series.trend_of(F.col("v"), "持續上升", "連續回落", drift="高位震盪後回落" if weekly else None).alias("trend"))
     leg = lambda sym: F.max(F.when(F.col("symbol") == sym, F.col("close")))
-    days = closes.groupBy("dt").agg(leg("^VIX").alias("vix"), leg("^SKEW").alias("skew"), leg("^VIX9D").alias("fg")).dropna()
+    days = closes.groupBy("dt").agg(leg("^VIX").alias("vix"), leg("^SKEW").alias("skew"), leg("^VIX9D").alias("fg"))
+    so_far = W.partitionBy(F.lit(1)).orderBy("dt")  # one row per trading day
+    days = days.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("vix", "skew", "fg")}).dropna()
     return days.join(vv, "dt")
 
 

@@ -21,7 +21,7 @@ def fresh_entries(items: DataFrame, now: datetime) -> DataFrame:
 
 def clean_titles(items: DataFrame) -> DataFrame:
     """Drop empty and noise titles."""
-    title = F.trim(F.coalesce("title", F.lit("")))
+    title = text.strip(F.coalesce("title", F.lit("")))
     return items.withColumn("title", title).filter((F.length("title") > 0) & ~text.is_noise(F.col("title")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,9 @@ def use_checkpoints(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="barline-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table or a stream, next to the checkpoints."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

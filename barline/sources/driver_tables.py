@@ -194,6 +194,10 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news_entries(table(spark, sf_dir, "documents"))
+
+
+def news_entries(documents: DataFrame) -> DataFrame:
     """Feed entries: first line as title, whole text as summary, ten minutes apart."""
     key = F.col("doc_id")
     headline = F.trim(F.substring_index("text", "\n", 1))
@@ -203,7 +207,7 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 3 == 0, F.concat(headline, F.lit(" - "), inner)).otherwise(headline)
     )
     published = F.to_timestamp_ntz(F.lit(NEWS_EPOCH)) + F.make_dt_interval(mins=(key * 10).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("source").alias("feed"), key.alias("pos"), title.alias("title"), F.col("text").alias("summary"),
         F.concat(F.lit("https://example.com/"), key).alias("link"), inner.alias("inner_source"),
         F.when(key % 17 != 0, published).alias("published"),
