@@ -90,7 +90,7 @@ CTE: dict[str, str] = {
   FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))""",
     "smooth": f"""smooth AS (
   SELECT ticker, dt, volume, {r('avg(high) OVER w', 4)} AS high, {r('avg(low) OVER w', 4)} AS low, {r('avg(close) OVER w', 4)} AS close
-  FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""",
+  FROM (SELECT ticker, dt, volume, round(high * 10000) / 10000 AS high, round(low * 10000) / 10000 AS low, round(close * 10000) / 10000 AS close FROM bars) WINDOW w AS (PARTITION BY ticker ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""",
     "bench": f"bench AS (SELECT dt, {r('avg(close)', 4)} AS close FROM bars GROUP BY dt)",
     "sbench": f"bench AS (SELECT dt, {r('avg(close)', 4)} AS close FROM smooth GROUP BY dt)",
     "bench13": f"""bench13 AS (

@@ -17,23 +17,35 @@ WIDE = r"[^\x00-\x7F]{2,}"
 MAX_TAGS = 4
 
 
-def _pairs_of(run: Column) -> Column:
+def _neighbours(run: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
 
 
-def text_anchors(text: Column) -> Column:
-    """Every whole ASCII word (lowered) and every two neighbouring wide characters."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), F.lower)
-    wide = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(WIDE), F.lit(0)), _pairs_of))
-    return F.array_distinct(F.concat(words, wide))
+def text_anchors(items: DataFrame, item_key: list[str], text: Column) -> DataFrame:
+    """(item_key, anchor): whole ASCII words (lowered), pairs of neighbouring words, words in
+    capitals (`=NVDA`), runs of digits (`#2330`) and pairs of neighbouring wide characters."""
+    cut = items.select(
+        *item_key, F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("words"),
+        F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)).alias("digits"),
+        F.regexp_extract_all(F.lower(text), F.lit(WIDE), F.lit(0)).alias("wide"),
+    ).withColumn("low", F.transform("words", F.lower))
+    later = F.slice("low", 2, F.greatest(F.size("low") - 1, F.lit(0)))
+    earlier = F.slice("low", 1, F.greatest(F.size("low") - 1, F.lit(0)))
+    anchors = F.concat(
+        F.col("low"), F.zip_with(earlier, later, lambda a, b: F.concat_ws(" ", a, b)),
+        F.transform(F.filter("words", lambda w: w == F.upper(w)), lambda w: F.concat(F.lit("="), w)),
+        F.transform("digits", lambda d: F.concat(F.lit("#"), d)),
+        F.flatten(F.transform("wide", _neighbours)),
+    )
+    return cut.select(*item_key, F.explode(F.array_distinct(anchors)).alias("anchor"))
 
 
 def key_anchor(key: Column) -> Column:
-    """An anchor present in every text the key can match: its first whole ASCII word, else its
-    first two wide characters."""
-    word = F.lower(F.regexp_extract(key, RUN, 0))
+    """An anchor present in every text the key can match: its first two whole ASCII words, its
+    only one, else its first two wide characters."""
+    words = F.transform(F.regexp_extract_all(key, F.lit(RUN), F.lit(0)), F.lower)
     wide = F.left(F.regexp_extract(F.lower(key), WIDE, 0), F.lit(2))
-    return F.coalesce(F.nullif(word, F.lit("")), F.nullif(wide, F.lit("")))
+    return F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, 2), " ")).otherwise(F.nullif(wide, F.lit("")))
 
 
 def quoted(key: Column) -> Column:
@@ -42,52 +54,50 @@ def quoted(key: Column) -> Column:
 
 
 def watch_patterns(watchlist: DataFrame) -> DataFrame:
-    """(ticker, pos, anchor, pattern): one row per alias, cleaned company name, bare ticker or digits."""
+    """(ticker, pos, anchor, pattern): one row per alias, cleaned company name, bare ticker or digits.
+
+    Where the anchor alone decides, `pattern` is null: a one-word name is a whole word of the
+    text in any case, a ticker a whole word in capitals, a number a whole run of digits.
+    """
     base = F.substring_index("ticker", ".", 1)
     name = F.trim(F.coalesce("name", F.lit("")))
     use_name = (F.length(name) >= 4) & (F.upper(name) != F.upper("ticker"))
-    phrases = F.concat("aliases", F.when(use_name, F.array(cut_legal_suffix(name))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    phrases = F.concat(F.coalesce("aliases", none), F.when(use_name, F.array(cut_legal_suffix(name))).otherwise(none))
+    rule = lambda anchor, pattern: F.struct(anchor.alias("anchor"), pattern.cast("string").alias("pattern"))
+    edged = lambda flags, key: F.concat(F.lit(f"{flags}(?<![A-Za-z0-9])"), key, F.lit("(?![A-Za-z0-9])"))
     loose = F.transform(
         F.filter(F.array_distinct(phrases), lambda k: F.length(k) >= 3),
-        lambda k: F.struct(k.alias("key"), F.concat(
-            F.lit("(?iu)(?<![A-Za-z0-9])"), quoted(k), F.lit("(?![A-Za-z0-9])")).alias("pattern")),
-    )
-    letters = F.when(
-        base.rlike(r"(?U)^\p{Alpha}{3,}$"),
-        F.struct(base.alias("key"), F.concat(F.lit("(?<![A-Za-z0-9])"), base, F.lit("(?![A-Za-z0-9])")).alias("pattern")),
-    )
-    digits = F.when(
-        base.rlike(r"^\d+$"),
-        F.struct(base.alias("key"), F.concat(F.lit(r"(?<!\d)"), base, F.lit(r"(?!\d)")).alias("pattern")),
+        lambda k: rule(key_anchor(k), F.when(~k.rlike(f"^{RUN}$"), edged("(?iu)", quoted(k)))),
     )
+    is_word = base.rlike(r"(?U)^\p{Alpha}{3,}$")
+    letters = F.when(is_word, F.when(base.rlike("^[A-Z]+$"), rule(F.concat(F.lit("="), base), F.lit(None))).otherwise(
+        rule(key_anchor(base), edged("", quoted(base)))))
+    digits = F.when(base.rlike(r"^\d+$"), rule(F.concat(F.lit("#"), base), F.lit(None)))
     rules = F.array_compact(F.concat(loose, F.array(letters, digits)))
-    return (
-        watchlist.select("ticker", "pos", F.explode(rules).alias("r"))
-        .select("ticker", "pos", key_anchor(F.col("r.key")).alias("anchor"), "r.pattern", "r.key")
-    )
+    return watchlist.select("ticker", "pos", F.explode(rules).alias("r")).select("ticker", "pos", "r.anchor", "r.pattern")
 
 
 def tag_items(items: DataFrame, watchlist: DataFrame, item_key: list[str], limit: int = MAX_TAGS) -> DataFrame:
     """Items plus `watch`: up to `limit` tickers in watch-list order; null where none match.
 
-    A digit ticker may stand inside a longer letter run ("A2330B"), so digits are anchors too.
+    Only keys and anchors travel through the join; the text is read again for the few
+    candidates whose pattern has to be tried.
     """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    numbers = F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0))
-    anchored = items.select(
-        *item_key, text.alias("_text"), F.explode(F.array_union(text_anchors(text), numbers)).alias("anchor")
-    )
     patterns = watch_patterns(watchlist).withColumnRenamed("pos", "_order")
-    hits = (
-        anchored.join(patterns, "anchor").filter(F.expr("_text RLIKE pattern"))
-        .select(*item_key, "_order", "ticker").distinct()
-    )
-    tags = hits.groupBy(*item_key).agg(
-        F.transform(
-            F.slice(F.sort_array(F.collect_list(F.struct("_order", "ticker"))), 1, limit), lambda s: s["ticker"]
-        ).alias("watch")
+    found = text_anchors(items, item_key, text).join(patterns, "anchor")
+    hit = F.struct("_order", "ticker")
+    grouped = found.groupBy(*item_key).agg(
+        F.collect_set(F.when(F.col("pattern").isNull(), hit)).alias("_sure"),
+        F.collect_set(F.when(F.col("pattern").isNotNull(), F.struct("_order", "ticker", "pattern"))).alias("_maybe"),
     )
-    return items.join(tags, item_key, "left")
+    tried = F.transform(
+        F.filter("_maybe", lambda m: F.call_function("rlike", text, m["pattern"])),
+        lambda m: F.struct(m["_order"].alias("_order"), m["ticker"].alias("ticker")))
+    hits = F.slice(F.array_sort(F.array_union("_sure", tried)), 1, limit)
+    return items.join(grouped, item_key, "left").withColumn(
+        "watch", F.when(F.size(hits) > 0, F.transform(hits, lambda h: h["ticker"]))).drop("_sure", "_maybe")
 
 
 def watch_order(watchlist: DataFrame) -> DataFrame:

@@ -51,10 +51,15 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with a 60-row trailing mean price, so that pullbacks look like real ones."""
-    trailing = W.partitionBy("ticker").orderBy("dt").rowsBetween(-59, 0)
-    smooth = {c: rnd(F.avg(c).over(trailing), 4) for c in ("high", "low", "close")}
+    days = W.partitionBy("ticker").orderBy("dt")
+    prices = ["high", "low", "close"]
+    # Running totals in whole ten-thousandths: exact, and linear where a sliding mean is not.
+    totals = {f"_{c}": F.sum(F.round(F.col(c) * 10000).cast("long")).over(days.rowsBetween(W.unboundedPreceding, 0)) for c in prices}
+    width = F.least(F.row_number().over(days), F.lit(60))
+    means = {c: rnd((F.col(f"_{c}") - F.coalesce(F.lag(f"_{c}", 60).over(days), F.lit(0))) / width / 10000, 4) for c in prices}
     # One spread by ticker serves this window and all array work that follows.
-    return bars(spark, sf_dir).repartition(shuffle_partitions(spark), "ticker").withColumns(smooth)
+    spread = bars(spark, sf_dir).repartition(shuffle_partitions(spark), "ticker")
+    return spread.withColumns(totals).withColumns(means).drop(*totals)
 
 
 def benchmark_closes(bar_rows: DataFrame) -> DataFrame:
