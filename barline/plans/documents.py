@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.text import repair_json
-from barline.schemas import REGIME
+from barline.schemas import FALSIFIERS
 
 
 def parse_replies(replies: DataFrame, schema: str, text: str = "text") -> DataFrame:
@@ -29,7 +29,7 @@ def regime_defaults() -> dict[str, Column]:
     """What an absent regime document holds."""
     texts = {c: F.lit("") for c in ("call", "for_w52_engine", "confidence", "confidence_reason")}
     lists = {c: F.array().cast("array<string>") for c in ("confirms", "contradicts")}
-    falsifiers = F.array().cast(REGIME["falsifiers"].dataType.simpleString())
+    falsifiers = F.array().cast(FALSIFIERS)
     return {**texts, **lists, "falsifiers": falsifiers, "verdict": F.lit("無前日資料")}
 
 
