@@ -321,6 +321,37 @@ def sector_distribution(spark, sf):
     return scr.sector_distribution(scr.top_n(ranked_us(spark, sf)))
 
 
+@query("rank_population", s.with_("""
+SELECT (SELECT count(*) FROM chg) AS screened, (SELECT string_agg(ticker, ',' ORDER BY rank) FROM chg WHERE rank <= 5) AS top5""",
+    *s.SCREEN, "universe", "us", s.changed("us")))
+def rank_population(spark, sf):
+    return scr.rank_population(ranked_us(spark, sf))
+
+
+@query("snapshot_columns_tw", s.with_("""
+SELECT CAST(rank AS INTEGER) AS rank, ticker, name, etf, rs_score, rs_1w, rs_4w, rs_13w, rs_trend, contraction_score, combined_score, price, vs_200ma_pct
+FROM chg""", *s.SCREEN, "membership", "member1", "tw", s.changed("tw")))
+def snapshot_columns_tw(spark, sf):
+    from barline.sources.sinks import SNAPSHOT_TW
+
+    return ranked_tw(spark, sf).select(*SNAPSHOT_TW)
+
+
+@query("result_document", s.with_("""
+SELECT (SELECT string_agg(ticker, ',' ORDER BY rank) FROM chg WHERE rank <= 30) AS top30,
+       (SELECT string_agg(direction || ':' || ticker, ',' ORDER BY direction) FROM (SELECT 'minervini' AS direction, ticker FROM p1
+          UNION ALL SELECT 'momentum', ticker FROM p2 UNION ALL SELECT 'vcp', ticker FROM p3)) AS picks""",
+    *s.SCREEN, "universe", "us", s.changed("us"), *_PICK_CTES))
+def result_document(spark, sf):
+    from barline.sources.sinks import result_document as document
+
+    ranked = ranked_us(spark, sf)
+    doc = document(scr.top_n(ranked), scr.top_picks(ranked), sector_table(spark, sf), global_table(spark, sf))
+    joined = lambda part, f: F.array_join(F.transform(part, f), ",")
+    return doc.select(joined("top30", lambda r: r["ticker"]).alias("top30"),
+                      joined("top_picks", lambda r: F.concat_ws(":", r["direction"], r["ticker"])).alias("picks"))
+
+
 @query("report_sheet", s.with_("""
 SELECT CAST(rank AS INTEGER) AS "Rank", rank_change_str AS "Change", ticker AS "Ticker", sector AS "Sector", rs_score AS "RS Score",
        rs_trend AS "RS Trend", contraction_score AS "VCP Score", combined_score AS "Combined Score", price AS "Price",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ MARKET_ZONE = "America/New_York"
 DESK_ZONE = "Asia/Taipei"
 
 
+def moment(now: datetime) -> Column:
+    """A naive UTC time as a literal that no session or machine zone can shift."""
+    return F.to_timestamp_ntz(F.lit(now.strftime("%Y-%m-%d %H:%M:%S")))
+
+
 def is_weekday(day: Column) -> Column:
     return F.weekday(day) < 5
 

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions import text
+from barline.functions.dates import moment
 from barline.operators.ranking import first_k
 from barline.sources.dims import MAX_FEED_ITEMS, RSS_TOTAL_CAP
 
 
 def fresh_entries(items: DataFrame, now: datetime) -> DataFrame:
     """Entries no older than their feed's age limit; undated entries pass."""
-    moment = F.lit(now).cast("timestamp_ntz")
-    oldest = moment - F.make_dt_interval(hours=F.col("max_age_h"))
+    oldest = moment(now) - F.make_dt_interval(hours=F.col("max_age_h"))
     return items.filter(F.col("published").isNull() | (F.col("published") >= oldest))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.text import repair_json
 from barline.schemas import FALSIFIERS
+from barline.sources.dims import CODE_CAPS
 
 
 def parse_replies(replies: DataFrame, schema: str, text: str = "text") -> DataFrame:
@@ -33,6 +34,56 @@ def regime_defaults() -> dict[str, Column]:
     return {**texts, **lists, "falsifiers": falsifiers, "verdict": F.lit("無前日資料")}
 
 
+# Text blocks of a daily document with their fields and the defaults that are not blank.
+TEXT_BLOCKS: dict[str, dict[str, str]] = {
+    "market_pulse": dict.fromkeys(["dominant_theme", "hidden_risk", "hidden_opportunity", "key_level_to_watch",
+                                   "historical_analog", "new_pattern"], ""),
+    "index_factor_reading": dict.fromkeys(["market_breadth", "style_rotation", "sector_signal", "nyfang_signal",
+                                           "momentum_read", "key_insight"], ""),
+    "sentiment_analysis": dict.fromkeys(["vix_reading", "vvix_reading", "skew_reading", "fear_greed_reading", "credit_check",
+                                         "cross_asset_confirm", "key_divergence", "reliability_reason", "one_line"], "")
+    | {"stage": "無明確訊號", "stage_name": "正常市場", "reliability": "中"},
+}
+# List blocks, and the ones cut or emptied.
+LIST_BLOCKS = ["top_stories", "macro", "ai_industry", "fintech_crypto", "geopolitical", "world_news", "tech_trends", "startup_news",
+               "earnings_preview", "watchlist_news", "weekend_reads", "daily_deep_dive", "today_events"]
+EMPTIED_BLOCKS = ["implied_trends"]
+
+# Text fields and list fields of a weekly theme document.
+WEEKLY_TEXT = {
+    "earnings": ["sector_trends"], "options": ["skew_positioning", "gamma_environment", "nq_signal"],
+    "commodities": ["agriculture", "macro_signal"], "central_bank": ["rate_market", "nq_implication"],
+    "credit": ["credit_conditions", "stress_signals", "leading_indicator"], "liquidity": ["liquidity_signal", "nq_implication"],
+}
+WEEKLY_LISTS = {"earnings": ["earnings_results", "next_week_earnings"], "options": ["key_levels"], "commodities": ["next_week_catalysts"],
+                "central_bank": ["other_cb", "next_week_events"], "credit": [], "liquidity": []}
+OTHER_TEXT, OTHER_LISTS = ["signal_change", "watchlist_impact"], ["deep_analysis", "earnings_calls", "analyst_views", "next_week_catalysts"]
+
+
+def filled_struct(value: Column, defaults: dict[str, str]) -> Column:
+    """Every field of a struct with its default."""
+    return F.struct(*[F.coalesce(value[name], F.lit(text)).alias(name) for name, text in defaults.items()])
+
+
+def daily_document(doc: DataFrame) -> DataFrame:
+    """A parsed daily document with all blocks present: lists empty, texts at their defaults,
+    world news cut to three, retired blocks emptied."""
+    lists = {b: F.coalesce(F.col(b), F.array()) if b in doc.columns else F.array().cast("array<string>") for b in LIST_BLOCKS}
+    lists["world_news"] = F.slice(lists["world_news"], 1, CODE_CAPS["world_news"])
+    texts = {b: filled_struct(F.col(b), d) if b in doc.columns else F.struct(*[F.lit(v).alias(k) for k, v in d.items()])
+             for b, d in TEXT_BLOCKS.items()}
+    retired = {b: F.array().cast("array<string>") for b in EMPTIED_BLOCKS}
+    return with_defaults(doc.withColumns({**lists, **texts, **retired}), {"daily_summary": F.lit(""), "alert": F.lit("")})
+
+
+def weekly_document(doc: DataFrame, theme: str, name: str) -> DataFrame:
+    """A parsed weekly theme document with the fields of its theme."""
+    texts = {c: F.lit("") for c in ["week_summary", *WEEKLY_TEXT.get(theme, OTHER_TEXT)]}
+    lists = {c: F.array().cast("array<string>") for c in ["risk_flags", *WEEKLY_LISTS.get(theme, OTHER_LISTS)]}
+    flags = {"has_earnings": F.lit(False)} if theme == "earnings" else {}
+    return with_defaults(doc, {"theme": F.lit(name), **texts, **lists, **flags})
+
+
 def trend_defaults(items: Column, keep: int = 3) -> Column:
     """Trend entries with label and list defaults, sub-items capped."""
     return F.transform(items, lambda t: F.struct(

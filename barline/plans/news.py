@@ -92,7 +92,7 @@ def cap_blocks(items: DataFrame, caps: dict[str, int] | None = None) -> DataFram
 
 def upcoming_reports(calendar: DataFrame, watch: DataFrame, now: datetime) -> DataFrame:
     """Watched names reporting on the next market session after the last anchor."""
-    target = dates.next_session(F.lit(now))
+    target = dates.next_session(dates.moment(now))
     return calendar.filter(F.col("report_date") == target).join(watch.select("ticker").distinct(), "ticker", "left_semi").select(
         "ticker", "report_date", dates.report_timing(F.col("hour")).alias("timing")
     )

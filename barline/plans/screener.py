@@ -289,6 +289,14 @@ def top_n(ranked: DataFrame, n: int = 30) -> DataFrame:
     return ranked.orderBy("rank").limit(n)
 
 
+def rank_population(ranked: DataFrame, n: int = 5) -> DataFrame:
+    """How many names were screened, and the first few of them."""
+    top = F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "ticker")))  # at most n entries
+    return ranked.agg(
+        F.count("*").alias("screened"), F.array_join(F.transform(F.sort_array(top), lambda r: r["ticker"]), ",").alias("top5")
+    )
+
+
 def sector_distribution(top: DataFrame) -> DataFrame:
     """Count per sector of a top list with its bar width (longest = 200)."""
     from pyspark.sql import Window as W

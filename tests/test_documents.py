@@ -24,6 +24,18 @@ def test_regime_defaults(spark):
     assert [(r["call"], r["confirms"], r["verdict"], r["falsifiers"]) for r in rows] == [("", ["x"], "無前日資料", []), ("up", [], "無前日資料", [])]
 
 
+def test_document_defaults(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d"], None, "x")], "world_news array<string>, sentiment_analysis struct<stage:string,stage_name:string,reliability:string,"
+                               "vix_reading:string,vvix_reading:string,skew_reading:string,fear_greed_reading:string,credit_check:string,cross_asset_confirm:string,"
+                               "key_divergence:string,reliability_reason:string,one_line:string>, implied_trends string")
+    row = docs.daily_document(df).first()
+    assert row["world_news"] == ["a", "b", "c"] and row["implied_trends"] == [] and row["macro"] == []
+    assert row["sentiment_analysis"]["stage"] == "無明確訊號" and row["market_pulse"]["hidden_risk"] == "" and row["alert"] == ""
+    week = docs.weekly_document(spark.createDataFrame([("s",)], "week_summary string"), "earnings", "財報").first()
+    assert (week["theme"], week["week_summary"], week["has_earnings"], week["next_week_earnings"]) == ("財報", "s", False, [])
+    assert docs.weekly_document(spark.createDataFrame([("s",)], "week_summary string"), "macro", "總經").first()["analyst_views"] == []
+
+
 def test_trend_defaults(spark):
     df = spark.createDataFrame([([("t", None, ["a", "b", "c", "d"])],)], "items array<struct<title:string,label_type:string,sub_items:array<string>>>")
     row = df.select(docs.trend_defaults(F.col("items"))).first()[0][0]
