@@ -77,14 +77,12 @@ PAIR_ON_DAY = """both_days AS (
     f"SELECT key, {s.day('dt')} AS dt, {s.r('v', 6)} AS value, {s.r('v - lag(v) OVER (PARTITION BY key ORDER BY dt)', 6)} AS change FROM both_days",
     *BASE, s.values("pairs", "key, category, kind, lhs, rhs, label, pos", dims.PAIRS), PAIR_ON_DAY))
 def ratio_pair_history(spark, sf):
-    closes, out = t.closes(spark, sf), None
-    for key, _, kind, left, right, _, _ in dims.PAIRS:
-        both = series.pair(closes, left, right, "dt")
-        v = F.col("a") / F.col("b") if kind == "ratio" else F.col("a") - F.col("b")
-        rows = both.select(F.lit(key).alias("key"), "dt", v.alias("v"))
-        out = rows if out is None else out.unionByName(rows)
-    prev = F.lag("v").over(W.partitionBy("key").orderBy("dt"))
-    return out.select("key", day("dt").alias("dt"), rnd(F.col("v"), 6).alias("value"), rnd(F.col("v") - prev, 6).alias("change"))
+    kinds = F.create_map(*[F.lit(x) for key, _, kind, *_ in dims.PAIRS for x in (key, kind)])
+    both = series.pairs(t.closes(spark, sf), {p[0]: (p[3], p[4]) for p in dims.PAIRS}, "dt")
+    v = F.when(kinds[F.col("name")] == "ratio", F.col("a") / F.col("b")).otherwise(F.col("a") - F.col("b"))
+    prev = F.lag("v").over(W.partitionBy("name").orderBy("dt"))
+    return both.withColumn("v", v).select(F.col("name").alias("key"), day("dt").alias("dt"), rnd(F.col("v"), 6).alias("value"),
+                                          rnd(F.col("v") - prev, 6).alias("change"))
 
 
 @query("pool_top_abs", s.with_(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import dates
 from barline.functions.numeric import pct_change, ratio, rnd
+from barline.sources.dims import literal_frame
 
 #: Bars looked back per horizon; "5 days" spans 4 bars, and so on.
 HORIZONS = {"1w": 5, "4w": 21, "13w": 63}
@@ -153,11 +154,16 @@ def week_first_last(df: DataFrame, key: str = "symbol", calendar_year: bool = Fa
     )
 
 
-def pair(df: DataFrame, left: str, right: str, on: str, key: str = "symbol") -> DataFrame:
-    """Two series side by side on `on`; both sides stay null-free."""
-    a = df.filter(F.col(key) == left).select(on, F.col("close").alias("a"))
-    b = df.filter(F.col(key) == right).select(on, F.col("close").alias("b"))
-    return a.join(b, on)
+def pairs(df: DataFrame, spec: dict[str, tuple[str, str]], on: str, key: str = "symbol") -> DataFrame:
+    """(name, on, a, b) for every named pair of series, where both have a close.
+
+    One scan and one aggregation serve all pairs, however many there are.
+    """
+    legs = [(name, side, symbol) for name, two in spec.items() for side, symbol in zip("ab", two)]
+    uses = literal_frame(df.sparkSession, legs, f"name string, side string, {key} string")
+    leg = lambda side: F.max(F.when(F.col("side") == side, F.col("close"))).alias(side)
+    rows = df.join(F.broadcast(uses), key).groupBy("name", on).agg(leg("a"), leg("b"))  # uses: two rows per pair
+    return rows.dropna(subset=["a", "b"])
 
 
 def back_position(df: DataFrame, key: str, n: int) -> DataFrame:

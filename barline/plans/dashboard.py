@@ -141,17 +141,18 @@ def simple_trends(closes: DataFrame, symbols: list[str]) -> DataFrame:
     return tail.select("symbol", series.trend_of(values, "連續上升", "連續下降").alias("trend"))
 
 
-def ratio_trend(closes: DataFrame, left: str, right: str, strict_reference: bool = False) -> DataFrame:
-    """Trend of a/b over the last three days both have; `strict_reference` pairs by position."""
-    rows = series.drop_missing(closes.filter(F.col("symbol").isin(left, right)))
+def ratio_trends(closes: DataFrame, spec: dict[str, tuple[str, str]], strict_reference: bool = False) -> DataFrame:
+    """(name, trend) of a/b over the last three days both have; `strict_reference` pairs by position."""
+    symbols = sorted({s for two in spec.values() for s in two})
+    rows = series.drop_missing(closes.filter(F.col("symbol").isin(symbols)))
     if strict_reference:
-        rows = series.back_position(rows, "symbol", 3)
-        both = series.pair(rows, left, right, "back").withColumn("o", -F.col("back"))
+        both = series.pairs(series.back_position(rows, "symbol", 3), spec, "back").withColumn("o", -F.col("back"))
     else:
-        both = series.pair(rows, left, right, "dt").withColumn("o", F.col("dt"))
-    ordered = both.orderBy(F.col("o").desc()).limit(3)
-    values = F.transform(F.sort_array(F.collect_list(F.struct("o", ratio(F.col("a"), F.col("b")).alias("r")))), lambda x: x["r"])
-    return ordered.agg(series.trend_of(values, "連續擴大", "連續收縮").alias("trend"))
+        both = series.pairs(rows, spec, "dt").withColumn("o", F.unix_date("dt"))
+    newest = first_k(both, ["name"], [F.col("o").desc()], 3, out="place")
+    entry = F.struct("o", ratio(F.col("a"), F.col("b")).alias("r"))
+    values = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["r"])
+    return newest.groupBy("name").agg(series.trend_of(values, "連續擴大", "連續收縮").alias("trend"))
 
 
 def second_layer_trends(closes: DataFrame, weekly: bool = False, strict_reference: bool = False) -> DataFrame:
@@ -160,9 +161,7 @@ def second_layer_trends(closes: DataFrame, weekly: bool = False, strict_referenc
         closes = series.weekly(series.drop_missing(closes)).select("symbol", F.col("week").alias("dt"), "close")
     names = F.create_map(*[F.lit(x) for k, s in dims.TREND_SYMBOLS.items() for x in (s, k)])
     out = simple_trends(closes, list(dims.TREND_SYMBOLS.values())).select(names[F.col("symbol")].alias("name"), "trend")
-    for name, (left, right) in dims.TREND_PAIRS.items():
-        out = out.unionByName(ratio_trend(closes, left, right, strict_reference).select(F.lit(name).alias("name"), "trend"))
-    return out
+    return out.unionByName(ratio_trends(closes, dims.TREND_PAIRS, strict_reference))
 
 
 # ---- macro, credit, options ------------------------------------------------

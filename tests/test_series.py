@@ -91,8 +91,12 @@ def test_dashboard_with_missing_legs(spark):
 def test_ratio_trend_by_day_or_position(spark):
     days = lambda ds, vs, k: [(k, DAY0 + timedelta(days=d), float(v)) for d, v in zip(ds, vs)]
     df = spark.createDataFrame(days([0, 1, 2, 3], [1, 2, 3, 9], "A") + days([0, 1, 3], [1, 1, 1], "B"), "symbol string, dt date, close double")
-    assert dash.ratio_trend(df, "A", "B").first()[0] == "連續擴大"
-    assert dash.ratio_trend(df, "A", "B", strict_reference=True).first()[0] == "連續擴大"
+    b = df.filter("symbol = 'B'").withColumn("close", F.when(F.col("dt") == F.lit(DAY0 + timedelta(days=3)), 9.0).otherwise(F.col("close")))
+    df = df.filter("symbol = 'A'").unionByName(b)  # by day: 1, 2, 1; by position: 2, 3, 1
+    got = {strict: dash.ratio_trends(df, {"x": ("A", "B")}, strict).first()["trend"] for strict in (False, True)}
+    assert got == {False: "震盪", True: "震盪"}
+    rising = df.withColumn("close", F.when((F.col("symbol") == "B") & (F.col("close") == 9), 1.0).otherwise(F.col("close")))
+    assert dash.ratio_trends(rising, {"x": ("A", "B"), "y": ("B", "A")}).orderBy("name").collect()[1]["trend"] == "連續收縮"
 
 
 def test_conditions_trend_short(spark):
