@@ -58,26 +58,39 @@ def percent_of(part: Column, whole: Column) -> Column:
     return F.floor((part * 2000 + whole) / (whole * 2)) / 10
 
 
-def percent_at_or_below(
-    df: DataFrame, by: list[str], value: str, out: str, small: bool | None = None
+def percents_at_or_below(
+    df: DataFrame, by: list[str], columns: dict[str, str], small: bool | None = None
 ) -> DataFrame:
-    """100 * count(v <= value) / count(v) within `by` to one decimal; null where value is null."""
+    """For each value column: 100 * count(v <= value) / count(v) within `by` to one decimal.
+
+    columns: value column to output column; null values get null and do not count.
+    """
     if not by:
-        return percent_at_or_below(df.withColumn("_one", F.lit(1)), ["_one"], value, out, small).drop("_one")
+        return percents_at_or_below(df.withColumn("_one", F.lit(1)), ["_one"], columns, small).drop("_one")
     if small is None:
         small = is_small(df)
     if small:
         # The ordered frame includes ties, and count() leaves nulls out of both numbers.
         everyone = W.partitionBy(*by)
-        share = percent_of(F.count(value).over(everyone.orderBy(value)), F.count(value).over(everyone))
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), share))
-
-    # One row per distinct value: a value shared by a third of the rows is one row here.
-    levels = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ladder = running_total(levels, by, [F.col(value)], F.col("_n"), "_upto", small=False)
-    totals = levels.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    scale = ladder.join(totals, by).select(*by, value, percent_of(F.col("_upto"), F.col("_all")).alias(out))
-    return df.join(scale, [*by, value], "left")
+        for value, out in columns.items():
+            share = percent_of(F.count(value).over(everyone.orderBy(value)), F.count(value).over(everyone))
+            df = df.withColumn(out, F.when(F.col(value).isNotNull(), share))
+        return df
+
+    # One row per distinct value, all columns in one pass: a value shared by a third of the rows
+    # is one row here.
+    levels = (
+        df.unpivot(by, list(columns), "_column", "_value").filter(F.col("_value").isNotNull())
+        .groupBy(*by, "_column", "_value").agg(F.count("*").alias("_n"))
+    )
+    ladder = running_total(levels, [*by, "_column"], [F.col("_value")], F.col("_n"), "_upto", small=False)
+    totals = ladder.groupBy(*by, "_column").agg(F.max("_upto").alias("_all"))
+    scale = ladder.join(totals, [*by, "_column"])
+    for value, out in columns.items():
+        part = scale.filter(F.col("_column") == value).select(
+            *by, F.col("_value").alias(value), percent_of(F.col("_upto"), F.col("_all")).alias(out))
+        df = df.join(part, [*by, value], "left")
+    return df
 
 
 def first_k(

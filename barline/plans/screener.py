@@ -28,10 +28,7 @@ def bench_returns(bench: DataFrame) -> DataFrame:
 def raw_percentiles(returns: DataFrame, by: list[str], small: bool | None = None) -> DataFrame:
     """raw_1w / raw_4w / raw_13w: share of names at or below, one decimal. Names with short
     history still count in the horizons they have."""
-    out = returns
-    for h in HORIZON_KEYS:
-        out = ranking.percent_at_or_below(out, by, f"ret_{h}", f"raw_{h}", small)
-    return out
+    return ranking.percents_at_or_below(returns, by, {f"ret_{h}": f"raw_{h}" for h in HORIZON_KEYS}, small)
 
 
 def rs_fields(df: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def rows(n=400, seed=1):
 def test_percent_paths_agree_and_match_counting(spark):
     data = rows()
     df = spark.createDataFrame(data, "g string, t string, v double")
-    small = {r["t"]: r["p"] for r in ranking.percent_at_or_below(df, ["g"], "v", "p", small=True).collect()}
-    large = {r["t"]: r["p"] for r in ranking.percent_at_or_below(df, ["g"], "v", "p", small=False).collect()}
+    small = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}, small=True).collect()}
+    large = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}, small=False).collect()}
     assert small == large
     for g, t, v in data:
         if v is None:
@@ -43,7 +43,7 @@ def test_input_order_does_not_matter(spark):
     for seed in (1, 2):
         random.Random(seed).shuffle(data)
         df = spark.createDataFrame(data, "g string, t string, v double")
-        out.append({r["t"]: r["p"] for r in ranking.percent_at_or_below(df, ["g"], "v", "p").collect()})
+        out.append({r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}).collect()})
     assert out[0] == out[1]
 
 
