@@ -6,6 +6,7 @@ from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barline.functions.numeric import combined, pct_change, rnd, rs_total, rs_trend, shown
@@ -67,8 +68,6 @@ def rs_at_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def session_numbers(calendar: DataFrame) -> DataFrame:
     """Sessions numbered 1..n. One row per trading day, so a single task holds it easily."""
-    from pyspark.sql import Window as W
-
     return calendar.select("as_of", F.row_number().over(W.orderBy("as_of")).alias("seq"))
 
 
@@ -156,11 +155,20 @@ def screen_tw(rs: DataFrame, vcp: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def latest_with_change(ranked: DataFrame, sessions_: list[date]) -> DataFrame:
-    """The newest session's rows with their change since the session before."""
-    today = ranked.filter(F.col("as_of") == F.lit(sessions_[-1]))
+    """The newest session's rows with their change since the session before.
+
+    Both sessions go through the ranking together; a lag inside each ticker's two rows finds the
+    earlier rank, so nothing is computed twice.
+    """
     if len(sessions_) < 2:
-        return with_rank_change(today, None)
-    return with_rank_change(today, ranked.filter(F.col("as_of") == F.lit(sessions_[-2])))
+        return with_rank_change(ranked.filter(F.col("as_of") == F.lit(sessions_[-1])), None)
+    w = W.partitionBy("ticker").orderBy("as_of")
+    before = F.when(F.lag("as_of").over(w) == F.lit(sessions_[-2]), F.lag("rank").over(w))
+    today = ranked.withColumn("_prev", before).filter(F.col("as_of") == F.lit(sessions_[-1]))
+    delta = ranking.rank_delta(F.col("_prev"), F.col("rank"))
+    return today.withColumns({
+        "rank_change": delta, "rank_change_str": ranking.rank_delta_label(delta),
+    }).drop("_prev")
 
 
 def newest_sessions(bars: DataFrame, n: int) -> list[date]:
@@ -296,8 +304,6 @@ def rank_population(ranked: DataFrame, n: int = 5) -> DataFrame:
 
 def sector_distribution(top: DataFrame) -> DataFrame:
     """Count per sector of a top list with its bar width (longest = 200)."""
-    from pyspark.sql import Window as W
-
     counts = top.groupBy("sector").agg(F.count("*").alias("n"))
     widest = F.max("n").over(W.partitionBy(F.lit(1)))  # at most 30 sectors
     return counts.select("sector", "n", F.floor(F.col("n") / widest * 200).cast("int").alias("bar_width"))

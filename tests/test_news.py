@@ -179,13 +179,13 @@ def greedy(items):
     return {key for key, _ in kept}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_dedup_matches_greedy(spark, seed):
     rng = random.Random(seed)
     words = ["the", "fed", "tsmc", "oil", "chip", "ai", "rate", "bank", "$5B", "12億", "台積", "積電"] + [f"w{i}" for i in range(25)]
     rows = []
     for day in (1, 2):
-        for i in range(160):
+        for i in range(90):
             # a third are copies of one item, another part shares one frequent token
             toks = ["the", "fed", "oil"] if i % 3 == 0 else (["the"] if i % 3 == 1 else []) + rng.sample(words, rng.randint(0, 9 if i % 20 else 30))
             rows.append((day, i, sorted(set(toks))))
