@@ -79,9 +79,8 @@ def rs_history(
     A snapshot holds the names that also have a contraction score, so the chain starts at
     `min_bars` bars.
     """
-    calendar = series.sessions(bars)
-    raw = rs_at_sessions(bars, calendar).filter(F.col("n_bars") >= min_bars)
-    members = raw.join(session_numbers(calendar), "as_of")
+    calendar = session_numbers(series.sessions(bars))  # the fill brings seq along
+    members = rs_at_sessions(bars, calendar).filter(F.col("n_bars") >= min_bars)
     smooth = smoothing.smooth_history(members, len(as_of) if as_of else None, ("as_of", "close", "ret_13w"))
     return smooth.filter(F.col("as_of").isin(as_of)) if as_of else smooth
 
