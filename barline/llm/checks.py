@@ -29,4 +29,22 @@ SELECT d.doc_id, d.n::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE a =
 FROM sizes d JOIN sets t USING (doc_id) JOIN copies c ON c.s = list_sort(t.s)
 """
 
-CHECKS = {"op1_ngram_jaccard": OP1}
+OP6 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(coalesce({LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size),
+found AS (SELECT r, i, p.size, item FROM places p JOIN windows v ON p.size = v.size AND array_to_string(p.w[i:i + p.size - 1], ' ') = v.win),
+hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM found) GROUP BY r),
+held AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN held USING (r)
+"""
+
+CHECKS = {"op1_ngram_jaccard": OP1, "op6_fm_decontamination": OP6}

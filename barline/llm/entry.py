@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barline.llm import jaccard
+from barline.llm import fmindex, jaccard, pieces, vocab
 from barline.llm.checks import CHECKS
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -18,4 +19,16 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+def op6_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = fmindex.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), keep_text=False)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), vocab.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op6_fm_decontamination": op6_fm_decontamination, "op7_sentencepiece": op7_sentencepiece}
