@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import fmindex, jaccard, pieces, vocab
+from barline.llm import fmindex, jaccard, language, pieces, tokenfile, vocab
 from barline.llm.checks import CHECKS
+from barline.session import work_folder
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -31,4 +32,21 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), vocab.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op6_fm_decontamination": op6_fm_decontamination, "op7_sentencepiece": op7_sentencepiece}
+def op9_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.predict(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    out = work_folder(spark, "tokens")
+    tokenfile.write_tokens(table(spark, folder, "documents"), out, vocab.path("byte_bpe_50k.json"))
+    return tokenfile.index(spark, out)
+
+
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op6_fm_decontamination": op6_fm_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op9_rank_order_language": op9_rank_order_language,
+    "op10_token_files": op10_token_files,
+}
