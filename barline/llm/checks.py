@@ -47,4 +47,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN held USING (r)
 """
 
-CHECKS = {"op1_ngram_jaccard": OP1, "op6_fm_decontamination": OP6}
+# Lines by (doc_id, place); equal by lower-cased words; near: one word replaced, or one inserted or deleted.
+OP8 = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL
+), worded AS (
+  SELECT doc_id, k, line, regexp_extract_all({LOWERED.replace("text", "line")}, '[^\x20\x09-\x0D]+') AS w FROM lines
+), different AS (
+  SELECT w, len(w) AS n, min(struct_pack(d := doc_id, k := k)) AS first FROM worded WHERE len(w) >= 4 GROUP BY w
+), placed AS (
+  SELECT w, n, first, i, w[1:i - 1] || w[i + 1:n] AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM different WHERE n >= 8)
+), replaced AS (
+  SELECT w, first FROM (SELECT w, first, min(first) OVER (PARTITION BY i, rest) AS best FROM placed) WHERE best < first
+), inserted AS (
+  SELECT p.w AS long_, p.first AS long_first, d.w AS short_, d.first AS short_first FROM placed p JOIN different d ON d.w = p.rest WHERE d.n >= 8
+), near AS (
+  SELECT w FROM replaced
+  UNION SELECT long_ FROM inserted WHERE short_first < long_first
+  UNION SELECT short_ FROM inserted WHERE long_first < short_first
+), kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY k) AS text FROM worded
+  WHERE len(w) < 4 OR (struct_pack(d := doc_id, k := k) IN (SELECT first FROM different) AND w NOT IN (SELECT w FROM near))
+  GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_kept, 0)::BIGINT AS n_kept,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+CHECKS = {"op1_ngram_jaccard": OP1, "op6_fm_decontamination": OP6, "op8_line_dedup": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import fmindex, jaccard, language, pieces, tokenfile, vocab
+from barline.llm import fmindex, jaccard, language, lines, pieces, tokenfile, vocab
 from barline.llm.checks import CHECKS
 from barline.session import work_folder
 
@@ -32,6 +32,11 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), vocab.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_rank_order_language(spark: SparkSession, folder: str) -> DataFrame:
     found = language.predict(table(spark, folder, "documents"), keep=["doc_id"])
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op6_fm_decontamination": op6_fm_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_line_dedup": op8_line_dedup,
     "op9_rank_order_language": op9_rank_order_language,
     "op10_token_files": op10_token_files,
 }
