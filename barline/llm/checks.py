@@ -75,4 +75,62 @@ SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_li
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
-CHECKS = {"op1_ngram_jaccard": OP1, "op6_fm_decontamination": OP6, "op8_line_dedup": OP8}
+# CRC-32 by its table: the reflected polynomial 0xEDB88320, eight steps for each of 256 bytes.
+CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+DRAW = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+
+
+def _jump(shards: int) -> str:
+    """The walk of a key until it passes the last shard, as a fold over shard numbers."""
+    r = DRAW.format("key || ':' || w.after")
+    return f"""list_reduce(list_transform(range({shards}), lambda i: {{'at': -1::BIGINT, 'after': 0::BIGINT}}), lambda w, i:
+      CASE WHEN w.after < {shards} THEN {{'at': w.after, 'after': ((w.after + 1) * 2147483648) // (({r} >> 1) + 1)}} ELSE w END,
+      {{'at': -1::BIGINT, 'after': 0::BIGINT}}).at::INTEGER"""
+
+
+OP3 = f"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, {CRC_STEP.format("c")}, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+docs AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents
+), rows_ AS (
+  SELECT doc_id, len(h) // 2 + 1 AS size, key,
+    xor(4294967295, list_reduce(list_transform(list_filter(string_split(regexp_replace(h, '(..)', '\\1 ', 'g'), ' '), lambda x: x <> ''),
+      lambda x: try_cast('0x' || x AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS text_crc32,
+    {_jump(16)} AS shard, {_jump(17)} AS grown_shard
+  FROM docs, crc
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY {DRAW.format("key || ':lane'")} % 256, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM rows_
+"""
+
+OP4 = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role NOT IN ('system', 'developer')),
+parts AS (
+  SELECT t.conv_id, speaker, coalesce(floor(turn / 64)::BIGINT, 9223372036854775807) AS chunk, turn, role, text, role = speaker AS own,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role IN ('system', 'developer') THEN 'system'
+      ELSE 'user name=' || replace(replace(role, '<|', '<\|'), chr(10), ' ') END || chr(10) AS head,
+    replace(text, '<|', '<\|') || '<|im_end|>' AS body
+  FROM turns t JOIN speakers USING (conv_id)
+), placed AS (
+  SELECT *, coalesce(sum(len(head) + len(body) + 1) OVER (PARTITION BY conv_id, speaker, chunk ORDER BY turn NULLS LAST, role, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM parts
+)
+SELECT conv_id, speaker, chunk, count(*)::INTEGER AS n_turns,
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS text,
+  coalesce(string_agg((pos + len(head)) || '-' || (pos + len(head) + len(body)), ',' ORDER BY pos) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, chunk
+"""
+
+CHECKS = {
+    "op1_ngram_jaccard": OP1,
+    "op3_jump_sharding": OP3,
+    "op4_perspective_rotation": OP4,
+    "op6_fm_decontamination": OP6,
+    "op8_line_dedup": OP8,
+}

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import fmindex, jaccard, language, lines, pieces, tokenfile, vocab
+from barline.llm import fmindex, jaccard, language, lines, perspectives, pieces, pseudonyms, sharding, tokenfile, vocab
 from barline.llm.checks import CHECKS
 from barline.session import work_folder
 
+#: For the registered query only; a real key is given by the caller and kept secret.
+SAMPLE_KEY = "sample"
+
 __all__ = ["CHECKS", "QUERIES"]
 
 
@@ -20,6 +23,20 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, folder, "documents").select("doc_id", "text"), SAMPLE_KEY)
+
+
+def op3_jump_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(table(spark, folder, "documents"))
+
+
+def op4_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    views = perspectives.rotate(table(spark, folder, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return views.withColumn("mask", mask)
+
+
 def op6_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = fmindex.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), keep_text=False)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
@@ -50,6 +67,9 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
+    "op3_jump_sharding": op3_jump_sharding,
+    "op4_perspective_rotation": op4_perspective_rotation,
     "op6_fm_decontamination": op6_fm_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,
