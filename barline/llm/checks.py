@@ -127,10 +127,25 @@ SELECT conv_id, speaker, chunk, count(*)::INTEGER AS n_turns,
 FROM placed GROUP BY conv_id, speaker, chunk
 """
 
+OP5 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b
+), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a), degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, vec_id = root AS kept
+FROM embeddings JOIN roots ON a = vec_id LEFT JOIN degree ON x = vec_id
+"""
+
 CHECKS = {
     "op1_ngram_jaccard": OP1,
     "op3_jump_sharding": OP3,
     "op4_perspective_rotation": OP4,
+    "op5_embedding_cells": OP5,
     "op6_fm_decontamination": OP6,
     "op8_line_dedup": OP8,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import fmindex, jaccard, language, lines, perspectives, pieces, pseudonyms, sharding, tokenfile, vocab
+from barline.llm import cells, fmindex, jaccard, language, lines, perspectives, pieces, pseudonyms, sharding, tokenfile, vocab
 from barline.llm.checks import CHECKS
 from barline.session import work_folder
 
@@ -37,6 +37,10 @@ def op4_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return views.withColumn("mask", mask)
 
 
+def op5_embedding_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return cells.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op6_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = fmindex.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), keep_text=False)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_jump_sharding": op3_jump_sharding,
     "op4_perspective_rotation": op4_perspective_rotation,
+    "op5_embedding_cells": op5_embedding_cells,
     "op6_fm_decontamination": op6_fm_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_line_dedup": op8_line_dedup,

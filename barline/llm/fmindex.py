@@ -13,7 +13,7 @@ so the size of a broadcast is bounded whatever the benchmark has.
 
 Defined cases: null or wordless texts have no words and no hits; items without words or with null text have no phrases;
 a null item id counts as the empty string; equal ids are one item. Repeated rows each get their own result. Columns of
-the input are kept; the added ones must not exist already.
+the input are kept, but for such as are named like an added one.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.llm import textkit
+from barline.llm.store import without
 
 WINDOW = 10
 SHARD = 1 << 20
@@ -307,7 +308,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """`docs` with n_words (long), spans (hit stretches: first and last word, start and end byte) and items (distinct item ids, sorted)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    context = docs.sparkSession.sparkContext
+    context, docs = docs.sparkSession.sparkContext, without(docs, "n_words", "spans", "items")
     now = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"))
     text_at = docs.columns.index(text_col)
     blocks = list(map(context.broadcast, map(Phrases, item_blocks(benchmark, item_col, item_text_col))))

@@ -10,8 +10,8 @@ shuffle, and only `TOP` rows a language reach the driver. Prediction is one pass
 The labels must be languages, that is, of a number that a driver can hold `TOP` rows each of.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is any text when there is nothing to
-learn from; a null id is never learned from; ties go to the first language by name. Columns of the input are kept; the
-added ones must not exist already.
+learn from; a null id is never learned from; ties go to the first language by name. Columns of the input are kept, but
+for such as are named like an added one.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barline.llm import textkit
-from barline.llm.store import PIECE, counter_rows, saved
+from barline.llm.store import PIECE, counter_rows, pack, saved, unpack
 
 TOP = 300
 UNKNOWN = "und"
+#: Below this mean nearness a text is in none of the languages; texts of a language reach twice that and more.
+REJECT = 0.2
 SLAB = 1 << 20
 HELD_LANGS = 16
 #: Codes of one, two and three letter classes, rounded up to whole pieces.
@@ -103,7 +105,7 @@ def _sum(last: bool):
 
         def out() -> pd.DataFrame:
             if not last:
-                return pd.DataFrame({"lang": [key[0]], "piece": [key[1]], "data": [total.tobytes()]})
+                return pd.DataFrame({"lang": [key[0]], "piece": [key[1]], "data": [pack(total)]})
             best = np.argsort(-total, kind="stable")[:TOP]
             best = best[total[best] > 0]
             return pd.DataFrame({"lang": key[0], "code": best + key[1] * PIECE, "n": total[best]})
@@ -114,7 +116,7 @@ def _sum(last: bool):
                     if key is not None:
                         yield out()
                     key, total = (lang, piece), np.zeros(PIECE, np.int64)
-                total += np.frombuffer(data, np.int64)
+                total += unpack(data)
         if key is not None:
             yield out()
 
@@ -159,7 +161,7 @@ class Profiles:
 
 def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` (columns `keep`, by default all) with lang_pred and score; `known` comes from `profiles`."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     table = docs.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in known.collect()]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -183,3 +185,8 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Learn from the documents that are not held out, then identify all. The profiles are written once."""
     known = saved(profiles(docs.where(~held_out(id_col)), text_col, lang_col), "profiles")
     return identify(docs, known, text_col, keep)
+
+
+def accepted(found: DataFrame) -> DataFrame:
+    """Rows of `predict` in some known language."""
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT))

@@ -15,8 +15,8 @@ Most lines have no neighbour and need no variants: near lines share their first
 lines share are set in a bitmap of fixed size; lines without such a half are left out, which loses nothing.
 
 Defined cases: null texts stay null, texts without line feeds are one line, blank lines stay, null ids come last in
-order. Rows that repeat one id and text are one document and all get its result. Columns of the input are kept; the added
-ones must not exist already.
+order. Rows that repeat one id and text are one document and all get its result. Columns of the input are kept, but for
+such as are named like an added one.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.llm import textkit
-from barline.llm.store import saved
+from barline.llm.store import saved, without
 
 MIN_WORDS = 4
 NEAR_WORDS = 8
@@ -208,6 +208,7 @@ def _cut(schema: T.StructType, at: int):
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with its texts cut to the lines that stay, n_lines (before) and n_kept."""
+    docs = without(docs, "n_lines", "n_kept")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
     rows = saved(texts.mapInArrow(_line_rows, "id long, mark long, line int, k1 long, k2 long, halves array<long>"), "lines")
     different = saved(rows.groupBy("k1", "k2").agg(F.min(_place()).alias("first")), "different")
@@ -215,6 +216,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fates = different.join(near, ["k1", "k2"], "left")
     gone = rows.select("k1", "k2", _place().alias("place")).join(fates, ["k1", "k2"]).where("near or place <> first")
     gone = gone.groupBy(F.col("place.doc").alias("_doc"), F.col("place.mark").alias("_mark")).agg(F.collect_set("place.line").alias("_gone"))
-    met = docs.join(gone, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(text_col) == F.col("_mark")), "left")
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)) == gone["_doc"]) & (F.xxhash64(docs[text_col]) == gone["_mark"])
+    met = docs.join(gone, same, "left").select(*(docs[c] for c in docs.columns), gone["_gone"])
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
-    return met.select(*docs.columns, "_gone").mapInArrow(_cut(schema, docs.columns.index(text_col)), schema)
+    return met.mapInArrow(_cut(schema, docs.columns.index(text_col)), schema)
+
+
+def with_content(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of `dedup_lines` that lost nothing or still have a line of MIN_WORDS words."""
+    worded = F.exists(F.split(text_col, "\n"), lambda line: F.size(F.split(F.trim(line), r"\s+")) >= MIN_WORDS)
+    return found.where((F.col("n_kept") == F.col("n_lines")) | worded)

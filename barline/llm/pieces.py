@@ -9,7 +9,8 @@ table for all data at once would have to carry every (block, chunk) pair through
 Nothing is shuffled, and a lost executor repeats its own tasks only.
 
 Defined cases: null and empty texts have no ids and decode to the empty string. Markers that stand in the text itself
-are treated as the library does, as white space. Columns of the input are kept; added ones must not exist already.
+are treated as the library does, as white space. Columns of the input are kept, but for such as are named like an added
+one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from barline.llm.store import without
+
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DECODED = T.StructField("decoded", T.StringType())
 MARK = "▁"
 TABLE = 300_000
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -78,6 +83,7 @@ class ChunkTable:
 
 def _with(docs: DataFrame, text_col: str, keep: list[str], added: list[T.StructField], make: Callable[[list], list[pa.Array]]) -> DataFrame:
     """`keep` columns of `docs` and the arrays that `make` gets from each run of texts."""
+    keep = [c for c in keep if c.lower() not in {f.name.lower() for f in added}]
     schema = T.StructType([docs.schema[c] for c in keep] + added)
     source = docs.select(*keep, docs[text_col].alias("__text"))
 
@@ -97,18 +103,30 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     def make(texts: list[str]) -> list[pa.Array]:
         return [pa.array(list(_table(model_path).encode(texts)), pa.list_(pa.int32()))]
 
-    return _with(docs, text_col, docs.columns if keep is None else keep, [T.StructField("ids", T.ArrayType(T.IntegerType()))], make)
+    return _with(docs, text_col, docs.columns if keep is None else keep, [IDS], make)
+
+
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`docs` (columns `keep`, by default all) with `ids` and, from them, `decoded`."""
+
+    def make(texts: list[str]) -> list[pa.Array]:
+        table = _table(model_path)
+        ids = list(table.encode(texts))
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([table.model.decode(i) if i else "" for i in ids], pa.string())]
+
+    return _with(docs, text_col, docs.columns if keep is None else keep, [IDS, DECODED], make)
 
 
 def decode(found: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """`found` with `decoded`; null ids give null."""
-    schema = T.StructType([*found.schema, T.StructField("decoded", T.StringType())])
+    found = without(found, "decoded")
+    schema = T.StructType([*found.schema, DECODED])
     at = found.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = processor(model_path)
         for batch in batches:
-            texts = [None if ids is None else model.decode(ids) for ids in batch.column(at).to_pylist()]
+            texts = [None if ids is None else model.decode(ids) if ids else "" for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return found.mapInArrow(run, schema)

@@ -14,8 +14,8 @@ holds: length, punctuation, letter case, check digits, calendar.
 
 What fails its validation stays as it is. There is no shuffle and no state; the key must be kept secret by the caller.
 
-Defined cases: null texts stay null, empty ones empty; repeated rows get the same result. Columns of the input are kept;
-the added one must not exist already.
+Defined cases: null texts stay null, empty ones empty; repeated rows get the same result. Columns of the input are kept, but
+for one named like the added one.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm.store import without
+
 ROUNDS = 8
 #: Longest run of characters that a half's hash stream covers; the patterns below stay under twice that.
 STREAM = 128
@@ -213,7 +215,7 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with its texts rewritten and `n_found`, the number of values of any format (valid or not) in the text."""
-    text = F.col(text_col)
+    docs, text = without(docs, "n_found"), F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     new = F.array_join(F.zip_with(
         F.split(text, PATTERN, -1), F.transform(found, lambda m: pseudonym(m, key)), lambda part, m: F.concat(part, F.coalesce(m, F.lit("")))), "")
