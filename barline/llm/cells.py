@@ -141,11 +141,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                     cosine: float = COSINE, margin: float = MARGIN) -> DataFrame:
     """One row per row of `vectors`: (vec_id, n_links, component_id, kept)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    vec = F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     # Scaled by the largest component, so that no length overflows or vanishes.
     largest = F.array_max(F.transform("vec", F.abs))
-    good = rows.where("id is not null and label is not null and vec is not null").where(finite).withColumn("vec", F.transform("vec", lambda x: x / largest))
+    rows = rows.withColumn("vec", F.when(finite, F.transform("vec", lambda x: x / largest)))
+    good = rows.where("id is not null and label is not null and vec is not null")
     classes = saved(good.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
 
     total = classes.count()
@@ -170,7 +172,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     roots = components(found.where("other is not null"), "id", "other")
     labels = classes.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         "label", "vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component"))
-    keyed = rows.withColumn("vec", F.transform("vec", lambda x: x / largest)).join(labels, ["label", "vec"], "left")
+    keyed = rows.join(labels, ["label", "vec"], "left")
     own = keyed.withColumn("usable", F.col("id").isNotNull() & F.col("component").isNotNull())
     return own.select(
         F.col("id").alias("vec_id"), F.when(F.col("usable"), F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barline.llm import textkit
-from barline.llm.store import PIECE, counter_rows, pack, saved, unpack
+from barline.llm.store import PIECE, counter_rows, free_name, pack, saved, unpack
 
 TOP = 300
 UNKNOWN = "und"
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: li
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
 
-    return docs.select(*keep, docs[text_col].cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].cast("string").alias(free_name(docs, "__text"))).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.llm import textkit
-from barline.llm.store import saved, without
+from barline.llm.store import free_name, saved, without
 
 MIN_WORDS = 4
 NEAR_WORDS = 8
@@ -217,7 +217,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = rows.select("k1", "k2", _place().alias("place")).join(fates, ["k1", "k2"]).where("near or place <> first")
     gone = gone.groupBy(F.col("place.doc").alias("_doc"), F.col("place.mark").alias("_mark")).agg(F.collect_set("place.line").alias("_gone"))
     same = (F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)) == gone["_doc"]) & (F.xxhash64(docs[text_col]) == gone["_mark"])
-    met = docs.join(gone, same, "left").select(*(docs[c] for c in docs.columns), gone["_gone"])
+    met = docs.join(gone, same, "left").select(*(docs[c] for c in docs.columns), gone["_gone"].alias(free_name(docs, "gone")))
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
     return met.mapInArrow(_cut(schema, docs.columns.index(text_col)), schema)
 

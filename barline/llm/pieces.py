@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from barline.llm.store import without
+from barline.llm.store import free_name, without
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 DECODED = T.StructField("decoded", T.StringType())
@@ -85,7 +85,7 @@ def _with(docs: DataFrame, text_col: str, keep: list[str], added: list[T.StructF
     """`keep` columns of `docs` and the arrays that `make` gets from each run of texts."""
     keep = [c for c in keep if c.lower() not in {f.name.lower() for f in added}]
     schema = T.StructType([docs.schema[c] for c in keep] + added)
-    source = docs.select(*keep, docs[text_col].alias("__text"))
+    source = docs.select(*keep, docs[text_col].alias(free_name(docs, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -64,6 +64,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(df[c] for c in df.columns if c.lower() not in {n.lower() for n in names}))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def packed(df: DataFrame, *needed: str) -> DataFrame:
     """The needed columns, and all others in one struct, where no added column can clash with them."""
     return df.select(*(df[c] for c in needed), F.struct(F.lit(0).alias("_"), *(df[c] for c in df.columns if c not in needed)).alias("__rest"))
