@@ -244,7 +244,7 @@ SELECT ticker, CAST(row_number() OVER (ORDER BY combined_score DESC, ticker) AS
 def overall_rank(spark, sf):
     raw = scr.raw_percentiles(scr.latest_returns(t.bars(spark, sf)), [])
     rows = raw.select("ticker", rnd(F.col("raw_13w") * 0.6 + F.col("raw_1w") * 0.4, 1).alias("combined_score"))
-    return ranking.position(rows, [], [F.col("combined_score").desc(), F.col("ticker")]).select("ticker", "rank")
+    return ranking.position(rows, [], "combined_score", ["ticker"]).select("ticker", "rank")
 
 
 def _pick_table(fn, spark, sf):
@@ -374,8 +374,7 @@ LEFT JOIN (SELECT ticker, row_number() OVER (ORDER BY volume DESC, ticker) AS ra
 def rank_delta(spark, sf):
     bars = t.bars(spark, sf)
     prev, today = scr.newest_sessions(bars, 2)
-    order = [F.col("volume").desc(), F.col("ticker")]
-    ranks = {d: ranking.position(bars.filter(F.col("dt") == F.lit(d)), [], order).select("ticker", "rank") for d in (prev, today)}
+    ranks = {d: ranking.position(bars.filter(F.col("dt") == F.lit(d)), [], "volume", ["ticker"]).select("ticker", "rank") for d in (prev, today)}
     return scr.with_rank_change(ranks[today], ranks[prev]).select(
         "ticker", F.col("rank_change").cast("double").alias("rank_change"), "rank_change_str")
 

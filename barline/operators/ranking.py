@@ -1,8 +1,8 @@
 """Ranks and percentiles inside an as-of group of any size.
 
-A plain window puts a whole as-of group into one task. Every function here uses that plan
-only while the input's estimated size proves it harmless; past the bound it switches to a
-range-partitioned running total that no single task has to hold.
+A plain window would put a whole as-of group into one task. Here a group is cut into slices of its value: an
+order-preserving function of the value alone, so a recomputed task gets the same slices. Running sums go inside a
+slice, and one row per slice carries the offset. A group has at most some ten thousand slices, whatever its rows.
 """
 
 from __future__ import annotations
@@ -11,46 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barline.session import is_small, use_checkpoints
 
+def slice_of(value: Column) -> Column:
+    """A whole number that never falls as the value rises: fine around zero, in steps of 1.6 % far from it. Nulls come
+    first, NaN last."""
+    x = value.cast("double")
+    return F.when(F.isnan(x), F.lit(1 << 31)).otherwise(
+        F.coalesce(F.floor(F.signum(x) * F.log1p(F.least(F.abs(x), F.lit(1e300)) * 16) * 64), F.lit(-(1 << 31))))
 
-def running_total(
-    df: DataFrame, by: list[str], order: list[Column], weight: Column, out: str, small: bool | None = None
-) -> DataFrame:
-    """Add `out`, the running sum of `weight` in `order` within `by`. `order` must be unique."""
-    if not by:
-        return running_total(df.withColumn("_one", F.lit(1)), ["_one"], order, weight, out, small).drop("_one")
-    if small is None:
-        small = is_small(df)
-    if small:
-        window = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(weight).over(window))
-
-    use_checkpoints(df.sparkSession)
-    # Range partitions split even one huge group; the checkpoint pins the row-to-slice mapping.
-    sliced = (
-        df.withColumn("_weight", weight)
-        .repartitionByRange(*[F.col(c) for c in by], *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
-    per_slice = sliced.groupBy(*by, "_slice").agg(F.sum("_weight").alias("_sum"))
-    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slice.select(*by, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+
+def running_total(df: DataFrame, by: list[str], value: Column, order: list[Column], weight: Column, out: str) -> DataFrame:
+    """Add `out`, the running sum of positive weights in `order` within `by`. `order` must be unique and begin with
+    `value`, rising."""
     inside = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        sliced.withColumn(out, F.sum("_weight").over(inside))
-        .join(offsets, [*by, "_slice"])
-        .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop("_weight", "_slice", "_offset")
-    )
+    counted = df.withColumn("_slice", slice_of(value)).withColumn(out, F.sum(weight).over(inside))
+    # The rows lie by (by, _slice) already: neither the sums nor the join move them again.
+    sums = counted.groupBy(*by, "_slice").agg(F.max(out).alias("_sum"))
+    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*by, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    return counted.join(offsets, [*by, "_slice"]).withColumn(out, F.col(out) + F.col("_offset")).drop("_slice", "_offset")
 
 
-def position(
-    df: DataFrame, by: list[str], order: list[Column], out: str = "rank", small: bool | None = None
-) -> DataFrame:
-    """1..n in `order` within `by`."""
-    return running_total(df, by, order, F.lit(1).cast("long"), out, small).withColumn(out, F.col(out).cast("int"))
+def position(df: DataFrame, by: list[str], value: str, ties: list[str], out: str = "rank") -> DataFrame:
+    """1..n by falling value (nulls last) within `by`, then by rising ties."""
+    falling = -F.col(value)
+    order = [F.col(value).desc_nulls_last(), *map(F.col, ties)]
+    # Nulls come last here, so their slice must, too.
+    keyed = F.coalesce(falling.cast("double"), F.lit(float("nan")))
+    return running_total(df, by, keyed, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out).cast("int"))
 
 
 def percent_of(part: Column, whole: Column) -> Column:
@@ -58,33 +46,18 @@ def percent_of(part: Column, whole: Column) -> Column:
     return F.floor((part * 2000 + whole) / (whole * 2)) / 10
 
 
-def percents_at_or_below(
-    df: DataFrame, by: list[str], columns: dict[str, str], small: bool | None = None
-) -> DataFrame:
+def percents_at_or_below(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
     """For each value column: 100 * count(v <= value) / count(v) within `by` to one decimal.
 
     columns: value column to output column; null values get null and do not count.
     """
-    if not by:
-        return percents_at_or_below(df.withColumn("_one", F.lit(1)), ["_one"], columns, small).drop("_one")
-    if small is None:
-        small = is_small(df)
-    if small:
-        # The ordered frame includes ties, and count() leaves nulls out of both numbers.
-        everyone = W.partitionBy(*by)
-        for value, out in columns.items():
-            share = percent_of(F.count(value).over(everyone.orderBy(value)), F.count(value).over(everyone))
-            df = df.withColumn(out, F.when(F.col(value).isNotNull(), share))
-        return df
-
-    # One row per distinct value, all columns in one pass: a value shared by a third of the rows
-    # is one row here.
+    # One row per distinct value, all columns in one pass: a value shared by a third of the rows is one row here.
     levels = (
-        df.unpivot(by, list(columns), "_column", "_value").filter(F.col("_value").isNotNull())
+        df.unpivot(by or [F.lit(1).alias("_all_rows")], list(columns), "_column", "_value").filter(F.col("_value").isNotNull())
         .groupBy(*by, "_column", "_value").agg(F.count("*").alias("_n"))
     )
-    ladder = running_total(levels, [*by, "_column"], [F.col("_value")], F.col("_n"), "_upto", small=False)
-    totals = ladder.groupBy(*by, "_column").agg(F.max("_upto").alias("_all"))
+    ladder = running_total(levels, [*by, "_column"], F.col("_value"), [F.col("_value")], F.col("_n"), "_upto")
+    totals = levels.groupBy(*by, "_column").agg(F.sum("_n").alias("_all"))
     scale = ladder.join(totals, [*by, "_column"])
     for value, out in columns.items():
         part = scale.filter(F.col("_column") == value).select(

@@ -53,8 +53,8 @@ def rarest_first(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
     ).drop("by_rarity")
 
 
-def size_classes(limit: int = 10_000_000) -> list[tuple[int, int]]:
-    """(low, high) set sizes: single sizes up to 12, then steps of a quarter."""
+def size_classes(limit: int = 2**31 - 1) -> list[tuple[int, int]]:
+    """(low, high) set sizes, to the largest array there can be: single sizes up to 12, then steps of a quarter."""
     lows = list(range(1, 13))
     while lows[-1] < limit:
         lows.append(math.ceil(lows[-1] * 1.25))

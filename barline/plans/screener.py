@@ -26,10 +26,10 @@ def bench_returns(bench: DataFrame) -> DataFrame:
     )
 
 
-def raw_percentiles(returns: DataFrame, by: list[str], small: bool | None = None) -> DataFrame:
+def raw_percentiles(returns: DataFrame, by: list[str]) -> DataFrame:
     """raw_1w / raw_4w / raw_13w: share of names at or below, one decimal. Names with short
     history still count in the horizons they have."""
-    return ranking.percents_at_or_below(returns, by, {f"ret_{h}": f"raw_{h}" for h in HORIZON_KEYS}, small)
+    return ranking.percents_at_or_below(returns, by, {f"ret_{h}": f"raw_{h}" for h in HORIZON_KEYS})
 
 
 def rs_fields(df: DataFrame) -> DataFrame:
@@ -97,10 +97,9 @@ def ma_position(bars: DataFrame) -> DataFrame:
 
 # ---- ranked screens --------------------------------------------------------
 
-def rank_rows(rows: DataFrame, small: bool | None = None) -> DataFrame:
+def rank_rows(rows: DataFrame) -> DataFrame:
     """Rank by combined score inside each as-of day; ties by ticker."""
-    order = [F.col("combined_score").desc(), F.col("ticker")]
-    return ranking.position(rows, ["as_of"], order, "rank", small)
+    return ranking.position(rows, ["as_of"], "combined_score", ["ticker"])
 
 
 def with_rank_change(today: DataFrame, previous: DataFrame | None) -> DataFrame:
@@ -194,7 +193,7 @@ def group_ranking(closes: DataFrame, names: DataFrame, bench: DataFrame, key: st
         gained.alias("return_13w"), rnd(gained - F.col("bench_13w"), 2).alias("vs_benchmark"),
         rnd(F.col("close"), 2).alias("price"),
     )
-    return ranking.position(rows, [], [F.col("rs_score").desc(), F.col("pos")], "rank").drop("pos")
+    return ranking.position(rows, [], "rs_score", ["pos"]).drop("pos")
 
 
 # ---- picks -----------------------------------------------------------------

@@ -1,14 +1,10 @@
-"""Session helpers: a tuned builder, an input size check and the checkpoint folder."""
+"""Session helpers: a tuned builder and the checkpoint folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Below this much stored input one task per as-of group is known to be cheap.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "barline", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,36 +24,18 @@ def build_session(app: str = "barline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of everything a plan reads. No job runs; unknown sources count as huge."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    return input_bytes(df) <= limit
-
-
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point Spark at the shared checkpoint folder named by the session.
-
-    Only a local session without that setting gets a folder of its own.
-    """
+    """Point Spark at the shared checkpoint folder that the session names in spark.checkpoint.dir; where it names none,
+    at one inside its warehouse, which executors share as well."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="barline-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

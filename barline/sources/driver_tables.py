@@ -281,7 +281,7 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies around the event properties: fenced, trailing comma, cut short, clean."""
     body = F.col("props")
-    inner = F.substring(body, 2, 1000)
+    inner = F.substring(body, F.lit(2), F.length(body))
     wrapped = (
         F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(F.col("event_id") % 4 == 1, F.concat(F.lit("Here it is: {\"tag\": \"x\","), F.rtrim(F.substring_index(inner, "}", 1)), F.lit(",}")))

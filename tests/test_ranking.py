@@ -12,29 +12,41 @@ def rows(n=400, seed=1):
             for i in range(n)]
 
 
-def test_percent_paths_agree_and_match_counting(spark):
+def test_percents_match_counting(spark):
     data = rows()
     df = spark.createDataFrame(data, "g string, t string, v double")
-    small = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}, small=True).collect()}
-    large = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}, small=False).collect()}
-    assert small == large
+    got = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}).collect()}
+    whole = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, [], {"v": "p"}).collect()}
     for g, t, v in data:
         if v is None:
-            assert small[t] is None
+            assert got[t] is None and whole[t] is None
             continue
-        pool = [x for gg, _, x in data if gg == g and x is not None]
-        exact = sum(x <= v for x in pool) / len(pool) * 100
-        assert abs(small[t] - exact) <= 0.05 + 1e-9
-    assert max(v for v in small.values() if v is not None) == 100.0
-
-
-def test_position_paths_agree(spark):
-    df = spark.createDataFrame(rows(), "g string, t string, v double").fillna(0.0)
-    order = [F.col("v").desc(), F.col("t")]
-    got = [{r["t"]: r["rank"] for r in ranking.position(df, ["g"], order, small=s).collect()} for s in (True, False)]
-    assert got[0] == got[1]
-    everyone = [{r["t"]: r["rank"] for r in ranking.position(df, [], order, small=s).collect()} for s in (True, False)]
-    assert everyone[0] == everyone[1] and sorted(everyone[0].values()) == list(range(1, 401))
+        for percent, pool in ((got[t], [x for gg, _, x in data if gg == g and x is not None]), (whole[t], [x for *_, x in data if x is not None])):
+            assert abs(percent - sum(x <= v for x in pool) / len(pool) * 100) <= 0.05 + 1e-9
+    assert max(v for v in got.values() if v is not None) == 100.0
+
+
+def test_position_matches_sorting(spark):
+    data = rows() + [("a", "u1", 1e12), ("a", "u2", -1e12), ("b", "u3", 0.0), ("b", "u4", -0.004), ("b", "u5", 1e-9)]
+    df = spark.createDataFrame(data, "g string, t string, v double")
+    key = lambda r: (r[2] is None, -(r[2] or 0.0), r[1])
+    whole = {r["t"]: r["rank"] for r in ranking.position(df, [], "v", ["t"]).collect()}
+    assert whole == {r[1]: n for n, r in enumerate(sorted(data, key=key), 1)}
+    inside = {r["t"]: r["rank"] for r in ranking.position(df, ["g"], "v", ["t"]).collect()}
+    assert inside == {r[1]: n for g in "ab" for n, r in enumerate(sorted((x for x in data if x[0] == g), key=key), 1)}
+
+
+def test_slices_keep_the_order(spark):
+    rng = random.Random(3)
+    values = sorted(rng.choice((1, -1)) * 10 ** rng.uniform(-6, 20) for _ in range(2000))
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").orderBy("v").select(ranking.slice_of(F.col("v"))).collect()]
+    assert got == sorted(got) and len(set(got)) > 500
+
+
+def test_no_task_holds_a_group(spark):
+    df = spark.createDataFrame(rows(), "g string, t string, v double")
+    plan = ranking.position(df, [], "v", ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_slice" in plan and plan.count("SinglePartition") == 1  # the offsets only
 
 
 def test_input_order_does_not_matter(spark):
