@@ -8,8 +8,10 @@ near it, whether or not that one stays itself.
 
 The neighbourhood of a line is its own key, its keys with one word deleted, and these keys with the place of the
 deletion; equal keys of the last kind mean one replaced word, a line's own key equal to another's deletion means one
-inserted word. Only the earliest line of each key matters, so keys are aggregated and never paired with each other; the
-partner so found is verified word by word. Copies of a line are one row before its neighbourhood is made.
+inserted word. Only the earliest line of a key matters: where a task meets a placed key again, the later line is decided
+there and only the earliest goes on, so a template with one changing word sends one entry a task however many lines fit
+it. Keys travel packed by bucket. The partner so found is verified word by word. Copies of a line are one row before its
+neighbourhood is made.
 
 Most lines have no neighbour and need no variants: near lines share their first or last half. Halves that two different
 lines share are set in a bitmap of fixed size; lines without such a half are left out, which loses nothing.
@@ -32,11 +34,14 @@ from pyspark.sql import types as T
 
 from barline.llm import textkit
 from barline.llm.store import free_name, saved, without
+from barline.session import shuffle_partitions
 
 MIN_WORDS = 4
 NEAR_WORDS = 8
 BITS = 1 << 25
 SEEN = 300_000
+BUCKETS = 256
+FLUSH = 500_000
 SLAB = 1 << 20
 _FEED = 10
 _LAST = (1 << 63) - 1
@@ -76,13 +81,6 @@ class Lines:
             out.append(textkit.mix(self.run(self.end - half, self.end) + salt + np.uint64(1)))
         return np.stack(out, axis=1)
 
-    def without(self, k: int) -> np.ndarray:
-        """Keys of line k with each of its words deleted."""
-        a, b = self.first[k], self.end[k]
-        at = np.arange(a, b)
-        rest = (self.total[0][at] - self.total[0][a]) * self.down[a] + (self.total[0][b] - self.total[0][at + 1]) * self.down[a + 1]
-        return textkit.mix(rest + np.uint64(b - a - 1))
-
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, hash, text) to one row for each line of MIN_WORDS or more."""
@@ -103,9 +101,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(lines.keys(1)[keep].view(np.int64)), lists], names=["id", "mark", "line", "k1", "k2", "halves"])
 
 
-def _neighbourhoods(bits):
+def _candidates(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (text) to one row for each different line that may have a neighbour."""
+        """Rows (text) to (k1, k2, word hashes) of each different line that may have a neighbour."""
         flags, seen = np.frombuffer(bits.value, np.uint8), set()
         for batch in batches:
             for _, _, raw, offsets in textkit.slabs(batch.column(0), SLAB):
@@ -121,14 +119,105 @@ def _neighbourhoods(bits):
                     if len(seen) >= SEEN:  # copies further apart meet in the aggregation
                         seen.clear()
                     seen.add(name)
-                    rest = lines.without(k)
-                    placed = textkit.mix(rest + np.arange(1, len(rest) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    words = lines.words[lines.first[k] : lines.end[k]]
-                    rows.append((name, int(k2[k]), words.view(np.int64), rest.view(np.int64), placed.view(np.int64)))
+                    rows.append((name, int(k2[k]), lines.words[lines.first[k] : lines.end[k]].tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), *(pa.array([r[c] for r in rows], pa.list_(pa.int64())) for c in (2, 3, 4))],
-                        names=["k1", "k2", "words", "deleted", "placed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["k1", "k2", "words"])
+
+    return run
+
+
+OWN, DELETED, PLACED = 0, 1, 2
+
+
+def neighbourhood(words: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A line's own key, and its keys with each word deleted: without and with the place."""
+    n = len(words)
+    up, down = textkit.powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n])])
+    own = textkit.mix(total[-1:] + np.uint64(n))
+    deleted = textkit.mix(total[:-1] + (total[-1] - total[1:]) * down[1] + np.uint64(n - 1))
+    placed = textkit.mix(deleted + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return int(own[0]), deleted, placed
+
+
+def _variants(buckets: int, flush: int):
+    """Rows (place number, word hashes) in order, to packed entries by bucket of their key; pairs that are decided here
+    go to buckets beyond the last."""
+
+    def pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        by = np.argsort(bucket, kind="stable")
+        cuts = textkit.runs(bucket[by])
+        ranges = list(zip(cuts[:-1], cuts[1:]))
+        packed = [pa.array([c[by[i:j]].tobytes() for i, j in ranges], pa.binary()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[by[cuts[:-1]]], pa.int32()), *packed], names=["bucket", "keys", "places", "kinds"])
+
+    def rows(run_: list) -> Iterator[pa.RecordBatch]:
+        size = [len(r[2]) for r in run_]
+        place = np.repeat(np.array([r[0] for r in run_], np.int64), size)
+        deleted, placed = (np.concatenate([r[k] for r in run_]) for k in (2, 3))
+        by = np.argsort(placed, kind="stable")  # earliest first among equals
+        heads = textkit.runs(placed[by])
+        first = by[heads[:-1]]
+        later = np.ones(len(by), bool)
+        later[heads[:-1]] = False
+        if later.any():
+            least = np.repeat(place[first], np.diff(heads))[later]
+            pairs = np.unique(np.stack([place[by[later]], least]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            if pairs.shape[1]:
+                yield pack((buckets + pairs[0] % buckets).astype(np.int32), pairs[0], pairs[1], np.zeros(pairs.shape[1], np.uint8))
+        keys = np.concatenate([placed[first], deleted[first], np.array([r[1] for r in run_], np.uint64)])
+        places = np.concatenate([place[first], place[first], np.array([r[0] for r in run_], np.int64)])
+        kinds = np.repeat(np.array([PLACED, DELETED, OWN], np.uint8), [len(first), len(first), len(run_)])
+        yield pack((keys % np.uint64(buckets)).astype(np.int32), keys, places, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.frombuffer(data, np.uint64)
+                waiting.append((place, *neighbourhood(words)))
+                held += len(words)
+                if held >= flush:
+                    yield from rows(waiting)
+                    waiting, held = [], 0
+        if waiting:
+            yield from rows(waiting)
+
+    return run
+
+
+def _meet(buckets: int):
+    """Packed entries of a bucket to pairs (place number, place number of an earlier neighbour)."""
+
+    def settle(parts: list, bucket: int) -> pd.DataFrame:
+        keys, places, kinds = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((0, np.uint64), (1, np.int64), (2, np.uint8)))
+        if bucket >= buckets:
+            return pd.DataFrame({"place": keys.view(np.int64), "partner": places})
+        out = []
+        for wants, gives in ((PLACED, PLACED), (DELETED, OWN), (OWN, DELETED)):
+            mine, theirs = np.flatnonzero(kinds == wants), np.flatnonzero(kinds == gives)
+            by = theirs[np.lexsort((places[theirs], keys[theirs]))]
+            by = by[textkit.runs(keys[by])[:-1]]  # the earliest of each key
+            if not len(by) or not len(mine):
+                continue
+            at = np.minimum(np.searchsorted(keys[by], keys[mine]), len(by) - 1)
+            later = (keys[by][at] == keys[mine]) & (places[by][at] < places[mine])
+            out.append(np.stack([places[mine][later], places[by][at][later]]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"place": pairs[0], "partner": pairs[1]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, *part in batch.itertuples(index=False):
+                if parts and bucket != now:
+                    yield settle(parts, now)
+                    parts = []
+                now = bucket
+                parts.append(part)
+        if parts:
+            yield settle(parts, now)
 
     return run
 
@@ -147,7 +236,8 @@ def one_apart(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.loc[[one_apart(a, b) for a, b in zip(batch["words"], batch["p_words"])], ["k1", "k2"]]
+        near = [one_apart(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch["words"], batch["p_words"])]
+        yield batch.loc[near, ["k1", "k2"]]
 
 
 def _bitmap(keys: DataFrame, name: str) -> bytes:
@@ -168,20 +258,17 @@ def _near(texts: DataFrame, rows: DataFrame, different: DataFrame) -> DataFrame:
     """(k1, k2) of different lines that an earlier one is near to."""
     shared = rows.select("k1", F.explode("halves").alias("half")).groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
     bits = texts.sparkSession.sparkContext.broadcast(_bitmap(shared, "half"))
-    found = texts.select("text").mapInArrow(_neighbourhoods(bits), "k1 long, k2 long, words array<long>, deleted array<long>, placed array<long>")
-    found = saved(found.dropDuplicates(["k1", "k2"]), "neighbourhoods")
-    own = found.join(different, ["k1", "k2"]).select(
-        "k1", "k2", F.col("first").alias("place"),
-        F.concat(
-            F.array(F.struct(F.col("k1").alias("key"), F.lit(1).alias("is"), F.lit(2).alias("wants"))),
-            F.transform("deleted", lambda x: F.struct(x.alias("key"), F.lit(2).alias("is"), F.lit(1).alias("wants"))),
-            F.transform("placed", lambda x: F.struct(x.alias("key"), F.lit(0).alias("is"), F.lit(0).alias("wants")))).alias("variants"))
-    variants = saved(own.select("k1", "k2", "place", F.inline("variants")), "variants")
-    best = variants.groupBy("key", "is").agg(F.min(F.struct("place", "k1", "k2")).alias("best")).withColumnRenamed("is", "wants")
-    pairs = variants.join(best, ["key", "wants"]).where("best.place < place").select(
-        "k1", "k2", F.col("best.k1").alias("p1"), F.col("best.k2").alias("p2")).distinct()
-    words = found.select("k1", "k2", "words")
-    met = pairs.join(words, ["k1", "k2"]).join(words.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("words").alias("p_words")), ["p1", "p2"])
+    found = texts.select("text").mapInArrow(_candidates(bits), "k1 long, k2 long, words binary")
+    found = saved(found.dropDuplicates(["k1", "k2"]), "candidates")
+    # Numbered in order of place: numbers of one table, so that they stay.
+    sorted_ = found.join(different, ["k1", "k2"]).repartitionByRange("first").sortWithinPartitions("first")
+    lines = saved(sorted_.select(F.monotonically_increasing_id().alias("place"), "k1", "k2", "words"), "ordered")
+
+    buckets = max(BUCKETS, 4 * shuffle_partitions(texts.sparkSession))
+    entries = lines.select("place", "words").mapInArrow(_variants(buckets, FLUSH), "bucket int, keys binary, places binary, kinds binary")
+    pairs = entries.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_meet(buckets), "place long, partner long").distinct()
+    partners = lines.select(F.col("place").alias("partner"), F.col("words").alias("p_words"))
+    met = pairs.join(lines, "place").join(partners, "partner").select("k1", "k2", "words", "p_words")
     return met.mapInPandas(_verify, "k1 long, k2 long").distinct()
 
 
