@@ -5,12 +5,13 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barline.functions import text
 from barline.functions.dates import moment
 from barline.operators.ranking import first_k
-from barline.sources.dims import MAX_FEED_ITEMS, RSS_TOTAL_CAP
+from barline.sources.dims import RSS_TOTAL_CAP
 
 
 def fresh_entries(items: DataFrame, now: datetime) -> DataFrame:
@@ -37,10 +38,13 @@ def item_fields(items: DataFrame) -> DataFrame:
     )
 
 
-def cap_per_feed(items: DataFrame) -> DataFrame:
-    """The first max_items entries of each feed; a literal bound cuts before the shuffle."""
-    top = first_k(items, ["feed"], [F.col("pos")], MAX_FEED_ITEMS, out="_kept")
-    return top.filter(F.col("_kept") <= F.col("max_items")).drop("_kept")
+def cap_per_feed(items: DataFrame, slices: int = 64) -> DataFrame:
+    """The first max_items entries of each feed. Slices of a feed are cut first, so a feed with a third of all entries
+    reaches one task with `slices` times its limit at most."""
+    limit = F.col("_kept") <= F.col("max_items")
+    sliced = items.withColumn("_slice", F.pmod(F.xxhash64("pos"), F.lit(slices)))
+    parts = sliced.withColumn("_kept", F.row_number().over(W.partitionBy("feed", "_slice").orderBy("pos"))).filter(limit)
+    return parts.withColumn("_kept", F.row_number().over(W.partitionBy("feed").orderBy("pos"))).filter(limit).drop("_kept", "_slice")
 
 
 def first_title_wins(items: DataFrame) -> DataFrame:
@@ -53,6 +57,7 @@ def overall_cap(items: DataFrame, cap: int = RSS_TOTAL_CAP) -> DataFrame:
 
 
 def feed_counts(items: DataFrame) -> DataFrame:
+    """Entries kept of each feed; the count stands before the overall cap."""
     return items.groupBy("feed").agg(F.count("*").alias("kept"))
 
 

@@ -13,10 +13,15 @@ from barline.operators.ranking import first_k
 from barline.sources import dims
 
 
-def ingest(items: DataFrame, feed_dim: DataFrame, now: datetime) -> DataFrame:
-    """Age and noise filters, per-feed cap, first title wins, overall cap - in this order."""
+def kept_entries(items: DataFrame, feed_dim: DataFrame, now: datetime) -> DataFrame:
+    """Age and noise filters, per-feed cap, first title wins - in this order."""
     entries = feeds.clean_titles(feeds.fresh_entries(items.join(feed_dim, "feed"), now))
-    return feeds.overall_cap(feeds.first_title_wins(feeds.cap_per_feed(feeds.item_fields(entries))))
+    return feeds.first_title_wins(feeds.cap_per_feed(feeds.item_fields(entries)))
+
+
+def ingest(items: DataFrame, feed_dim: DataFrame, now: datetime) -> DataFrame:
+    """Kept entries under the overall cap."""
+    return feeds.overall_cap(kept_entries(items, feed_dim, now))
 
 
 def tag(items: DataFrame, watchlist: DataFrame, key: list[str]) -> DataFrame:

@@ -148,8 +148,6 @@ GRADES = ["S", "A", "B", "C"]
 # Precedence of overlapping membership lists.
 MEMBERSHIP_LISTS = ["0050", "0051", "富櫃50"]
 
-#: Largest per-feed item cap; a literal, so Spark can cut every partition before the shuffle.
-MAX_FEED_ITEMS = 18
 RSS_TOTAL_CAP = 280
 
 

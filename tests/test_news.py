@@ -98,7 +98,18 @@ def test_ingest_order_of_rules(spark):
     # the cap counts before the cross-feed rule: "edge!" uses one of f2's three places
     assert [r["title"] for r in got] == ["Edge", "Undated", "Long", "Same"]
     assert [r["weekly"] for r in got] == [False, False, True, True] and got[3]["source"] == "W"
-    assert {r["feed"]: r["kept"] for r in feeds.feed_counts(news.ingest(items, dim, now)).collect()} == {"f1": 2, "f2": 2}
+    assert {r["feed"]: r["kept"] for r in feeds.feed_counts(news.kept_entries(items, dim, now)).collect()} == {"f1": 2, "f2": 2}
+
+
+def test_caps_come_from_the_feed_table(spark):
+    now = datetime(2024, 6, 3, 12)
+    dim = spark.createDataFrame([(f"f{i:02d}", i, 25 if i else 40, 24, False) for i in range(14)], "feed string, feed_pos int, max_items int, max_age_h int, longform boolean")
+    rows = [(f"f{f:02d}", p, f"title {f}x{p}", "s", "l", None, now) for f in range(14) for p in range(60)]
+    items = spark.createDataFrame(rows, "feed string, pos int, title string, summary string, link string, inner_source string, published timestamp_ntz")
+    counts = {r["feed"]: r["kept"] for r in feeds.feed_counts(news.kept_entries(items, dim, now)).collect()}
+    assert counts == {f"f{i:02d}": 25 if i else 40 for i in range(14)}  # 365 in all, before the overall cap
+    got = news.ingest(items, dim, now).collect()
+    assert len(got) == 280 and {r["feed"] for r in got} == {f"f{i:02d}" for i in range(11)} and max(r["pos"] for r in got if r["feed"] == "f10") == 14
 
 
 # ---- tagging ---------------------------------------------------------------
