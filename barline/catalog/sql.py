@@ -124,7 +124,9 @@ CTE: dict[str, str] = {
   SELECT ticker, dt, close, {pct('close', 'lag(close, 4) OVER w')} AS ret_1w, {pct('close', 'lag(close, 20) OVER w')} AS ret_4w,
          {pct('close', 'lag(close, 62) OVER w')} AS ret_13w, row_number() OVER w AS n_bars
   FROM smooth WINDOW w AS (PARTITION BY ticker ORDER BY dt))""",
-    "today": """today AS (SELECT * FROM returns QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) = 1)""",
+    # names without a bar in the last 300 days are gone
+    "today": """today AS (SELECT * FROM (SELECT * FROM returns QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) = 1)
+  WHERE dt >= (SELECT max(dt) FROM returns) - 300)""",
     "raw": f"""raw AS (
   SELECT *, {share('ret_1w')} AS raw_1w, {share('ret_4w')} AS raw_4w, {share('ret_13w')} AS raw_13w FROM today)""",
     # as-of fill over all sessions and the smoothed chain
@@ -132,7 +134,7 @@ CTE: dict[str, str] = {
     "grid": """grid AS (
   SELECT c.as_of, c.seq, x.ticker, x.close, x.ret_1w, x.ret_4w, x.ret_13w, x.n_bars
   FROM cal c JOIN (SELECT *, lead(dt) OVER (PARTITION BY ticker ORDER BY dt) AS nxt FROM returns) x
-    ON c.as_of >= x.dt AND (x.nxt IS NULL OR c.as_of < x.nxt))""",
+    ON c.as_of >= x.dt AND c.as_of <= x.dt + 300 AND (x.nxt IS NULL OR c.as_of < x.nxt))""",
     "graw": f"""graw AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY seq) AS k FROM (
     SELECT *, {share('ret_1w', 'as_of')} AS raw_1w, {share('ret_4w', 'as_of')} AS raw_4w, {share('ret_13w', 'as_of')} AS raw_13w

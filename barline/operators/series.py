@@ -13,6 +13,8 @@ from barline.sources.dims import literal_frame
 
 #: Bars looked back per horizon; "5 days" spans 4 bars, and so on.
 HORIZONS = {"1w": 5, "4w": 21, "13w": 63}
+#: Calendar days of history that a session looks back on: a name without a bar in them is gone.
+PANEL_DAYS = 300
 
 
 def by_day(key: str):
@@ -46,16 +48,25 @@ def lookback_returns(df: DataFrame, key: str = "ticker") -> DataFrame:
     return df.withColumns({**returns, "n_bars": F.row_number().over(w)})
 
 
-def carry_to_sessions(df: DataFrame, calendar: DataFrame, key: str) -> DataFrame:
-    """Every (series, session) with the newest row at or before it: an as-of fill.
+def newest_alive(df: DataFrame, key: str, panel_days: int = PANEL_DAYS) -> DataFrame:
+    """The newest row of each series that has one within `panel_days` of the newest day of all."""
+    newest = last_rows(df, key, 1)
+    edge = newest.agg(F.date_sub(F.max("dt"), panel_days).alias("_edge"))  # one row
+    return newest.crossJoin(F.broadcast(edge)).filter(F.col("dt") >= F.col("_edge")).drop("_edge")
 
-    Each row covers the days up to the next row of its series (or the last session), so the
-    fill is an expansion plus an equi-join with the session calendar, never a range join.
+
+def carry_to_sessions(df: DataFrame, calendar: DataFrame, key: str, panel_days: int = PANEL_DAYS) -> DataFrame:
+    """Every (series, session) with the newest row at or before it, not older than `panel_days`: an as-of fill.
+
+    Each row covers the days up to the next row of its series, the end of its panel or the last session, so the
+    fill is an expansion plus an equi-join with the session calendar, never a range join, and a name that stopped
+    trading makes no rows for ever.
     """
     edge = calendar.agg(F.max("as_of").alias("_last"))
     until = F.date_sub(F.lead("dt").over(by_day(key)), 1)
     spans = df.withColumn("_until", until).crossJoin(F.broadcast(edge))  # one row
-    days = F.sequence(F.col("dt"), F.greatest(F.col("dt"), F.coalesce("_until", "_last")))
+    until = F.least(F.coalesce("_until", "_last"), F.date_add("dt", panel_days))
+    days = F.sequence(F.col("dt"), F.greatest(F.col("dt"), until))
     return (
         spans.withColumn("as_of", F.explode(days)).filter(F.col("as_of") <= F.col("_last"))
         .drop("_until", "_last").join(calendar, "as_of")

@@ -40,9 +40,9 @@ def rs_fields(df: DataFrame) -> DataFrame:
 
 
 def latest_returns(bars: DataFrame, key: str = "ticker") -> DataFrame:
-    """Newest row of each series with its horizon returns."""
+    """Newest row of each series that still trades, with its horizon returns."""
     ret = series.lookback_returns(series.drop_missing(bars.select(key, "dt", "close")), key)
-    return series.last_rows(ret, key, 1)
+    return series.newest_alive(ret, key)
 
 
 def rs_score(bars: DataFrame, bench: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def group_ranking(closes: DataFrame, names: DataFrame, bench: DataFrame, key: st
     """
     listed = closes.join(names.select(key, "name", "pos"), key)
     ret = series.lookback_returns(series.drop_missing(listed), key)
-    today = raw_percentiles(series.last_rows(ret, key, 1), []).filter(F.col("n_bars") >= MIN_RS_BARS)
+    today = raw_percentiles(series.newest_alive(ret, key), []).filter(F.col("n_bars") >= MIN_RS_BARS)
     base = series.last_rows(bench_returns(bench).withColumn("_k", F.lit(1)), "_k", 1).select("bench_13w")
     scored = rs_fields(today.withColumns({s: F.col(r) for s, r in zip(smoothing.SMOOTH, smoothing.RAW)}))
     gained = rnd(F.col("ret_13w"), 2)

@@ -111,3 +111,13 @@ def test_calendar_rules(spark):
     assert [(r[0].day, r[1].day) for r in rows] == [(7, 10), (6, 7), (7, 10), (7, 10)]
     cut = spark.sql("SELECT * FROM VALUES (date'2024-06-10'), (date'2024-06-12') t(d)").select(dates.news_cutoff(F.col("d"))).collect()
     assert [r[0] for r in cut] == [date(2024, 6, 7), date(2024, 6, 10)]
+
+
+def test_dead_names_leave(spark):
+    first = date(2020, 1, 1)
+    rows = [("live", first + timedelta(days=d), float(d + 1)) for d in range(0, 1000, 2)] + [("dead", first + timedelta(days=d), float(d + 1)) for d in range(200)]
+    bars = spark.createDataFrame(rows, "ticker string, dt date, close double")
+    assert [r["ticker"] for r in scr.latest_returns(bars).collect()] == ["live"]
+    filled = series.carry_to_sessions(bars.select("ticker", "dt", "close"), series.sessions(bars), "ticker")
+    last = {r["ticker"]: r["d"] for r in filled.groupBy("ticker").agg(F.max("as_of").alias("d")).collect()}
+    assert last == {"live": first + timedelta(days=998), "dead": first + timedelta(days=498)}  # 199 + 300, sessions are even days
