@@ -22,6 +22,8 @@ ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((LOWER >= 0x61) & (LOWER <= 0x7
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER]
+#: Two more tables of byte values, which tell upper from lower case.
+CASED = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C13  # odd, so it has an inverse modulo 2**64
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -80,15 +82,15 @@ def spans(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, upper-case ASCII taken as lower case."""
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each span; by default with upper-case ASCII taken as lower case."""
     out = np.zeros(len(starts), np.uint64)
     cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(raw) + 1, STEP)), len(starts)))
     for i, j in zip(cuts[:-1], cuts[1:]):
         low, high = starts[i], ends[j - 1]
         up, down = powers(int(high - low) + 1)
         total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[raw[low:high]] * up[: high - low], out=total[1:])
+        np.cumsum(values[raw[low:high]] * up[: high - low], out=total[1:])
         out[i:j] = mix((total[ends[i:j] - low] - total[starts[i:j] - low]) * down[starts[i:j] - low])
     return out
 

@@ -6,8 +6,9 @@ columns delta-encoded, row groups and pages of a set size, with page indexes. Fi
 partition; the start in the whole sequence is added on reading from one sum per file, so no task counts all rows.
 
 The ids are those of the tokenizers library. A byte-level pre-tokenizer never lets a piece cross a space between two
-other characters from its left, so each task keeps a bounded table of the distinct words behind such spaces and encodes
-each once; texts with other white space are cut by a stricter rule. A lost executor repeats its own partitions.
+other characters from its left, so texts are cut before such spaces, and each task keeps a bounded table of the distinct
+chunks, each encoded once by the library; ids are put back by position. Chunks are told apart by two 64-bit hashes. A lost executor
+repeats its own partitions.
 
 Defined cases: null ids come first; null or empty texts hold the end id only; repeated rows are all kept. Other columns
 of the input are ignored.
@@ -15,7 +16,6 @@ of the input are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barline.llm import textkit
 from barline.session import shuffle_partitions
 
-TABLE = 300_000
+TABLE = 1_500_000
 TOGETHER = 1000
-ROWS = 1024
-#: Cut only before a space that stands between two characters that are no white space.
-CUT = re.compile(r"(?<=\S)(?= \S)")
 LAYOUT = {
     "parquet.writer.version": "v2", "parquet.block.size": str(16 << 20), "parquet.page.size": str(128 << 10),
     "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd",
@@ -41,80 +39,123 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
-class WordTable:
-    """Ids of distinct words as little-endian bytes, from the tokenizers library."""
+_BYTES = np.arange(256)
+#: ASCII white space, with the separators that some rules count as such.
+BLANK = ((_BYTES >= 9) & (_BYTES <= 13)) | ((_BYTES >= 28) & (_BYTES <= 32))
+#: First bytes of the characters beyond ASCII that may be white space.
+WIDE = np.isin(_BYTES, [0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin: texts that are not empty, and spaces that surely stand between two characters other than
+    white space inside a text."""
+    at = np.flatnonzero(raw == 32)
+    before = [raw[np.maximum(at - k, 0)] for k in (1, 2, 3)]
+    after = raw[np.minimum(at + 1, len(raw) - 1)]
+    wide = (before[0] >= 0x80) & ((before[1] == 0xC2) | (WIDE[before[2]] & (before[2] != 0xC2)))
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    inside = ~BLANK[before[0]] & ~wide & ~BLANK[after] & ~WIDE[after] & ~edge[at] & ~edge[at + 1]
+    edge[at[inside]] = True
+    return np.flatnonzero(edge[:-1])
+
+
+class ChunkTable:
+    """Ids of distinct chunks from the tokenizers library: sorted hashes, and runs in one array of ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
         # A byte-level vocabulary writes a leading space as this letter.
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode many words in one string, where each begins a piece with a space."""
-        if len(self.words) > TABLE:
-            self.words.clear()
+    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of each chunk. Words behind a space go to the library many at once: each begins with a spaced piece."""
+        out: list[np.ndarray | None] = [None] * len(chunks)
+        words = [k for k, c in enumerate(chunks) if c[0] == " " and " " not in c[1:] and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
-            cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
-            if len(cuts) == len(group) + 1:
-                self.words.update((w, ids[i:j].tobytes()) for w, i, j in zip(group, cuts[:-1], cuts[1:]))
-            else:
-                self.words.update((w, x.tobytes()) for w, x in zip(group, self._ids([" " + w for w in group])))
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk not in self.others:
-            if len(self.others) > TABLE // 4:
-                self.others.clear()
-            self.others[chunk] = self._ids([chunk])[0].tobytes()
-        return self.others[chunk]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split(" ") for t in texts]
-        plain = [all(w and not w[0].isspace() and not w[-1].isspace() for w in set(s).difference(self.words)) for s in split]
-        new = dict.fromkeys(w for s, ok in zip(split, plain) if ok for w in s[1:] if w not in self.words)
-        if new:
-            self._learn(list(new))
-        for text, words, ok in zip(texts, split, plain):
-            if ok:
-                try:
-                    yield self._chunk(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
-                except KeyError:  # the table was cleared for this run of texts
-                    self._learn(list(dict.fromkeys(words[1:])))
-                    yield self._chunk(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
-            else:
-                yield b"".join(map(self._chunk, CUT.split(text)))
+        for group, ids in zip(groups, self._library(["".join(chunks[k] for k in g) for g in groups])):
+            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+            if len(at) == len(group) + 1:
+                for k, i, j in zip(group, at[:-1], at[1:]):
+                    out[k] = ids[i:j]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, self._library([chunks[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _learn(self, raw: np.ndarray, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = raw.tobytes()
+        found = self._encode([data[i:j].decode() for i, j in zip(starts, ends)])
+        size = np.array([len(x) for x in found], np.int64)
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *found])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with the `end` ids behind it, and the number of each text's ids."""
+        starts = cuts(raw, offsets) if len(raw) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(raw))
+        keys, checks = (textkit.hashes(raw, starts, ends, values) for values in textkit.CASED)
+        order = np.argsort(keys)
+        heads = textkit.runs(keys[order])
+        where, place = order[heads[:-1]], np.empty(len(keys), np.int64)
+        place[order] = np.repeat(np.arange(len(where)), np.diff(heads))
+        distinct = keys[where]
+        if len(self.keys) + len(distinct) > TABLE:
+            self.clear()
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != distinct
+        if new.any():
+            some = where[new]
+            self._learn(raw, distinct[new], checks[some], starts[some], ends[some])
+            at = np.searchsorted(self.keys, distinct)
+        rows = at[place]
+        if (self.checks[rows] != checks).any():
+            raise ValueError("two chunks share a 64-bit hash")
+        size, owner = self.size[rows], np.searchsorted(offsets, starts, "right") - 1
+        n = np.bincount(owner, size, len(offsets) - 1).astype(np.int64) + len(end)
+        out = np.empty(int(n.sum()), np.int32)
+        before = np.cumsum(size) - size
+        inside = np.arange(int(size.sum()))
+        out[inside + np.repeat(owner * len(end), size)] = self.ids[inside + np.repeat(self.first[rows] - before, size)]
+        last = np.cumsum(n)
+        for k, x in enumerate(end):
+            out[last - len(end) + k] = x
+        return out, n
 
 
 @lru_cache(maxsize=1)
-def _table(path: str) -> WordTable:
+def _table(path: str) -> ChunkTable:
     """The worker's table: tasks that share a worker process share it."""
-    return WordTable(path)
+    return ChunkTable(path)
 
 
 def _rows(path: str, end_id: int):
-    end = np.array([end_id], np.int32).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, at = _table(path), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for low in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(low, ROWS)
-                found = [x + end for x in table.encode([t or "" for t in batch.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in found], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        for batch in batches:
+            for first, end, raw, offsets in textkit.slabs(batch.column(1)):
+                ids, n = table.encode(raw, offsets, [end_id])
+                places = np.concatenate([[0], np.cumsum(n)])
+                lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n), ids],
+                    [batch.column(0).slice(first, end - first), pa.array(np.full(len(n), part, np.int32)), pa.array(at + places[:-1]), pa.array(n), lists],
                     names=["doc_id", "part", "at", "n_tokens", "ids"])
-                at += int(offsets[-1])
+                at += int(places[-1])
 
     return run
 

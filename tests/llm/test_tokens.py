@@ -2,11 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pathlib import Path
 
-from barline.llm import pieces, tokenfile, vocab
+from barline.llm import pieces, textkit, tokenfile, vocab
 
 ODD = ["", " ", "  ", "a", "  a  b ", "▁", "a▁▁b", "▁ a ▁", "x\n y\n\n  z", "<s> </s> <unk>", "é́\x00\x01 　 a\tb", "a ", " a", "日本 語 it's 's 've",
        "<0x0A> \n", "a\n b", "a \nb", "a\n  b c", "<|endoftext|> b <|endoftext|>c d<|endoftext|>", " <|endoftext|>", "\x1f a \x1c b", "a\xa0 b \xa0c", "🙂🙂 👩‍👩‍👧 x"]
@@ -47,12 +48,16 @@ def library():
     return Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
 
 
-def test_word_table_is_the_library(library, monkeypatch):
-    for size in (300_000, 5):
+def test_chunk_table_of_files_is_the_library(library, monkeypatch):
+    texts = ODD + mixed(2, 1500) + ["word " * 50_000, "été à la\u00a0mer é \u3000x — y 日本 語"]
+    want = [[*e.ids, 7, 9] for e in library.encode_batch(texts, add_special_tokens=False)]
+    for size, slab in ((1_500_000, 1 << 20), (50, 2000)):
         monkeypatch.setattr(tokenfile, "TABLE", size)
-        texts = ODD + mixed(2) + ["word " * 50_000]
-        got = [np.frombuffer(x, np.int32).tolist() for x in tokenfile.WordTable(vocab.path("byte_bpe_50k.json")).encode(texts)]
-        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        table, got = tokenfile.ChunkTable(vocab.path("byte_bpe_50k.json")), []
+        for _, _, raw, offsets in textkit.slabs(pa.array(texts), slab):
+            ids, n = table.encode(raw, offsets, [7, 9])
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
 
 
 def test_files(spark, library, tmp_path):
