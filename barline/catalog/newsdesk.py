@@ -399,11 +399,18 @@ walk AS (SELECT as_of, 1::BIGINT AS n, [1::BIGINT] AS kept FROM (SELECT DISTINCT
 ends AS (SELECT as_of, arg_max(kept, n) AS kept FROM walk GROUP BY as_of)"""
 
 
-@query("news_dedup", s.with_("SELECT o.doc_id AS pos FROM ordered o JOIN ends e ON e.as_of = o.as_of AND list_contains(e.kept, o.n)",
-                             NEWS, TOKENS, ORDERED, PAIRS, GREEDY))
+@query("news_dedup", s.with_(f"""SELECT o.doc_id AS pos FROM ordered o JOIN ends e ON e.as_of = o.as_of AND list_contains(e.kept, o.n)
+UNION ALL SELECT pos FROM news WHERE block NOT IN ({', '.join(s.lit(b) for b in _WATCHED)})""", NEWS, TOKENS, ORDERED, PAIRS, GREEDY))
 def news_dedup(spark, sf):
-    watched = t.news_blocks(spark, sf).filter(F.col("block").isin(_WATCHED))
-    return news.dedup(watched).select("pos")
+    """All blocks; those that are only cleaned pass through."""
+    return news.dedup(t.news_blocks(spark, sf)).select("pos")
+
+
+@query("duplicate_counter", s.with_(f"""SELECT (SELECT count(*) FROM ordered) - (SELECT sum(len(kept)) FROM ends) AS duplicates""",
+                                    NEWS, TOKENS, ORDERED, PAIRS, GREEDY))
+def duplicate_counter(spark, sf):
+    blocks = t.news_blocks(spark, sf)
+    return news.duplicate_counter(blocks, news.dedup(blocks)).select("duplicates")
 
 
 @query("jaccard_against_previous", s.with_("""
@@ -413,9 +420,8 @@ FROM (SELECT pos, toks, lag(toks) OVER (PARTITION BY as_of ORDER BY pos) AS p FR
 def jaccard_against_previous(spark, sf):
     """Each item against the one before it in its day: the similarity measure itself."""
     rows = keyed_news(spark, sf).select("as_of", "pos", "tokens")
-    # Keys are dense and a day holds every fourth of them, so the neighbour is an equi-join away.
-    before = rows.select((F.col("pos") + 4).alias("pos"), F.col("tokens").alias("p"))
-    return rows.join(before, "pos").select(
+    before = news.previous_value(rows, "as_of", "pos", "tokens", "p")
+    return before.filter(F.col("p").isNotNull()).select(
         "pos", F.size(F.array_intersect("tokens", "p")).alias("shared"), F.round(similarity.jaccard(F.col("tokens"), F.col("p")), 6).alias("jaccard"))
 
 

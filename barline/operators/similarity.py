@@ -8,8 +8,9 @@ their token sets have Jaccard >= 0.40, or share a money token and a Latin-name t
 2. Every set emits join keys such that two duplicates always meet in a key: for each partner
    size the rarest tokens that a Jaccard match cannot avoid, plus each (money, name) couple.
 3. Rounds: a set that is the earliest of all sets it meets survives; sets similar to a new
-   survivor go. A key holds at most one new survivor per side, so a round emits at most one
-   pair per key row - never the pairs of a group.
+   survivor go. Pairs are made with new survivors only, never among the members of a key.
+   A set also waits for earlier ones that it merely shares a key with, so a chain of such
+   sets takes a round for each of its links.
 """
 
 from __future__ import annotations
@@ -98,8 +99,8 @@ def join_keys(sets: DataFrame) -> DataFrame:
 def surviving_sets(sets: DataFrame) -> DataFrame:
     """Greedy survivors among distinct token sets (group, set_id, ord, tokens): their set_ids.
 
-    Every round settles at least the first undecided set of each group, in practice about two
-    thirds of them; keys of settled sets leave the table, so rounds shrink quickly.
+    Every round settles at least the first undecided set of each group; keys of settled sets leave
+    the table, so rounds shrink. Their number is that of the longest chain of sets that share keys.
     """
     use_checkpoints(sets.sparkSession)
     sets = rarest_first(sets).checkpoint()

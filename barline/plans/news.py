@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barline.functions import dates, text
@@ -83,6 +84,25 @@ def dedup(items: DataFrame) -> DataFrame:
     return kept.unionByName(items.filter(~watched))
 
 
+def duplicate_counter(items: DataFrame, kept: DataFrame) -> DataFrame:
+    """How many items the de-duplication dropped: the fourth number of the quality report."""
+    counts = items.agg(F.count("*").alias("_all")).crossJoin(kept.agg(F.count("*").alias("_kept")))  # one row each
+    return counts.select((F.col("_all") - F.col("_kept")).alias("duplicates"))
+
+
+def previous_value(rows: DataFrame, group: str, pos: str, value: str, out: str, step: int = 4096) -> DataFrame:
+    """Add the value of the row before in each group, by whole-number position. A group is cut into slices of `step`
+    positions; a slice's first row takes the last row of the slice before it."""
+    sliced = rows.withColumn("_slice", F.floor(F.col(pos) / step))
+    inside = F.lag(value).over(W.partitionBy(group, "_slice").orderBy(pos))
+    first = F.row_number().over(W.partitionBy(group, "_slice").orderBy(pos)) == 1
+    placed = sliced.withColumns({out: inside, "_first": first})
+    lasts = sliced.groupBy(group, "_slice").agg(F.max_by(value, pos).alias("_last"))
+    carried = lasts.select(group, "_slice", F.lag("_last").over(W.partitionBy(group).orderBy("_slice")).alias("_before"))
+    return placed.join(carried, [group, "_slice"]).withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(out))).drop(
+        "_slice", "_first", "_before")
+
+
 def cap_blocks(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
     """At most cap items per as-of day, block and region; blocks without a cap stay whole."""
     caps = dims.BLOCK_CAPS if caps is None else caps
