@@ -38,12 +38,16 @@ from barline.session import shuffle_partitions
 WIDTH = 5
 SKETCH = 1 << 20
 NEED = 3
-MEMBERS = 512
-VISITS = 2048
+MEMBERS = 256
+VISITS = 256
 BITS = 1 << 23
+BUCKETS = 1024
 FLUSH = 500_000
 SEEN = 500_000
 SLAB = 2048
+#: Bytes of a shingle's hash that travel for the comparison of two sets.
+KEPT = 6
+_MANY = 1 << 40
 
 
 def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -107,23 +111,28 @@ class Order:
 
 
 def _prefix_rows(order, buckets: int):
-    def rows(waiting: list, salt: int) -> pa.RecordBatch:
+    """Rows (bucket, tokens, classes): the prefix entries of a run of documents, packed by bucket. Within a bucket 40
+    more bits of a shingle tell it from others; a rare chance match costs a candidate, no link. Hot shingles keep all
+    bits and are dealt to further buckets by run, not by shingle."""
+
+    def rows(waiting: list) -> pa.RecordBatch:
         tokens = np.concatenate([w[0] for w in waiting])
         hot = np.concatenate([w[1] for w in waiting])
-        size = np.array([len(w[0]) for w in waiting])
-        cls = np.repeat(np.array([w[2] for w in waiting], np.int64), size)
-        n = np.repeat(np.array([w[3] for w in waiting], np.int32), size)
+        cls = np.repeat(np.array([w[2] for w in waiting], np.int64), [len(w[0]) for w in waiting])
         bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-        bucket[hot] = buckets + salt % buckets
+        bucket[hot] = buckets + (waiting[0][2] & 0x7FFFFFFF) % buckets
         by = np.argsort(bucket, kind="stable")
-        tokens, cls, n, bucket = tokens[by], cls[by], n[by], bucket[by]
+        tokens, cls, bucket = tokens[by], cls[by], bucket[by]
+        bits = (tokens // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :5]
         cuts = textkit.runs(bucket)
-        pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pack(tokens), pack(cls), pack(n)],
-                                          names=["bucket", "tokens", "cls", "n"])
+        ranges = list(zip(cuts[:-1], cuts[1:]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cuts[:-1]], pa.int32()),
+             pa.array([(bits if bucket[i] < buckets else tokens)[i:j].tobytes() for i, j in ranges], pa.binary()),
+             pa.array([cls[i:j].tobytes() for i, j in ranges], pa.binary())], names=["bucket", "tokens", "cls"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, seen, waiting, held, salt = order.value, set(), [], 0, 0
+        by, seen, waiting, held = order.value, set(), [], 0
         for batch in batches:
             for found in text_sets(batch.column(1)):
                 if len(found) < NEED or (name := signature(found)) in seen:
@@ -132,36 +141,37 @@ def _prefix_rows(order, buckets: int):
                     seen.clear()
                 seen.add(name)
                 tokens, hot = by.prefix(found)
-                waiting.append((tokens, hot, name, len(found)))
+                waiting.append((tokens, hot, name))
                 held += len(tokens)
                 if held >= FLUSH:
-                    salt = name & 0x7FFFFFFF
-                    yield rows(waiting, salt)
+                    yield rows(waiting)
                     waiting, held = [], 0
         if waiting:
-            yield rows(waiting, waiting[0][2] & 0x7FFFFFFF)
+            yield rows(waiting)
 
     return run
 
 
 def _shared(buckets: int):
-    """Of each bucket, the (token, class) entries whose token two classes or more give."""
+    """Of each bucket, the (token, sets, class) entries whose token two classes or more give; sets: how many do."""
 
     def settle(parts: list, bucket: int) -> pd.DataFrame:
-        tokens = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
         cls = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])
-        n = np.concatenate([np.frombuffer(p[2], np.int32) for p in parts])
-        if bucket < buckets:
-            by = np.lexsort((cls, tokens))
-            tokens, cls, n = tokens[by], cls[by], n[by]
-            keep = np.ones(len(tokens), bool)
-            keep[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])
-            tokens, cls, n = tokens[keep], cls[keep], n[keep]
-            same = np.zeros(len(tokens), bool)
-            same[1:] = tokens[1:] == tokens[:-1]
-            same[:-1] |= same[1:]
-            tokens, cls, n = tokens[same], cls[same], n[same]
-        return pd.DataFrame({"token": tokens.view(np.int64), "cls": cls, "n": n})
+        if bucket >= buckets:
+            tokens = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts])
+            return pd.DataFrame({"token": tokens, "sets": _MANY, "cls": cls})
+        whole = np.zeros((len(cls), 8), np.uint8)
+        whole[:, :5] = np.concatenate([np.frombuffer(p[0], np.uint8) for p in parts]).reshape(-1, 5)
+        tokens = whole.view(np.int64).ravel()
+        by = np.lexsort((cls, tokens))
+        tokens, cls = tokens[by], cls[by]
+        keep = np.ones(len(tokens), bool)
+        keep[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])
+        tokens, cls = tokens[keep], cls[keep]
+        many = np.diff(textkit.runs(tokens))
+        sets = np.repeat(many, many)
+        tokens = (tokens << 23) | bucket
+        return pd.DataFrame({"token": tokens[sets > 1], "sets": sets[sets > 1], "cls": cls[sets > 1]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts = None, []
@@ -178,6 +188,12 @@ def _shared(buckets: int):
     return run
 
 
+def unpacked_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEPT, 8), np.uint8)
+    out[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
+    return np.sort(out.view(np.uint64).ravel())
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of two lists of sorted sets, by 0/1 matrices over slabs of their common tokens."""
     out = np.zeros((len(left), len(right)), np.int64)
@@ -247,7 +263,7 @@ def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if (block, salt) != key:
                     settle_visits()
                     key, names, sets, ready = (block, salt), [], [], False
-            found = np.frombuffer(data, np.uint64)
+            found = unpacked_set(data)
             if role:
                 visit_names.append(cls)
                 visit_sets.append(found)
@@ -269,7 +285,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, data = [], []
         for found in text_sets(batch.column(1)):
             names.append(signature(found) if len(found) else None)
-            data.append(found.tobytes())
+            data.append(found.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], names=["cls", "data"])
 
 
@@ -285,29 +301,26 @@ def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _links(texts: DataFrame, named: DataFrame, order: Order) -> DataFrame:
-    """Links (a, b) between classes that connect all that is connected. `named`: (id, cls) of all documents."""
+    """Links (a, b) between classes that connect all that is connected. `named`: (id, n, cls) of all documents."""
     spark = texts.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
-    prefixes = texts.mapInArrow(_prefix_rows(spark.sparkContext.broadcast(order), buckets),
-                                "bucket int, tokens binary, cls binary, n binary")
-    entries = prefixes.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
-        _shared(buckets), "token long, cls long, n int").dropDuplicates(["token", "cls"])
-    entries = saved(entries, "entries")
-
-    popular = entries.groupBy("token").agg(F.count("*").alias("sets"))
-    classes = entries.join(popular, "token").groupBy("cls").agg(
-        F.first("n").alias("n"), F.count("*").alias("given"), F.max(F.struct("sets", "token")).alias("top"))
-    classes = classes.where(F.col("given") >= NEED).select(
-        "cls", "n", F.col("top.token").alias("grp"), F.floor(F.log("n") / F.lit(float(np.log(4 / 3)))).alias("band"))
-    classes = saved(classes, "classes")
+    buckets = max(BUCKETS, 4 * shuffle_partitions(spark))
+    prefixes = texts.mapInArrow(_prefix_rows(spark.sparkContext.broadcast(order), buckets), "bucket int, tokens binary, cls binary")
+    entries = prefixes.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_shared(buckets), "token long, sets long, cls long")
+    # A class has as many entries as its prefix, so they may stand in one row.
+    given = entries.groupBy("cls").agg(F.collect_set(F.struct("sets", "token")).alias("given")).where(F.size("given") >= NEED)
+    given = saved(given, "given")
+
+    band = F.floor(F.log("n") / F.lit(float(np.log(4 / 3)))).alias("band")
+    classes = given.select("cls", F.array_max("given").getField("token").alias("grp")).join(
+        named.groupBy("cls").agg(F.first("n").alias("n")), "cls").select("cls", "n", "grp", band)
     parts = classes.groupBy("grp", "band").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     members = classes.join(parts, ["grp", "band"]).select(
         "cls", "n", F.xxhash64("grp", "band", F.pmod(F.xxhash64("cls"), "parts")).alias("block"))
-    # Blocks by size, so that the fewer visit the more.
     sizes = members.groupBy("block").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     members = saved(members.join(sizes, "block"), "members")
 
-    own = entries.select("token", "cls").join(members, "cls")
+    # Of two blocks the smaller visits the larger.
+    own = given.join(members, "cls").select("cls", "n", "block", "size", "low", "high", F.explode("given.token").alias("token"))
     matrix = own.groupBy("token", "block").agg(F.first("size").alias("g_size"), F.first("low").alias("low"), F.first("high").alias("high"))
     asked = own.select("token", "cls", "n", F.col("block").alias("home"), "size")
     visits = (
@@ -327,7 +340,8 @@ def _links(texts: DataFrame, named: DataFrame, order: Order) -> DataFrame:
 
     wanted = named.join(places.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
     sets = _only(texts, wanted).mapInArrow(_set_rows, "cls long, data binary")
-    met = places.join(sets, "cls").select("block", "salt", "role", "cls", "data")
+    # Either side grows with the documents, so neither is ever broadcast.
+    met = places.hint("merge").join(sets, "cls").select("block", "salt", "role", "cls", "data")
     return met.repartition("block", "salt").sortWithinPartitions("block", "salt", "role", "cls").mapInPandas(
         _open, "a long, b long")
 
@@ -344,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = first.where("kind = 0").select("id", "n", "cls")
     order = Order(counter(first.where("kind = 1").select("piece", "data"), SKETCH))
 
-    named = rows.where("id is not null and cls is not null").select("id", "cls")
+    named = rows.where("id is not null and cls is not null")
     edges = _links(texts.where("id is not null"), named, order)
     roots = components(edges, "a", "b")
     classes = named.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"))
@@ -364,4 +378,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat one id inside a component stay once; rows without an id all stay."""
     found = near_duplicates(docs, id_col, text_col).where("n_shingles > 0 and component_id <> doc_id or doc_id is null")
     gone = found.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
