@@ -6,18 +6,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWERED = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
 
 OP1 = rf"""
-WITH RECURSIVE words AS (
+WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
-), sets AS (
+), sets AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s
   FROM words
 ), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
-rows_ AS (SELECT doc_id, unnest(s) AS g FROM sets),
+rows_ AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sets),
 met AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM rows_ a JOIN rows_ b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
-), links AS (
+), links AS MATERIALIZED (
   SELECT x, y FROM met JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 75 * (a.n + b.n - k)
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
