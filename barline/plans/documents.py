@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barline.functions.text import repair_json
@@ -28,7 +29,7 @@ def with_defaults(doc: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 def regime_defaults() -> dict[str, Column]:
     """What an absent regime document holds."""
-    texts = {c: F.lit("") for c in ("call", "for_w52_engine", "confidence", "confidence_reason")}
+    texts = {c: F.lit("") for c in ("call", "for_ranking", "confidence", "confidence_reason")}
     lists = {c: F.array().cast("array<string>") for c in ("confirms", "contradicts")}
     falsifiers = F.array().cast(FALSIFIERS)
     return {**texts, **lists, "falsifiers": falsifiers, "verdict": F.lit("無前日資料")}
@@ -105,8 +106,6 @@ def review_regime(regimes: DataFrame, readings: DataFrame) -> DataFrame:
     regimes: (as_of, call, falsifiers); readings: (as_of, metric, value). Every regime is
     reviewed with the readings of the session right after it.
     """
-    from pyspark.sql import Window as W
-
     days = readings.select("as_of").distinct()
     nxt = days.select("as_of", F.lead("as_of").over(W.orderBy("as_of")).alias("review_day"))  # one row per day
     checks = regimes.join(nxt, "as_of").select(

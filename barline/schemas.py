@@ -17,8 +17,7 @@ NEWS_ITEM = "feed string, pos bigint, title string, summary string, link string,
 WATCH_DOC = "as_of string, stocks array<struct<ticker:string,name:string,moat_grade:string,pass_count:int>>"
 FALSIFIERS = "array<struct<metric:string,op:string,threshold:double,meaning:string>>"
 REGIME = (
-    "as_of date, call string, confidence string, confidence_reason string, for_w52_engine string, "
+    "as_of date, call string, confidence string, confidence_reason string, for_ranking string, "
     "axes map<string,struct<state:string,evidence:string>>, confirms array<string>, contradicts array<string>, "
     f"falsifiers {FALSIFIERS}"
 )
-SEARCH_ANSWER = "query string, answer string, sources array<string>"
