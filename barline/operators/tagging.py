@@ -15,6 +15,8 @@ from barline.functions.text import cut_legal_suffix
 RUN = r"[A-Za-z0-9]+"
 WIDE = r"[^\x00-\x7F]{2,}"
 MAX_TAGS = 4
+#: Bits of the map of watch-list anchors; its size is the same for every list.
+BITS = 1 << 21
 
 
 def _neighbours(run: Column) -> Column:
@@ -53,6 +55,17 @@ def quoted(key: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def known_anchors(anchors: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Anchors that the watch list may hold: a bitmap in pieces of 32 kbit filters them before they are shuffled. It
+    lets a few others through, which the join drops."""
+    place = F.pmod(F.xxhash64("anchor"), F.lit(BITS))
+    pieces = patterns.select(place.alias("_p")).groupBy(F.expr("_p div 32768").alias("_piece")).agg(
+        F.expr("bitmap_construct_agg(_p % 32768)").alias("_bits"))
+    met = anchors.withColumn("_p", place).withColumn("_piece", F.expr("_p div 32768")).join(F.broadcast(pieces), "_piece")  # 256 KB at most
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).select(*anchors.columns)
+
+
 def watch_patterns(watchlist: DataFrame) -> DataFrame:
     """(ticker, pos, anchor, pattern): one row per alias, cleaned company name, bare ticker or digits.
 
@@ -81,12 +94,12 @@ def watch_patterns(watchlist: DataFrame) -> DataFrame:
 def tag_items(items: DataFrame, watchlist: DataFrame, item_key: list[str], limit: int = MAX_TAGS) -> DataFrame:
     """Items plus `watch`: up to `limit` tickers in watch-list order; null where none match.
 
-    Only keys and anchors travel through the join; the text is read again for the few
-    candidates whose pattern has to be tried.
+    Only keys and anchors that the list may hold travel through the join; the text is read
+    again for the few candidates whose pattern has to be tried.
     """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
     patterns = watch_patterns(watchlist).withColumnRenamed("pos", "_order")
-    found = text_anchors(items, item_key, text).join(patterns, "anchor")
+    found = known_anchors(text_anchors(items, item_key, text), patterns).join(patterns, "anchor")
     hit = F.struct("_order", "ticker")
     grouped = found.groupBy(*item_key).agg(
         F.collect_set(F.when(F.col("pattern").isNull(), hit)).alias("_sure"),
