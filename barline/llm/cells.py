@@ -3,7 +3,7 @@
 Vectors link when their labels are equal and their cosine, in double precision, is `COSINE` or more.
 
 1. Equal vectors of a label are one class with a count, so a vector that a third of all rows repeat is one row.
-2. Spherical k-means is fitted on a sample of at most `SAMPLE` classes (those of least hash), for about `CELL` classes a
+2. Spherical k-means is fitted on a sample of at most `SAMPLE` classes and `SAMPLE_BYTES` (those of least hash), for about `CELL` classes a
    cell and at most `CELLS` cells. Every class is then assigned.
 3. A class lives in its nearest cell and visits each cell that is less than `MARGIN` radians further. A pair of nearby
    vectors in two cells is compared where one of them visits the other's cell. With a margin of arccos(COSINE) no pair
@@ -33,6 +33,7 @@ from barline.llm.store import saved
 COSINE = 0.93
 MARGIN = 0.15
 SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
 CELL = 1000
 CELLS = 512
 BLOCK = 256
@@ -150,10 +151,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     good = rows.where("id is not null and label is not null and vec is not null")
     classes = saved(good.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "vectors")
 
-    total = classes.count()
+    total, longest = classes.agg(F.count("*"), F.max(F.size("vec"))).first()
     centres = []
     if total:
-        sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
+        sample = classes.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * longest)))).select("vec").toPandas()["vec"]
         for _, some in sample.groupby(sample.str.len()):
             centres.append(fit(unit(np.array(some.tolist(), np.float64)), int(min(CELLS, max(1, total // CELL)))))
     shared = spark.sparkContext.broadcast(centres)
