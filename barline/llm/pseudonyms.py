@@ -20,10 +20,12 @@ for one named like the added one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.store import without
+from barline.llm.store import free_name, without
 
 ROUNDS = 8
 #: Longest run of characters that a half's hash stream covers; the patterns below stay under twice that.
@@ -42,20 +44,20 @@ FORMATS = {
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_+/.~-]{6,128}|\"[0-9a-f]{32,64}\"",
 }
-PATTERN = "|".join(FORMATS.values())
-
-
-def _byte(hexes: Column, at: Column) -> Column:
-    return F.conv(F.substring(hexes, at * 2 - 1, F.lit(2)), 16, 10).cast("int")
+#: No format begins inside a word, which one look back settles for most places of a text.
+PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join(FORMATS.values()) + ")"
+#: Every format has one of these characters.
+SIGNS = r"[0-9@=:\"]"
 
 
-def _code(char: Column) -> Column:
-    return F.ascii(char)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _move(char: Column, by: Column, hexes: Column) -> Column:
     """A character moved within its class."""
-    code = _code(char)
+    code = F.ascii(char)
 
     def within(first: str, size: int) -> Column:
         return F.char(F.lit(ord(first)) + (code - ord(first) + by) % size)
@@ -72,32 +74,39 @@ def permute(value: Column, key: str, hexes: bool | Column = False) -> Column:
     """The keyed permutation of all strings of the same length and classes of characters; of all strings of lower-case
     hexadecimal digits, if `hexes`."""
     hexes = F.lit(hexes) if isinstance(hexes, bool) else hexes
-    half = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"), hexes.alias("h"), F.length(value).alias("n"))
 
     def round_(s: Column, k: Column) -> Column:
+        def moved(stream: Column) -> Column:
+            byte = lambda i: F.conv(F.substring(stream, i * 2 - 1, F.lit(2)), 16, 10).cast("int")
+            return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s["a"])), lambda i: let(
+                F.substring(s["a"], i, F.lit(1)), lambda char: let(byte(i), lambda by: _move(char, by, s["h"])))), "")
+
         seed = F.concat_ws("|", F.lit(key), k.cast("string"), s["n"].cast("string"), s["b"])
-        stream = F.concat(*(F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(STREAM // 32)))
-        moved = F.when(F.length(s["a"]) == 0, s["a"]).otherwise(F.array_join(F.transform(
-            F.sequence(F.lit(1), F.length(s["a"])), lambda i: _move(F.substring(s["a"], i, F.lit(1)), _byte(stream, i), s["h"])), ""))
-        return F.struct(s["b"].alias("a"), moved.alias("b"), s["h"].alias("h"), s["n"].alias("n"))
+        stream = let(seed, lambda x: F.concat(*(F.sha2(F.concat(x, F.lit(f"|{i}")), 256) for i in range(STREAM // 32))))
+        return F.struct(s["b"].alias("a"), F.when(F.length(s["a"]) == 0, s["a"]).otherwise(let(stream, moved)).alias("b"), s["h"].alias("h"), s["n"].alias("n"))
+
+    def whole(v: Column) -> Column:
+        half = F.floor(F.length(v) / 2).cast("int")
+        start = F.struct(F.substring(v, F.lit(1), half).alias("a"), F.substring(v, half + 1, F.length(v)).alias("b"), hexes.alias("h"), F.length(v).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.concat(s["a"], s["b"]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.concat(s["a"], s["b"]))
+    return let(value, whole)
 
 
 def permute_number(value: Column, high: int, low: int, key: str) -> Column:
     """The keyed permutation of the whole numbers from 0 to high * low - 1."""
-    start = F.struct(F.floor(value / low).cast("long").alias("a"), (value % low).cast("long").alias("b"))
-
     def draw(k: Column, side: str, other: Column) -> Column:
         seed = F.concat_ws("|", F.lit(key), F.lit(side), k.cast("string"), other.cast("string"))
         return F.conv(F.substring(F.sha2(seed, 256), 1, 13), 16, 10).cast("long")
 
     def round_(s: Column, k: Column) -> Column:
-        a = (s["a"] + draw(k, "a", s["b"])) % high
-        return F.struct(a.alias("a"), ((s["b"] + draw(k, "b", a)) % low).alias("b"))
+        return let((s["a"] + draw(k, "a", s["b"])) % high, lambda a: F.struct(a.alias("a"), ((s["b"] + draw(k, "b", a)) % low).alias("b")))
+
+    def whole(v: Column) -> Column:
+        start = F.struct(F.floor(v / low).cast("long").alias("a"), (v % low).cast("long").alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, round_, lambda s: s["a"] * low + s["b"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, round_, lambda s: s["a"] * low + s["b"])
+    return let(value, whole)
 
 
 def _digits(value: Column) -> Column:
@@ -106,86 +115,102 @@ def _digits(value: Column) -> Column:
 
 def _fill(form: Column, digits: Column) -> Column:
     """`form` with its digits replaced, in order."""
-    def at(i: Column) -> Column:
-        char = F.substring(form, i, F.lit(1))
-        return F.when(char.between("0", "9"), F.substring(digits, F.length(_digits(F.substring(form, F.lit(1), i))), F.lit(1))).otherwise(char)
+    def with_digits(new: Column) -> Column:
+        def at(i: Column) -> Column:
+            char = F.substring(form, i, F.lit(1))
+            return F.when(char.between("0", "9"), F.substring(new, F.length(_digits(F.substring(form, F.lit(1), i))), F.lit(1))).otherwise(char)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), at), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), at), "")
+
+    return let(digits, with_digits)
 
 
 def luhn(digits: Column) -> Column:
     """The Luhn sum of a string of digits, modulo 10."""
-    turned = F.reverse(digits)
+    def of(turned: Column) -> Column:
+        def add(total: Column, i: Column) -> Column:
+            return let(F.substring(turned, i, F.lit(1)).cast("int"), lambda d: total + F.when(
+                i % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(turned, i, F.lit(1)).cast("int")
-        double = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-        return total + F.when(i % 2 == 0, double).otherwise(d)
+        return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) % 10
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10
+    return let(F.reverse(digits), of)
 
 
 def mod97(iban: Column) -> Column:
     """The remainder of an IBAN: its first four characters at the end, letters as 10 to 35."""
-    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    def of(turned: Column) -> Column:
+        def add(rest: Column, i: Column) -> Column:
+            char = F.substring(turned, i, F.lit(1))
+            return F.when(char.between("0", "9"), (rest * 10 + F.ascii(char) - 48) % 97).otherwise((rest * 100 + F.ascii(char) - 55) % 97)
 
-    def add(rest: Column, i: Column) -> Column:
-        char = F.substring(turned, i, F.lit(1))
-        return F.when(char.between("0", "9"), (rest * 10 + _code(char) - 48) % 97).otherwise((rest * 100 + _code(char) - 55) % 97)
+        return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(iban)), F.lit(0), add)
+    return let(iban, lambda v: let(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4)), of))
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = _digits(value)
-    body = permute(F.substring(digits, F.lit(1), F.length(digits) - 1), key)
-    check = ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
-    return F.when(luhn(digits) == 0, _fill(value, F.concat(body, check))).otherwise(value)
+    def with_body(body: Column) -> Column:
+        return _fill(value, F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string")))
+
+    return let(_digits(value), lambda digits: F.when(
+        luhn(digits) == 0, let(permute(F.substring(digits, F.lit(1), F.length(digits) - 1), key), with_body)).otherwise(value))
 
 
 def _iban(value: Column, key: str) -> Column:
-    country, account = F.substring(value, 1, 2), permute(F.substring(value, F.lit(5), F.length(value)), key)
-    check = F.lpad((98 - mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
-    return F.when(mod97(value) == 1, F.concat(country, check, account)).otherwise(value)
+    country = F.substring(value, 1, 2)
+
+    def with_account(account: Column) -> Column:
+        return F.concat(country, F.lpad((98 - mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
+
+    return F.when(mod97(value) == 1, let(permute(F.substring(value, F.lit(5), F.length(value)), key), with_account)).otherwise(value)
 
 
 def _ipv4(value: Column, key: str) -> Column:
-    parts = F.transform(F.split(value, r"\."), lambda p: p.cast("long"))
-    number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p)
-    new = permute_number(number, 1 << 16, 1 << 16, key)
-    out = F.concat_ws(".", *(F.pmod(F.shiftright(new, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)))
-    return F.when(F.forall(parts, lambda p: p <= 255), out).otherwise(value)
+    def of(parts: Column) -> Column:
+        number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p)
+        out = let(permute_number(number, 1 << 16, 1 << 16, key), lambda new: F.concat_ws(
+            ".", *(F.pmod(F.shiftright(new, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))
+        return F.when(F.forall(parts, lambda p: p <= 255), out).otherwise(value)
+
+    return let(F.transform(F.split(value, r"\."), lambda p: p.cast("long")), of)
 
 
 def _date(value: Column, key: str) -> Column:
     first = F.to_date(F.lit(f"{FIRST_YEAR}-01-01"))
     year_first = value.rlike("^[0-9]{4}")
-    mark = F.when(year_first, F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1))
     turned = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
-    iso = F.when(year_first, F.replace(value, mark, F.lit("-"))).otherwise(turned)
-    day = F.try_to_date(iso, "yyyy-MM-dd")
-    new = F.date_add(first, permute_number(F.datediff(day, first).cast("long"), 189, 773, key).cast("int"))
-    out = F.when(year_first, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd-MM-yyyy"))
-    return F.when(day.isNotNull(), F.replace(out, F.lit("-"), mark)).otherwise(value)
+
+    def of(mark: Column) -> Column:
+        def moved(day: Column) -> Column:
+            new = F.date_add(first, permute_number(F.datediff(day, first).cast("long"), 189, 773, key).cast("int"))
+            out = let(new, lambda d: F.when(year_first, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd-MM-yyyy")))
+            return F.when(day.isNotNull(), F.replace(out, F.lit("-"), mark)).otherwise(value)
+
+        return let(F.try_to_date(F.when(year_first, F.replace(value, mark, F.lit("-"))).otherwise(turned), "yyyy-MM-dd"), moved)
+
+    return let(F.when(year_first, F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1)), of)
 
 
 def _ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.substring(value, *x).cast("long") for x in ((1, 3), (5, 2), (8, 4)))
     right = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     number = (area - F.when(area > 666, 2).otherwise(1)) * (99 * 9999) + (group - 1) * 9999 + serial - 1
-    new = permute_number(number, 898, 99 * 9999, key)
-    new_area = F.floor(new / (99 * 9999))
-    new_area = new_area + F.when(new_area >= 665, 2).otherwise(1)
-    out = F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(new / 9999) % 99 + 1).cast("string"), 2, "0"),
-                      F.lpad((new % 9999 + 1).cast("string"), 4, "0"))
-    return F.when(right, out).otherwise(value)
+
+    def shown(new: Column) -> Column:
+        place = F.floor(new / (99 * 9999))
+        return F.concat_ws("-", F.lpad((place + F.when(place >= 665, 2).otherwise(1)).cast("string"), 3, "0"),
+                           F.lpad((F.floor(new / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((new % 9999 + 1).cast("string"), 4, "0"))
+
+    return F.when(right, let(permute_number(number, 898, 99 * 9999, key), shown)).otherwise(value)
 
 
 def _phone(value: Column, key: str) -> Column:
     # The country code is what stands before the first mark, or one digit.
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
-    rest = F.substring(value, F.length(country) + 1, F.length(value))
-    return F.concat(country, _fill(rest, permute(_digits(rest), key)))
+    def of(country: Column) -> Column:
+        return let(F.substring(value, F.length(country) + 1, F.length(value)), lambda rest: F.concat(country, _fill(rest, permute(_digits(rest), key))))
+
+    return let(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0), of)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -193,11 +218,11 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    tail = F.when(value.startswith('"'), F.regexp_extract(value, "[0-9a-f]+", 0)).otherwise(
+    quoted = value.startswith('"')
+    tail = F.when(quoted, F.regexp_extract(value, "[0-9a-f]+", 0)).otherwise(
         F.regexp_extract(value, r"[=:][ ]?[\"']?([A-Za-z0-9_+/.~-]+)$", 1))
-    end = F.when(value.startswith('"'), F.lit('"')).otherwise(F.lit(""))
-    head = F.substring(value, F.lit(1), F.length(value) - F.length(tail) - F.length(end))
-    return F.concat(head, permute(tail, key, value.startswith('"')), end)
+    end = F.when(quoted, F.lit('"')).otherwise(F.lit(""))
+    return let(tail, lambda t: F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(t) - F.length(end)), permute(t, key, quoted), end))
 
 
 RULES = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "iban": _iban, "card": _card,
@@ -216,7 +241,11 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with its texts rewritten and `n_found`, the number of values of any format (valid or not) in the text."""
     docs, text = without(docs, "n_found"), F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    none = F.array().cast("array<string>")
+    found = F.when(text.rlike(SIGNS), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    # The finds are their own projection, so that they are worked out once.
+    name = free_name(docs, "__found")
     new = F.array_join(F.zip_with(
-        F.split(text, PATTERN, -1), F.transform(found, lambda m: pseudonym(m, key)), lambda part, m: F.concat(part, F.coalesce(m, F.lit("")))), "")
-    return docs.withColumns({text_col: F.when(F.size(found) > 0, new).otherwise(text), "n_found": F.coalesce(F.size(found), F.lit(0))})
+        F.split(text, PATTERN, -1), F.transform(name, lambda m: pseudonym(m, key)), lambda part, m: F.concat(part, F.coalesce(m, F.lit("")))), "")
+    met = docs.withColumn(name, found)
+    return met.withColumns({text_col: F.when(F.size(name) > 0, new).otherwise(text), "n_found": F.coalesce(F.size(name), F.lit(0))}).drop(name)
