@@ -339,7 +339,7 @@ def without_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             texts = pa.array(_cut(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()), batch.column(at).type)
             yield pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(len(columns))], names=columns)
 

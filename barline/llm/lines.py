@@ -42,6 +42,7 @@ BITS = 1 << 25
 SEEN = 300_000
 BUCKETS = 256
 FLUSH = 500_000
+ROWS = 512
 SLAB = 1 << 20
 _FEED = 10
 _LAST = (1 << 63) - 1
@@ -276,7 +277,7 @@ def _cut(schema: T.StructType, at: int):
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts, n_lines, n_kept = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 lines = [] if text is None else text.split("\n")

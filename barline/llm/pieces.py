@@ -29,7 +29,7 @@ from barline.llm.store import free_name, without
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 DECODED = T.StructField("decoded", T.StringType())
 MARK = "▁"
-TABLE = 300_000
+TABLE = 100_000
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
