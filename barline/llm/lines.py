@@ -1,16 +1,17 @@
-"""Line de-duplication over a deletion neighbourhood of words.
+"""Line de-duplication over a deletion neighbourhood of units.
 
 A line is what stands between line feeds, compared by its words (runs without ASCII white space, ASCII in lower case).
-Two lines are near when one word inserted, deleted or replaced turns one into the other; that is asked of lines of
-`NEAR_WORDS` words or more. Lines of `MIN_WORDS` or more are compared for equality; shorter ones always stay. Of equal
-lines the earliest stays, in order of id, text hash and place in the text. A line also goes when any earlier line is
-near it, whether or not that one stays itself.
-
-The neighbourhood of a line is its own key, its keys with one word deleted, and these keys with the place of the
-deletion; equal keys of the last kind mean one replaced word, a line's own key equal to another's deletion means one
-inserted word. Only the earliest line of a key matters: where a task meets a placed key again, the later line is decided
+All lines with a word are compared for equality. Two lines are near when one unit inserted, deleted or replaced turns
+one into the other. A unit is a word; in scripts that are written without blanks each character is one. That is asked
+of lines of `NEAR` or more, where a word counts `WORD` and such a character one, so that an edit is at most a quarter of
+a line. Of equal lines the earliest stays, in order of id, text hash and place in the text. A line also goes when any
+earlier line is near it, whether or not that one stays itself.
+
+The neighbourhood of a line is its own key, its keys with one unit deleted, and these keys with the place of the
+deletion; equal keys of the last kind mean one replaced unit, a line's own key equal to another's deletion means one
+inserted unit. Only the earliest line of a key matters: where a task meets a placed key again, the later line is decided
 there and only the earliest goes on, so a template with one changing word sends one entry a task however many lines fit
-it. Keys travel packed by bucket. The partner so found is verified word by word. Copies of a line are one row before its
+it. Keys travel packed by bucket. The partner so found is verified unit by unit. Copies of a line are one row before its
 neighbourhood is made.
 
 Most lines have no neighbour and need no variants: near lines share their first or last half. Halves that two different
@@ -36,8 +37,11 @@ from barline.llm import textkit
 from barline.llm.store import free_name, saved, without
 from barline.session import shuffle_partitions
 
-MIN_WORDS = 4
-NEAR_WORDS = 8
+WORD, NEAR = 2, 8
+#: Units of the shortest line that has near ones.
+LEAST = NEAR // WORD
+#: Characters of scripts without blanks: Thai, Lao, Tibetan, Burmese, Khmer, kana, ideographs.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 BITS = 1 << 25
 SEEN = 300_000
 BUCKETS = 256
@@ -48,8 +52,22 @@ _FEED = 10
 _LAST = (1 << 63) - 1
 
 
+def unspaced(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of each character of a script without blanks."""
+    at = np.flatnonzero(raw >= 0xE0)
+    four = raw[at] >= 0xF0
+    tail = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) & 63 for k in (1, 2, 3)]
+    point = (raw[at].astype(np.int64) & 15) << 12 | tail[0] << 6 | tail[1]
+    point = np.where(four, (raw[at].astype(np.int64) & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], point)
+    met = np.zeros(len(at), bool)
+    for low, high in UNSPACED:
+        met |= (point >= low) & (point <= high)
+    return at[met], (at + 3 + four)[met]
+
+
 class Lines:
-    """Word hashes of a slab and the lines that they make; hashes of any run of words in one step."""
+    """Word hashes of a slab and the lines that they make, for equality; the units of the lines, for nearness; hashes of
+    any run of either in one step."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         starts, ends, owner = textkit.spans(raw, offsets, textkit.SPACED)
@@ -64,8 +82,25 @@ class Lines:
         self.n = self.end - self.first
         self.text = owner[self.first]
         self.line = number[self.first] - before[self.text]
-        up, self.down = textkit.powers(len(self.words) + 2)
-        self.total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)])]) for w in (self.words, textkit.mix(self.words ^ np.uint64(77)))]
+        self.units, self.u_first, self.u_end, self.weight = self.words, self.first, self.end, self.n * WORD
+        single, after = unspaced(raw)
+        if len(single) and len(starts):
+            cuts = np.unique(np.concatenate([starts, single, after]))
+            word = np.searchsorted(starts, cuts, "right") - 1
+            inside = cuts < ends[word]
+            cuts, word = cuts[inside], word[inside]
+            self.units = textkit.hashes(raw, cuts, np.minimum(np.append(cuts[1:], len(raw)), ends[word]))
+            self.u_first, self.u_end = np.searchsorted(word, self.first), np.searchsorted(word, self.end)
+            each = np.concatenate([[0], np.cumsum(np.where(np.isin(cuts, single), 1, WORD))])
+            self.weight = each[self.u_end] - each[self.u_first]
+        self.near = self.weight >= NEAR
+        self.total = [self._sums(self.words), self._sums(textkit.mix(self.words ^ np.uint64(77)))]
+        self.total.append(self.total[0] if self.units is self.words else self._sums(self.units))
+        self.down = textkit.powers(len(self.units) + 2)[1]
+
+    @staticmethod
+    def _sums(hashes: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * textkit.powers(len(hashes) + 2)[0][: len(hashes)])])
 
     def run(self, first: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
         return (self.total[which][end] - self.total[which][first]) * self.down[first]
@@ -74,37 +109,37 @@ class Lines:
         return textkit.mix(self.run(self.first, self.end, which) + self.n.astype(np.uint64))
 
     def halves(self) -> np.ndarray:
-        """Four keys a line: its first and last words, as many as half a line of its length or one less has."""
-        out = []
-        for half in (self.n // 2, (self.n - 1) // 2):
+        """Four keys a line: its first and last units, as many as half a line of its length or one less has."""
+        out, size = [], self.u_end - self.u_first
+        for half in (size // 2, (size - 1) // 2):
             salt = half.astype(np.uint64) * np.uint64(4)
-            out.append(textkit.mix(self.run(self.first, self.first + half) + salt))
-            out.append(textkit.mix(self.run(self.end - half, self.end) + salt + np.uint64(1)))
+            out.append(textkit.mix(self.run(self.u_first, self.u_first + half, 2) + salt))
+            out.append(textkit.mix(self.run(self.u_end - half, self.u_end, 2) + salt + np.uint64(1)))
         return np.stack(out, axis=1)
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, hash, text) to one row for each line of MIN_WORDS or more."""
+    """Rows (id, hash, text) to one row for each line with a word."""
     for batch in batches:
         for first, end, raw, offsets in textkit.slabs(batch.column(2), SLAB):
             lines = Lines(raw, offsets)
-            keep = np.flatnonzero(lines.n >= MIN_WORDS)
-            if not len(keep):
+            if not len(lines.n):
                 continue
-            ids = batch.column(0).slice(first, end - first).take(pa.array(lines.text[keep]))
-            marks = batch.column(1).slice(first, end - first).take(pa.array(lines.text[keep]))
-            halves = lines.halves()[keep].view(np.int64)
-            size = np.where(lines.n[keep] < NEAR_WORDS, 0, np.where(lines.n[keep] % 2 == 1, 2, 4))
+            ids = batch.column(0).slice(first, end - first).take(pa.array(lines.text))
+            marks = batch.column(1).slice(first, end - first).take(pa.array(lines.text))
+            halves = lines.halves().view(np.int64)
+            units = lines.u_end - lines.u_first
+            size = np.where(lines.near, np.where((units % 2 == 1) | (units == LEAST), 2, 4), 0)  # nothing shorter than LEAST is near
             use = np.arange(4)[None, :] < size[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(halves[use]))
             yield pa.RecordBatch.from_arrays(
-                [ids, marks, pa.array(lines.line[keep].astype(np.int32)), pa.array(lines.keys()[keep].view(np.int64)),
-                 pa.array(lines.keys(1)[keep].view(np.int64)), lists], names=["id", "mark", "line", "k1", "k2", "halves"])
+                [ids, marks, pa.array(lines.line.astype(np.int32)), pa.array(lines.keys().view(np.int64)),
+                 pa.array(lines.keys(1).view(np.int64)), lists], names=["id", "mark", "line", "k1", "k2", "halves"])
 
 
 def _candidates(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (text) to (k1, k2, word hashes) of each different line that may have a neighbour."""
+        """Rows (text) to (k1, k2, unit hashes) of each different line that may have a neighbour."""
         flags, seen = np.frombuffer(bits.value, np.uint8), set()
         for batch in batches:
             for _, _, raw, offsets in textkit.slabs(batch.column(0), SLAB):
@@ -113,14 +148,14 @@ def _candidates(bits):
                 met = (flags[halves >> np.uint64(3)] >> (halves & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 k1, k2 = lines.keys().view(np.int64), lines.keys(1).view(np.int64)
                 rows = []
-                for k in np.flatnonzero(met.any(axis=1) & (lines.n >= NEAR_WORDS)):
+                for k in np.flatnonzero(met.any(axis=1) & lines.near):
                     name = int(k1[k])
                     if name in seen:
                         continue
                     if len(seen) >= SEEN:  # copies further apart meet in the aggregation
                         seen.clear()
                     seen.add(name)
-                    rows.append((name, int(k2[k]), lines.words[lines.first[k] : lines.end[k]].tobytes()))
+                    rows.append((name, int(k2[k]), lines.units[lines.u_first[k] : lines.u_end[k]].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["k1", "k2", "words"])
 
@@ -131,7 +166,7 @@ OWN, DELETED, PLACED = 0, 1, 2
 
 
 def neighbourhood(words: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """A line's own key, and its keys with each word deleted: without and with the place."""
+    """A line's own key, and its keys with each unit deleted: without and with the place."""
     n = len(words)
     up, down = textkit.powers(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n])])
@@ -224,7 +259,7 @@ def _meet(buckets: int):
 
 
 def one_apart(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether at most one word inserted, deleted or replaced turns a into b."""
+    """Whether at most one unit inserted, deleted or replaced turns a into b."""
     if abs(len(a) - len(b)) > 1:
         return False
     short = min(len(a), len(b))
