@@ -177,7 +177,7 @@ def neighbourhood(words: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _variants(buckets: int, flush: int):
-    """Rows (place number, word hashes) in order, to packed entries by bucket of their key; pairs that are decided here
+    """Rows (place number, unit hashes), in any order, to packed entries by bucket of their key; pairs that are decided here
     go to buckets beyond the last."""
 
     def pack(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
@@ -191,7 +191,7 @@ def _variants(buckets: int, flush: int):
         size = [len(r[2]) for r in run_]
         place = np.repeat(np.array([r[0] for r in run_], np.int64), size)
         deleted, placed = (np.concatenate([r[k] for r in run_]) for k in (2, 3))
-        by = np.argsort(placed, kind="stable")  # earliest first among equals
+        by = np.lexsort((place, placed))  # earliest first among equals, in whatever order the rows were read
         heads = textkit.runs(placed[by])
         first = by[heads[:-1]]
         later = np.ones(len(by), bool)
