@@ -346,6 +346,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_content(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of `dedup_lines` that lost nothing or still have a line of MIN_WORDS words."""
-    worded = F.exists(F.split(text_col, "\n"), lambda line: F.size(F.split(F.trim(line), r"\s+")) >= MIN_WORDS)
-    return found.where((F.col("n_kept") == F.col("n_lines")) | worded)
+    """Rows of `dedup_lines` that lost nothing or still have a line with a word."""
+    return found.where((F.col("n_kept") == F.col("n_lines")) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
