@@ -9,6 +9,10 @@ Counting goes over all labelled training texts: each task sums fixed-size count
 shuffle, and only `TOP` rows a language reach the driver. Prediction is one pass without a shuffle over whole texts.
 The labels must be languages, that is, of a number that a driver can hold `TOP` rows each of.
 
+Whether a text is in any of the languages at all is asked of the learned texts themselves: by number of n-grams (powers of
+two) a low quantile of their scores is taken, and a text that scores less than a fixed share of it is in none. In short
+texts languages differ little, so only longer ones are told apart with certainty.
+
 Defined cases: null texts and texts without a letter are `und` with score 0, as is any text when there is nothing to
 learn from; a null id is never learned from; ties go to the first language by name. Columns of the input are kept, but
 for such as are named like an added one.
@@ -32,8 +36,10 @@ from barline.llm.store import PIECE, counter_rows, free_name, pack, saved, unpac
 
 TOP = 300
 UNKNOWN = "und"
-#: Below this mean nearness a text is in none of the languages; texts of a language reach twice that and more.
-REJECT = 0.2
+#: A text is in none of the languages below this share of the score that all but so many of the learned texts reach.
+SHARE, LOW = 0.6, 0.01
+#: Learned texts that a number of n-grams needs for a bound, and the bound where there are fewer in all.
+ENOUGH, REJECT = 20, 0.2
 SLAB = 1 << 20
 HELD_LANGS = 16
 #: Codes of one, two and three letter classes, rounded up to whole pieces.
@@ -160,18 +166,19 @@ class Profiles:
 
 
 def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`docs` (columns `keep`, by default all) with lang_pred and score; `known` comes from `profiles`."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    """`docs` (columns `keep`, by default all) with lang_pred, score and n_grams; `known` comes from `profiles`."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score", "n_grams")]
     table = docs.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in known.collect()]))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for _, codes, ends in grams(batch.column(len(keep))):
-                found += [table.value.nearest(codes[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+                found += [(*table.value.nearest(codes[i:j]), int(j - i)) for i, j in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
+                [*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
+                 pa.array([f[2] for f in found], pa.int64())], names=schema.names)
 
     return docs.select(*keep, docs[text_col].cast("string").alias(free_name(docs, "__text"))).mapInArrow(run, schema)
 
@@ -187,6 +194,25 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return identify(docs, known, text_col, keep)
 
 
-def accepted(found: DataFrame) -> DataFrame:
-    """Rows of `predict` in some known language."""
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= REJECT))
+def _size() -> Column:
+    """Number of n-grams as a power of two."""
+    return F.floor(F.log2(F.greatest("n_grams", F.lit(1)))).cast("int")
+
+
+def bounds(found: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> list[float]:
+    """The least score of a text in some known language, for each size of `_size`; from the texts that `predict` learned
+    from. One row a size comes to the driver."""
+    learned = found.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.col("lang_pred") != UNKNOWN))
+    # Scores are cut to thousandths, so that a percentile holds a fixed number of them.
+    rows = learned.groupBy(_size().alias("size")).agg(F.percentile(F.round("score", 3), LOW).alias("low"), F.count("*").alias("n")).collect()
+    low = {r["size"]: r["low"] for r in rows if r["n"] >= ENOUGH}
+    if not low:
+        return [REJECT] * 64
+    near = [[low[k] for k in (size - 1, size, size + 1) if k in low] or low.values() for size in range(64)]
+    return [SHARE * min(x) for x in near]
+
+
+def accepted(found: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """Rows of `predict`, which keeps id and language for it, that are in some known language."""
+    bound = F.array(*(F.lit(x) for x in bounds(found, id_col, lang_col)))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.get(bound, _size())))
