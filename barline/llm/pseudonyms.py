@@ -10,7 +10,9 @@ holds: length, punctuation, letter case, check digits, calendar.
   move, check digits are made anew), telephone numbers in international form (the country code stays), e-mail addresses
   (local part; the domain stays), access keys and quoted or assigned secrets.
 * **Numbers** (`permute_number`): alternating addition modulo two factors of the number of values, a permutation of
-  exactly that many. Used for dates (400 Gregorian years), IPv4 addresses and US social security numbers.
+  exactly that many. Used for dates (400 Gregorian years), IPv4 addresses and US social security numbers. Dates that
+  begin with two digits are read day first; those that are no date so are read month first and move among their like,
+  the dates after the twelfth of a month, so that the two kinds never meet.
 
 What fails its validation stays as it is. There is no shuffle and no state; the key must be kept secret by the caller.
 
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from barline.llm.store import free_name, without
 
 ROUNDS = 8
-#: Longest run of characters that a half's hash stream covers; the patterns below stay under twice that.
-STREAM = 128
+#: A half's hash stream has a block for each so many characters; the seed of a half of more than LONG is hashed first.
+BLOCK, LONG = 32, 128
 FIRST_YEAR, DAYS = 1800, 146_097  # 400 years from then, of 189 * 773 days
+LATE_DAYS = 88_497  # of these after the twelfth of a month, 9833 * 9
 
 # Fixed formats, in order of precedence.
 FORMATS = {
@@ -42,7 +45,7 @@ FORMATS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[-.][0-9])",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_+/.~-]{6,128}|\"[0-9a-f]{32,64}\"",
+    "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?)[A-Za-z0-9_+/.~-]{6,}+|\"[0-9a-f]{32,}+\"",
 }
 #: No format begins inside a word, which one look back settles for most places of a text.
 PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join(FORMATS.values()) + ")"
@@ -76,14 +79,19 @@ def permute(value: Column, key: str, hexes: bool | Column = False) -> Column:
     hexes = F.lit(hexes) if isinstance(hexes, bool) else hexes
 
     def round_(s: Column, k: Column) -> Column:
-        def moved(stream: Column) -> Column:
+        def block(chars: Column, stream: Column) -> Column:
             byte = lambda i: F.conv(F.substring(stream, i * 2 - 1, F.lit(2)), 16, 10).cast("int")
-            return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s["a"])), lambda i: let(
-                F.substring(s["a"], i, F.lit(1)), lambda char: let(byte(i), lambda by: _move(char, by, s["h"])))), "")
+            return F.array_join(F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: let(
+                F.substring(chars, i, F.lit(1)), lambda char: let(byte(i), lambda by: _move(char, by, s["h"])))), "")
+
+        def moved(seed: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(s["a"]) - 1) / BLOCK).cast("int")), lambda i: let(
+                F.substring(s["a"], i * BLOCK + 1, F.lit(BLOCK)), lambda chars: let(
+                    F.sha2(F.concat(seed, F.lit("|"), i.cast("string")), 256), lambda stream: block(chars, stream)))), "")
 
         seed = F.concat_ws("|", F.lit(key), k.cast("string"), s["n"].cast("string"), s["b"])
-        stream = let(seed, lambda x: F.concat(*(F.sha2(F.concat(x, F.lit(f"|{i}")), 256) for i in range(STREAM // 32))))
-        return F.struct(s["b"].alias("a"), F.when(F.length(s["a"]) == 0, s["a"]).otherwise(let(stream, moved)).alias("b"), s["h"].alias("h"), s["n"].alias("n"))
+        seed = F.when(F.length(s["a"]) > LONG, F.sha2(seed, 256)).otherwise(seed)
+        return F.struct(s["b"].alias("a"), F.when(F.length(s["a"]) == 0, s["a"]).otherwise(let(seed, moved)).alias("b"), s["h"].alias("h"), s["n"].alias("n"))
 
     def whole(v: Column) -> Column:
         half = F.floor(F.length(v) / 2).cast("int")
@@ -176,18 +184,42 @@ def _ipv4(value: Column, key: str) -> Column:
     return let(F.transform(F.split(value, r"\."), lambda p: p.cast("long")), of)
 
 
+def _late(day: Column, key: str) -> Column:
+    """The keyed permutation of the days after the twelfth of a month, numbered in order."""
+    first = F.to_date(F.lit(f"{FIRST_YEAR}-01-01"))
+    start = lambda m: F.datediff(F.add_months(first, m), first) - m * 12  # noqa: E731  # such days before month m
+    month = (F.year(day) - FIRST_YEAR) * 12 + F.month(day) - 1
+
+    def shown(new: Column) -> Column:
+        about = F.floor(new * 4800 / LATE_DAYS).cast("int")
+        fits = F.filter(F.sequence(about - 2, about + 2), lambda m: start(m) <= new)
+        return let(F.array_max(fits), lambda m: F.date_add(F.add_months(first, m), (new - start(m) + 12).cast("int")))
+
+    return let(permute_number((start(month) + F.day(day) - 13).cast("long"), 9833, 9, key), shown)
+
+
 def _date(value: Column, key: str) -> Column:
     first = F.to_date(F.lit(f"{FIRST_YEAR}-01-01"))
     year_first = value.rlike("^[0-9]{4}")
-    turned = F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
+    one, two, year = F.substring(value, 1, 2), F.substring(value, 4, 2), F.substring(value, 7, 4)
+
+    def read(*parts: Column) -> Column:
+        return F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd")
 
     def of(mark: Column) -> Column:
-        def moved(day: Column) -> Column:
-            new = F.date_add(first, permute_number(F.datediff(day, first).cast("long"), 189, 773, key).cast("int"))
-            out = let(new, lambda d: F.when(year_first, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd-MM-yyyy")))
-            return F.when(day.isNotNull(), F.replace(out, F.lit("-"), mark)).otherwise(value)
+        def shown(day: Column, form: str) -> Column:
+            return F.replace(F.date_format(day, form), F.lit("-"), mark)
+
+        def any_day(form: str) -> Callable[[Column], Column]:
+            return lambda day: shown(F.date_add(first, permute_number(F.datediff(day, first).cast("long"), 189, 773, key).cast("int")), form)
+
+        def found(days: Column) -> Column:
+            return (F.when(days["iso"].isNotNull(), let(days["iso"], any_day("yyyy-MM-dd")))
+                    .when(days["day"].isNotNull(), let(days["day"], any_day("dd-MM-yyyy")))
+                    .when(days["month"].isNotNull(), let(days["month"], lambda day: shown(_late(day, key), "MM-dd-yyyy"))).otherwise(value))
 
-        return let(F.try_to_date(F.when(year_first, F.replace(value, mark, F.lit("-"))).otherwise(turned), "yyyy-MM-dd"), moved)
+        iso = F.when(year_first, F.try_to_date(F.replace(value, mark, F.lit("-")), "yyyy-MM-dd"))
+        return let(F.struct(iso.alias("iso"), F.when(~year_first, read(year, two, one)).alias("day"), F.when(~year_first, read(year, one, two)).alias("month")), found)
 
     return let(F.when(year_first, F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1)), of)
 
