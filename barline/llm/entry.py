@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import cells, fmindex, jaccard, language, lines, perspectives, pieces, pseudonyms, sharding, tokenfile, vocab
+from barline.llm import (
+    cells, fillmiddle, fmindex, jaccard, language, lines, perspectives, pieces, pseudonyms, sharding, tokenfile, vocab,
+)
 from barline.llm.checks import CHECKS
 from barline.session import work_folder
 
@@ -69,6 +71,13 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.index(spark, out)
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fillmiddle.transform(table(spark, folder, "documents"), keep=["doc_id"])
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fillmiddle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
@@ -80,4 +89,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_rank_order_language": op9_rank_order_language,
     "op10_token_files": op10_token_files,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
