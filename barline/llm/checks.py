@@ -141,6 +141,83 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, vec_id =
 FROM embeddings JOIN roots ON a = vec_id LEFT JOIN degree ON x = vec_id
 """
 
+# A fold over each conversation's rows that holds, for each state, the least (cost, audit) and its turns. Inserts come
+# before each row and at the end: first into `user`, then into `assistant`.
+NOWHERE = "{'c': 1000000000::BIGINT, 'a': '', 'o': ''}"
+
+
+def _say(state: str, cost: str, letter: str, line: str) -> str:
+    return f"{{'c': (w.{state}.c + {cost})::BIGINT, 'a': w.{state}.a || '{letter}', 'o': w.{state}.o || chr(10) || {line}}}"
+
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _drop(state: str) -> str:
+    return f"{{'c': w.{state}.c + 4, 'a': w.{state}.a || 'D', 'o': w.{state}.o}}"
+
+
+def _kept(state: str, initial: str) -> str:
+    return f"CASE WHEN r.ok AND r.initial = '{initial}' THEN {_say(state, 'r.late', 'K', 'r.line')} ELSE {NOWHERE} END"
+
+
+def _reroled(state: str, role: str) -> str:
+    return f"CASE WHEN r.ok THEN {_say(state, '3 + r.late', 'R', f"'{role}:' || r.said")} ELSE {NOWHERE} END"
+
+
+_BEFORE_USER = ("n", "s", "a")
+_MOVES = {
+    "n": _drop("n"),
+    "s": _least(_drop("s"), _kept("n", "s")),
+    "u": _least(_drop("u"), *(_kept(q, "u") for q in _BEFORE_USER), *(_reroled(q, "user") for q in _BEFORE_USER)),
+    "a": _least(_drop("a"), _kept("u", "a"), _reroled("u", "assistant")),
+}
+_STATES = ", ".join(f"'{q}': CASE WHEN r.kind = 'row' THEN {move}" + {
+    "u": f" WHEN r.kind = 'user' THEN {_least('w.u', *(_say(x, '3', 'I', repr('user:')) for x in _BEFORE_USER))}",
+    "a": f" WHEN r.kind = 'assistant' THEN {_least('w.a', _say('u', '3', 'I', repr('assistant:')))}",
+}.get(q, "") + f" ELSE w.{q} END" for q, move in _MOVES.items())
+_EMPTY = "'initial': '', 'ok': false, 'late': 0, 'line': '', 'said': ''"
+_NONE = ", ".join(f"'{q}': {NOWHERE}" for q in "nsua")
+_INSERTS = f"[{{'kind': 'user', {_EMPTY}, {_NONE}}}, {{'kind': 'assistant', {_EMPTY}, {_NONE}}}]"
+_ROW = f"{{'kind': 'row', 'initial': x.initial, 'ok': x.fault NOT IN ('b', 'd'), 'late': CASE x.fault WHEN 't' THEN 3 ELSE 0 END, 'line': x.role || ':' || x.text, 'said': x.text, {_NONE}}}"
+
+OP11 = rf"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, {CRC_STEP.format("c")}, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) % 20 AS k FROM named, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), judged AS (
+  SELECT conv_id, turn, role, text, i, role[1] AS initial, regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS final,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), faulted AS (
+  SELECT *, CASE WHEN final = '' THEN 'b' WHEN again THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault FROM judged
+), folded AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    list_reduce({_INSERTS} || flatten(list_transform(list(struct_pack(initial, fault, role, text) ORDER BY i), lambda x: [{_ROW}] || {_INSERTS})),
+      lambda w, r: {{'kind': '', {_EMPTY}, {_STATES}}},
+      {{'kind': '', {_EMPTY}, {_NONE.replace(NOWHERE, "{'c': 0::BIGINT, 'a': '', 'o': ''}", 1)}}}) AS w
+  FROM faulted GROUP BY conv_id
+), best AS (SELECT *, {_least("w.n", "w.a")} AS least FROM folded)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(least.c, 0)::BIGINT AS cost,
+  coalesce(least.a, '') AS audit, sha256(coalesce(substr(least.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 CHECKS = {
     "op1_ngram_jaccard": OP1,
     "op3_jump_sharding": OP3,
@@ -148,4 +225,5 @@ CHECKS = {
     "op5_embedding_cells": OP5,
     "op6_fm_decontamination": OP6,
     "op8_line_dedup": OP8,
+    "op11_conversation_repair": OP11,
 }

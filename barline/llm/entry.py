@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import (
-    cells, fillmiddle, fmindex, jaccard, language, lines, packing, perspectives, pieces, pseudonyms, sharding, tokenfile, vocab,
+    cells, fillmiddle, fmindex, jaccard, language, lines, packing, perspectives, pieces, pseudonyms, repair, sharding, tokenfile,
+    vocab,
 )
 from barline.llm.checks import CHECKS
 from barline.session import work_folder
@@ -71,6 +72,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.index(spark, out)
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.report(repair.repair(repair.damage(table(spark, folder, "conversations"))))
+
+
 def op12_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.piece_digests(table(spark, folder, "documents"), vocab.path("byte_bpe_50k.json"))
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_rank_order_language": op9_rank_order_language,
     "op10_token_files": op10_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_sequence_packing": op12_sequence_packing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
