@@ -45,10 +45,10 @@ SENTENCE, PLACE, SEQUENCE = 8, 48, 4
 SEGMENT = 1 << 20
 #: A stretch without a document or sentence end longer than GAP gets cuts every STRIDE ids.
 GAP, STRIDE = 512, 64
+_FREE = -1
 #: What ends a sentence, and what may still stand behind that.
 STOPS, CLOSERS = ".!?…。！？", "\"'”’»)]"
 
-
 @lru_cache(maxsize=2)
 def _marks(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By id: the piece ends in a sentence's end; in a line's end; begins with white space."""
@@ -70,16 +70,16 @@ def cuts(doc_ends: np.ndarray, sentences: np.ndarray, every_from: int | None = N
     """Possible cuts of a stream that begins at 0 and ends with the last document end, and their penalties. From
     `every_from` on each place is one."""
     end = int(doc_ends[-1])
-    natural = np.unique(np.concatenate([[0], doc_ends, sentences]))
-    wide = np.flatnonzero(np.diff(natural) > GAP)
-    more = [np.arange(natural[k] + STRIDE, natural[k + 1], STRIDE) for k in wide]
+    weight = np.zeros(end + 1, np.int16)
+    weight[sentences], weight[doc_ends], weight[0] = SENTENCE, _FREE, _FREE
+    natural = np.flatnonzero(weight)
+    for k in np.flatnonzero(np.diff(natural) > GAP):
+        weight[natural[k] + STRIDE : natural[k + 1] : STRIDE] = PLACE
     if every_from is not None:
-        more.append(np.arange(max(every_from, 0), end))
-    at = np.unique(np.concatenate([natural, *more]).astype(np.int64))
-    penalty = np.full(len(at), PLACE, np.int64)
-    penalty[np.searchsorted(at, sentences)] = SENTENCE
-    penalty[np.searchsorted(at, doc_ends)] = 0
-    return at, penalty
+        rest = weight[max(every_from, 0) :]
+        rest[rest == 0] = PLACE
+    at = np.flatnonzero(weight)
+    return at, np.maximum(weight[at], 0).astype(np.int64)
 
 
 def plan(at: np.ndarray, penalty: np.ndarray, room: int = ROOM) -> tuple[list[int], int]:
@@ -87,34 +87,40 @@ def plan(at: np.ndarray, penalty: np.ndarray, room: int = ROOM) -> tuple[list[in
     window wins. Neighbouring places must be at most `room` apart."""
     powers = [1 << k for k in range(room.bit_length()) if 1 << k <= room]
     late, early = [], []
+    number = np.full(int(at[-1]) + 1, -1, np.int32)
+    number[at] = np.arange(len(at))
     for p in powers:
-        i = np.searchsorted(at, at - p)
-        hit = np.flatnonzero(at[i] == at - p)
-        late.append(hit)
+        begin = int(np.searchsorted(at, p))
+        i = number[at[begin:] - p]
+        hit = np.flatnonzero(i >= 0)
+        late.append(hit + begin)
         early.append(i[hit])
     late, early = np.concatenate(late), np.concatenate(early)
     order = np.lexsort((early, late))
     first = np.searchsorted(late[order], np.arange(len(at) + 1)).tolist()
     exact, place, extra = early[order].tolist(), at.tolist(), (penalty + SEQUENCE).tolist()
-    cost, back = [0] * len(place), [0] * len(place)
-    queue, sums, head = [0], [place[0]], 0
-    for j in range(1, len(place)):
+    count = len(place)
+    cost, back = [0] * count, [0] * count
+    # The queue's cuts are those between head and tail, their sums rising.
+    queue, sums, head, tail, k = [0] * count, [0] * count, 0, 0, 0
+    for j in range(1, count):
         here = place[j]
-        while place[queue[head]] < here - room:
+        edge = here - room
+        while place[queue[head]] < edge:
             head += 1
-        least, source = sums[head] + room - here, queue[head]
-        for k in range(first[j], first[j + 1]):
+        least, source, until = sums[head] - edge, queue[head], first[j + 1]
+        while k < until:
             i = exact[k]
-            if cost[i] < least or (cost[i] == least and i < source):
+            k += 1
+            if cost[i] <= least and (cost[i] < least or i < source):
                 least, source = cost[i], i
-        cost[j] = least = least + extra[j]
-        back[j] = source
-        total = least + here
-        while len(queue) > head and sums[-1] > total:
-            queue.pop()
-            sums.pop()
-        queue.append(j)
-        sums.append(total)
+        least += extra[j]
+        cost[j], back[j] = least, source
+        least += here
+        while tail >= head and sums[tail] > least:
+            tail -= 1
+        tail += 1
+        queue[tail], sums[tail] = j, least
     found = [len(place) - 1]
     while found[-1]:
         found.append(back[found[-1]])
@@ -172,7 +178,9 @@ class Packer:
             chosen = chosen[:-2]
         until = int(chosen[-1])
         inner = self.ends[self.ends <= until]
-        edges = np.union1d(chosen, inner)
+        edge = np.zeros(until + 1, bool)
+        edge[chosen] = edge[inner] = True
+        edges = np.flatnonzero(edge)
         firsts = edges[:-1]
         doc, window = np.searchsorted(self.ends, firsts, "right"), np.searchsorted(chosen, firsts, "right") - 1
         out = Windows(

@@ -6,9 +6,9 @@ columns delta-encoded, row groups and pages of a set size, with page indexes. Fi
 partition; the start in the whole sequence is added on reading from one sum per file, so no task counts all rows.
 
 The ids are those of the tokenizers library. A byte-level pre-tokenizer never lets a piece cross a space between two
-other characters from its left, so texts are cut before such spaces, and each task keeps a bounded table of the distinct
-chunks, each encoded once by the library; ids are put back by position. Chunks are told apart by two 64-bit hashes. A lost executor
-repeats its own partitions.
+other characters from its left, nor the seam between an ASCII letter and a sign, so texts are cut there, and each task
+keeps a bounded table of the distinct chunks (`chunktable`), each encoded once by the library. A lost executor repeats
+its own partitions.
 
 Defined cases: null ids come first; null or empty texts hold the end id only; repeated rows are all kept. Other columns
 of the input are ignored.
@@ -16,6 +16,7 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,10 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barline.llm import textkit
+from barline.llm import chunktable, textkit
 from barline.session import shuffle_partitions
 
-TABLE = 1_500_000
 TOGETHER = 1000
 LAYOUT = {
     "parquet.writer.version": "v2", "parquet.block.size": str(16 << 20), "parquet.page.size": str(128 << 10),
@@ -44,11 +44,17 @@ _BYTES = np.arange(256)
 BLANK = ((_BYTES >= 9) & (_BYTES <= 13)) | ((_BYTES >= 28) & (_BYTES <= 32))
 #: First bytes of the characters beyond ASCII that may be white space.
 WIDE = np.isin(_BYTES, [0xC2, 0xE1, 0xE2, 0xE3])
+LETTER = ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A))
+DIGIT = (_BYTES >= 0x30) & (_BYTES <= 0x39)
+#: No bar: added tokens may hold one behind a letter, and are found in a text before it is parted.
+SIGN = (_BYTES > 0x20) & (_BYTES < 0x7F) & ~LETTER & ~DIGIT & (_BYTES != 0x7C)
 
 
 def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where chunks begin: texts that are not empty, and spaces that surely stand between two characters other than
-    white space inside a text."""
+    """Where chunks begin: texts that are not empty; spaces that surely stand between two characters other than white
+    space inside a text; and seams that a byte-level pre-tokenizer always parts: behind an ASCII letter before a sign,
+    digit or line end, behind a sign before a line end, and behind a single line end before a letter. Words then do not
+    multiply with the signs behind them."""
     at = np.flatnonzero(raw == 32)
     before = [raw[np.maximum(at - k, 0)] for k in (1, 2, 3)]
     after = raw[np.minimum(at + 1, len(raw) - 1)]
@@ -57,86 +63,52 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     edge[offsets] = True
     inside = ~BLANK[before[0]] & ~wide & ~BLANK[after] & ~WIDE[after] & ~edge[at] & ~edge[at + 1]
     edge[at[inside]] = True
+    if len(raw) > 2:
+        letter, line = LETTER[raw], raw == 10
+        seen = letter | SIGN[raw]
+        edge[1:-1] |= (letter[:-1] & (SIGN | DIGIT)[raw[1:]]) | (seen[:-1] & line[1:])
+        edge[2:-1] |= seen[:-2] & line[1:-1] & letter[2:]
     return np.flatnonzero(edge[:-1])
 
 
-class ChunkTable:
-    """Ids of distinct chunks from the tokenizers library: sorted hashes, and runs in one array of ids."""
+class ChunkTable(chunktable.ChunkTable):
+    """Ids of distinct chunks from the tokenizers library."""
 
     def __init__(self, path: str):
+        # One thread a worker: Spark fills the cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         # A byte-level vocabulary writes a leading space as this letter.
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
-        self.clear()
+        names = [np.frombuffer(t.content.encode(), np.uint8) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(len(cuts(x, np.array([0, len(x)]))) > 1 for x in names):
+            raise ValueError("an added token would be cut")
 
-    def clear(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return cuts(raw, offsets)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
+    def segment(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Ids of each chunk. Words behind a space go to the library many at once: each begins with a spaced piece."""
+        chunks = [c.decode() for c in chunks]
         out: list[np.ndarray | None] = [None] * len(chunks)
         words = [k for k, c in enumerate(chunks) if c[0] == " " and " " not in c[1:] and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, ids in zip(groups, self._library(["".join(chunks[k] for k in g) for g in groups])):
             at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
             if len(at) == len(group) + 1:
-                for k, i, j in zip(group, at[:-1], at[1:]):
+                for k, i, j in zip(group, at[:-1].tolist(), at[1:].tolist()):
                     out[k] = ids[i:j]
         rest = [k for k, x in enumerate(out) if x is None]
         for k, ids in zip(rest, self._library([chunks[k] for k in rest])):
             out[k] = ids
         return out
 
-    def _learn(self, raw: np.ndarray, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        data = raw.tobytes()
-        found = self._encode([data[i:j].decode() for i, j in zip(starts, ends)])
-        size = np.array([len(x) for x in found], np.int64)
-        first = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *found])
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
-        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
-
-    def encode(self, raw: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each with the `end` ids behind it, and the number of each text's ids."""
-        starts = cuts(raw, offsets) if len(raw) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(raw))
-        keys, checks = (textkit.hashes(raw, starts, ends, values) for values in textkit.CASED)
-        order = np.argsort(keys)
-        heads = textkit.runs(keys[order])
-        where, place = order[heads[:-1]], np.empty(len(keys), np.int64)
-        place[order] = np.repeat(np.arange(len(where)), np.diff(heads))
-        distinct = keys[where]
-        if len(self.keys) + len(distinct) > TABLE:
-            self.clear()
-        at = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(at, len(self.keys) - 1)] != distinct
-        if new.any():
-            some = where[new]
-            self._learn(raw, distinct[new], checks[some], starts[some], ends[some])
-            at = np.searchsorted(self.keys, distinct)
-        rows = at[place]
-        if (self.checks[rows] != checks).any():
-            raise ValueError("two chunks share a 64-bit hash")
-        size, owner = self.size[rows], np.searchsorted(offsets, starts, "right") - 1
-        n = np.bincount(owner, size, len(offsets) - 1).astype(np.int64) + len(end)
-        out = np.empty(int(n.sum()), np.int32)
-        before = np.cumsum(size) - size
-        inside = np.arange(int(size.sum()))
-        out[inside + np.repeat(owner * len(end), size)] = self.ids[inside + np.repeat(self.first[rows] - before, size)]
-        last = np.cumsum(n)
-        for k, x in enumerate(end):
-            out[last - len(end) + k] = x
-        return out, n
-
 
 @lru_cache(maxsize=1)
 def _table(path: str) -> ChunkTable:
