@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pathlib import Path
 
-from barline.llm import pieces, textkit, tokenfile, vocab
+from barline.llm import chunktable, entry, pieces, textkit, tokenfile, vocab
 
 ODD = ["", " ", "  ", "a", "  a  b ", "▁", "a▁▁b", "▁ a ▁", "x\n y\n\n  z", "<s> </s> <unk>", "é́\x00\x01 　 a\tb", "a ", " a", "日本 語 it's 's 've",
        "<0x0A> \n", "a\n b", "a \nb", "a\n  b c", "<|endoftext|> b <|endoftext|>c d<|endoftext|>", " <|endoftext|>", "\x1f a \x1c b", "a\xa0 b \xa0c", "🙂🙂 👩‍👩‍👧 x"]
@@ -25,10 +26,40 @@ def model():
 
 
 def test_chunk_table_is_the_library(model, monkeypatch):
-    for size in (300_000, 5):
-        monkeypatch.setattr(pieces, "TABLE", size)
-        texts = ODD + mixed(1) + ["word " * 50_000]
-        assert list(pieces.ChunkTable(vocab.path("piece_bpe_32k.model")).encode(texts)) == model.encode(texts)
+    texts = ODD + mixed(1, 3000) + ["word " * 50_000, "x" * 5000, "a, b;c (d) 12.5 e\n\n f\ng"]
+    for size, slab in ((1_500_000, 1 << 20), (50, 2000)):
+        monkeypatch.setattr(chunktable.ChunkTable, "limit", size)
+        monkeypatch.setattr(textkit.slabs, "__defaults__", (slab,))
+        table, got = pieces.ChunkTable(vocab.path("piece_bpe_32k.model")), []
+        for _, _, ids, at in table.slabs(pa.array(texts)):
+            got += [x.tolist() for x in np.split(ids, at[1:-1])]
+        assert got == model.encode(texts)
+
+
+def test_shared_hashes_lose_nothing(model, monkeypatch):
+    """Chunks that share the first hash are told apart by the second and segmented by themselves."""
+    texts = ["one two three, four. one two", "two three", "", "four one"]
+    whole = textkit.hashes
+    monkeypatch.setattr(textkit, "hashes", lambda raw, s, e, values: whole(raw, s, e, values) % np.uint64(2 if values is textkit.CASED[0] or values.tolist() == textkit.CASED[0].tolist() else 1 << 62))
+    table = pieces.ChunkTable(vocab.path("piece_bpe_32k.model"))
+    for _ in range(2):
+        (_, _, ids, at), = table.slabs(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, at[1:-1])] == model.encode(texts)
+
+
+def test_queries_match_the_libraries(spark, sf, model, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in entry.op7_sentencepiece(spark, sf).collect()}
+    want = {i: model.encode(t) for i, t in texts.items()}
+    assert got == {i: (len(x), sha(",".join(map(str, x))), sha(model.decode(x) if x else "")) for i, x in want.items()}
+    files = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in entry.op10_token_files(spark, sf).collect()}
+    start = 0
+    for i in sorted(texts):
+        ids = [*library.encode(texts[i], add_special_tokens=False).ids, 0]
+        assert files[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(files) == len(texts)
 
 
 def test_round_trip_and_digests(spark, model):
@@ -52,7 +83,7 @@ def test_chunk_table_of_files_is_the_library(library, monkeypatch):
     texts = ODD + mixed(2, 1500) + ["word " * 50_000, "été à la\u00a0mer é \u3000x — y 日本 語"]
     want = [[*e.ids, 7, 9] for e in library.encode_batch(texts, add_special_tokens=False)]
     for size, slab in ((1_500_000, 1 << 20), (50, 2000)):
-        monkeypatch.setattr(tokenfile, "TABLE", size)
+        monkeypatch.setattr(chunktable.ChunkTable, "limit", size)
         table, got = tokenfile.ChunkTable(vocab.path("byte_bpe_50k.json")), []
         for _, _, raw, offsets in textkit.slabs(pa.array(texts), slab):
             ids, n = table.encode(raw, offsets, [7, 9])
