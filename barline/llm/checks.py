@@ -47,27 +47,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN held USING (r)
 """
 
-# Lines by (doc_id, place); equal by lower-cased words; near: one word replaced, or one inserted or deleted.
+# Scripts without blanks: one character is a unit there; elsewhere a unit is what lies between such characters in a word.
+WIDE = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+
+# Lines by (doc_id, place); equal by lower-cased words; near, from a weight of eight (a wide unit is one, another two): one
+# unit replaced, or one inserted or deleted.
 OP8 = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL
 ), worded AS (
   SELECT doc_id, k, line, regexp_extract_all({LOWERED.replace("text", "line")}, '[^\x20\x09-\x0D]+') AS w FROM lines
 ), different AS (
-  SELECT w, len(w) AS n, min(struct_pack(d := doc_id, k := k)) AS first FROM worded WHERE len(w) >= 4 GROUP BY w
+  SELECT w, min(struct_pack(d := doc_id, k := k)) AS first, flatten(list_transform(w, lambda x: regexp_extract_all(x, '[{WIDE}]|[^{WIDE}]+'))) AS u
+  FROM worded WHERE len(w) > 0 GROUP BY w
+), heavy AS (
+  SELECT w, first, u, len(u) AS n FROM different WHERE list_sum(list_transform(u, lambda x: CASE WHEN regexp_full_match(x, '[{WIDE}]') THEN 1 ELSE 2 END)) >= 8
 ), placed AS (
-  SELECT w, n, first, i, w[1:i - 1] || w[i + 1:n] AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM different WHERE n >= 8)
+  SELECT w, n, first, i, u[1:i - 1] || u[i + 1:n] AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM heavy)
 ), replaced AS (
   SELECT w, first FROM (SELECT w, first, min(first) OVER (PARTITION BY i, rest) AS best FROM placed) WHERE best < first
 ), inserted AS (
-  SELECT p.w AS long_, p.first AS long_first, d.w AS short_, d.first AS short_first FROM placed p JOIN different d ON d.w = p.rest WHERE d.n >= 8
+  SELECT p.w AS long_, p.first AS long_first, d.w AS short_, d.first AS short_first FROM placed p JOIN heavy d ON d.u = p.rest
 ), near AS (
   SELECT w FROM replaced
   UNION SELECT long_ FROM inserted WHERE short_first < long_first
   UNION SELECT short_ FROM inserted WHERE long_first < short_first
 ), kept AS (
   SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY k) AS text FROM worded
-  WHERE len(w) < 4 OR (struct_pack(d := doc_id, k := k) IN (SELECT first FROM different) AND w NOT IN (SELECT w FROM near))
+  WHERE len(w) = 0 OR (struct_pack(d := doc_id, k := k) IN (SELECT first FROM different) AND w NOT IN (SELECT w FROM near))
   GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n_kept, 0)::BIGINT AS n_kept,
@@ -199,7 +206,9 @@ named AS (
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
 ), judged AS (
-  SELECT conv_id, turn, role, text, i, role[1] AS initial, regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS final,
+  SELECT conv_id, turn, role, text, i, role[1] AS initial, regexp_extract(text, '([^ 	-
+])[ 	-
+]*\z', 1) AS final,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
 ), faulted AS (
   SELECT *, CASE WHEN final = '' THEN 'b' WHEN again THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault FROM judged

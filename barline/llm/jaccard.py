@@ -84,14 +84,14 @@ def _count_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = len(sizes)
         yield pa.RecordBatch.from_arrays(
             [pa.array([0] * rows, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-             pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-            names=["kind", "id", "n", "cls", "piece", "data"])
+             batch.column(2), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+            names=["kind", "id", "n", "cls", "mark", "piece", "data"])
     pieces = list(counter_rows(counts))
     rows = len(pieces)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([1] * rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
+        [pa.array([1] * rows, pa.int32()), *[pa.nulls(rows, pa.int64())] * 4,
          pa.array([p for p, _ in pieces], pa.int32()), pa.array([d for _, d in pieces], pa.binary())],
-        names=["kind", "id", "n", "cls", "piece", "data"])
+        names=["kind", "id", "n", "cls", "mark", "piece", "data"])
 
 
 class Order:
@@ -346,36 +346,51 @@ def _links(texts: DataFrame, named: DataFrame, order: Order) -> DataFrame:
         _open, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: (id, n_shingles, component_id, n_copies), ids as long.
-
-    `component_id` is the least id that links of similarity 0.75 or more reach; `n_copies` is the number of rows with
-    the same shingle set.
-    """
-    spark = docs.sparkSession
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of `docs`: (id, n, mark: a hash of the text, root: a class of its component, component: the least
+    id in it, n_copies)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = saved(texts.mapInArrow(_count_sets, "kind int, id long, n long, cls long, piece int, data binary"), "sets", "kind")
-    rows = first.where("kind = 0").select("id", "n", "cls")
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    first = saved(marked.mapInArrow(_count_sets, "kind int, id long, n long, cls long, mark long, piece int, data binary"), "sets", "kind")
+    rows = first.where("kind = 0").select("id", "n", "cls", "mark")
     order = Order(counter(first.where("kind = 1").select("piece", "data"), SKETCH))
 
     named = rows.where("id is not null and cls is not null")
-    edges = _links(texts.where("id is not null"), named, order)
+    edges = _links(texts.where("id is not null"), named.drop("mark"), order)
     roots = components(edges, "a", "b")
     classes = named.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"))
     rooted = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ends = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = rooted.join(ends, "root").select("cls", "component", "n_copies")
-    found = rows.join(labels, "cls", "left")
-    return found.select(
+    labels = rooted.join(ends, "root").select("cls", "root", "component", "n_copies")
+    return rows.join(labels, "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: (id, n_shingles, component_id, n_copies), ids as long.
+
+    `component_id` is the least id that links of similarity 0.75 or more reach; `n_copies` is the number of rows with
+    the same shingle set.
+    """
+    return _labelled(docs, id_col, text_col).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay when of each component only the document with the least id does.
-
-    Rows that repeat one id inside a component stay once; rows without an id all stay."""
-    found = near_duplicates(docs, id_col, text_col).where("n_shingles > 0 and component_id <> doc_id or doc_id is null")
-    gone = found.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """The rows of `docs` that stay when of each component one row does: that of the least id, of several texts under
+    this id the one with the least hash, of several equal rows any one.
+
+    Rows without an id, and rows without a word, all stay."""
+    found = _labelled(docs, id_col, text_col).where("id is not null and n > 0")
+    # Rows are told apart by id and text: one id may stand on texts of different components.
+    stays = found.groupBy("root", "id", "mark").agg(F.count("*").alias("times")).groupBy("root").agg(
+        F.min(F.struct("id", "mark", "times")).alias("best")).select(
+            F.col("best.id").alias("_id"), F.col("best.mark").alias("_mark"), F.col("best.times").alias("_times"))
+    own, mark = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    free = own.isNull() | ~F.coalesce(docs[text_col].cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    columns = [docs[c] for c in docs.columns]
+    met = docs.where(~free).join(stays, (own == stays["_id"]) & (mark == stays["_mark"]))
+    once = met.where(stays["_times"] == 1).select(*columns)
+    again = met.where(stays["_times"] > 1).dropDuplicates(["_id", "_mark"]).select(*columns)
+    return docs.where(free).unionByName(once).unionByName(again)

@@ -51,6 +51,19 @@ def test_empty_table_and_keep_one(spark):
     assert sorted(str(r.doc_id) for r in jaccard.keep_one(df.withColumn("_gone", F.lit(1))).collect()) == ["1", "2", "4", "5", "None"]
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b = "one two three four five six seven eight nine ten", "red blue green white black grey pink brown teal gold"
+    keep = lambda rows: sorted((r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit(1), "ROOT": F.lit(2)})).collect())
+    # One id on two texts: each is judged in its own component. Equal rows stay once.
+    assert keep([(1, a), (2, a), (2, b), (3, b + " x"), (1, a)]) == [(1, a), (2, b)]
+    # One id on two texts of one component: one row stays.
+    near = b + " x"
+    assert keep([(7, b), (7, near), (8, b)]) in ([(7, b)], [(7, near)])
+    # The least id is shared by two components.
+    assert keep([(1, a), (1, b), (2, a), (2, b)]) == [(1, a), (1, b)]
+    assert keep([(1, ""), (1, ""), (2, " "), (3, a)]) == [(1, ""), (1, ""), (2, " "), (3, a)]
+
+
 def test_prefix_filter_loses_no_link():
     rng = random.Random(5)
     import numpy as np

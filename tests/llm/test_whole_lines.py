@@ -1,33 +1,12 @@
 """Line de-duplication over lines of any length and script."""
 
 import random
-import re
 
 import pytest
 
 import twins
 from barline.llm import lines
 
-WIDE = "[฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]"
-
-
-def units(words):
-    return [u for w in words for u in re.findall(f"{WIDE}|(?:(?!{WIDE}).)+", w, re.S)]
-
-
-def kept(docs):
-    first = {}
-    for i in sorted(docs):
-        for k, line in enumerate((docs[i] or "").split("\n")):
-            if w := tuple(twins.spaced(line)):
-                first.setdefault(w, (i, k))
-    cut = {w: units(w) for w in first}
-    long_ = [w for w in first if sum(1 if re.fullmatch(WIDE, u) else 2 for u in cut[w]) >= 8]
-    near = {w for w in long_ for v in long_ if first[v] < first[w] and abs(len(cut[v]) - len(cut[w])) < 2 and twins.edit_one(cut[v], cut[w])}
-    stays = lambda i, k, w: not w or (first[w] == (i, k) and w not in near)
-    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if stays(i, k, tuple(twins.spaced(x)))) for i, t in docs.items()}
-
-
 def result(spark, docs):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     return {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
@@ -39,7 +18,7 @@ def test_short_lines_and_lines_without_blanks(spark):
             3: f"{other}\n全く別の一行です\nyes no", 4: "four words are here now\nno yes\nใช้ภาษาไทยได้เลย", 5: "ใช้ภาษาไทยได้เลยๆ\nyes\nอื่น"}
     got = result(spark, docs)
     assert got == {1: docs[1], 2: "", 3: "全く別の一行です\nyes no", 4: "no yes\nใช้ภาษาไทยได้เลย", 5: "yes\nอื่น"}
-    assert got == kept(docs)
+    assert got == twins.kept_lines(docs)
 
 
 @pytest.mark.parametrize("flush", [500_000, 20])
@@ -57,4 +36,4 @@ def test_matches_brute_force(spark, monkeypatch, flush):
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             out.append(rng.choice(("", " ")) + " ".join(w))
         docs[i] = "\n".join(out)
-    assert result(spark, docs) == kept(docs)
+    assert result(spark, docs) == twins.kept_lines(docs)

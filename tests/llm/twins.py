@@ -47,8 +47,15 @@ def near_documents(docs):
     return {i: (len(sets[i]), root[i]) for i in docs}
 
 
+WIDE = "[฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]"
+
+
+def units(words):
+    return [u for w in words for u in re.findall(f"{WIDE}|(?:(?!{WIDE}).)+", w, re.S)]
+
+
 def edit_one(a, b):
-    """Word edit distance of at most one, by trying all edits."""
+    """Unit edit distance of at most one, by trying all edits."""
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
     short, long_ = sorted((a, b), key=len)
@@ -60,17 +67,19 @@ def kept_lines(docs):
     first = {}
     for i in sorted(docs):
         for k, line in enumerate((docs[i] or "").split("\n")):
-            w = tuple(spaced(line))
-            if len(w) >= 4:
+            if w := tuple(spaced(line)):
                 first.setdefault(w, (i, k))
-    near = {w for w, at in first.items() if len(w) >= 8 and any(
-        len(v) >= 8 and other < at and abs(len(v) - len(w)) < 2 and edit_one(list(v), list(w)) for v, other in first.items())}
-    out = {}
-    for i, text in docs.items():
-        lines = [] if text is None else text.split("\n")
-        stay = [x for k, x in enumerate(lines) if len(w := tuple(spaced(x))) < 4 or (first[w] == (i, k) and w not in near)]
-        out[i] = None if text is None else "\n".join(stay)
-    return out
+    cut = {w: units(w) for w in first}
+    long_ = [w for w in first if sum(1 if re.fullmatch(WIDE, u) else 2 for u in cut[w]) >= 8]
+    meet = defaultdict(list)  # lines one edit apart share a half, counted from either end
+    for w in long_:
+        n = len(cut[w])
+        for half in {("first", *cut[w][: n // 2]), ("first", *cut[w][: (n - 1) // 2]), ("last", *cut[w][n - n // 2 :]), ("last", *cut[w][n - (n - 1) // 2 :])}:
+            meet[half].append(w)
+    near = {w for group in meet.values() for w in group for v in group
+            if first[v] < first[w] and abs(len(cut[v]) - len(cut[w])) < 2 and edit_one(cut[v], cut[w])}
+    stays = lambda i, k, w: not w or (first[w] == (i, k) and w not in near)
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if stays(i, k, tuple(spaced(x)))) for i, t in docs.items()}
 
 
 def contaminated(docs, items):
