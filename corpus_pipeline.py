@@ -25,7 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line equals or nearly equals are cut; documents that lost all their lines go."""
+    """Lines that an earlier line equals or nearly equals are cut; documents that lost all their lines go.
+
+    Near copies of whole documents are told from what they have before anything is cut: what is left of one without the
+    lines it shares is like no other document any more. They go first, the one with the least id stays."""
+    docs = saved(jaccard.keep_one(docs), "line-dedup-input")
     found = lines.dedup_lines(packed(docs, "doc_id", "text"))
     return _measured(unpacked(lines.with_content(found), docs.columns))
 
