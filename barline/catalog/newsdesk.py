@@ -13,7 +13,8 @@ from barline.operators import feeds, similarity, tagging
 from barline.operators.ranking import first_k
 from barline.plans import documents as docs
 from barline.plans import news
-from barline.sources import dims, readers
+from barline.session import work_folder
+from barline.sources import dims, readers, sinks
 from barline.sources import driver_tables as t
 
 # ---- feeds -----------------------------------------------------------------
@@ -486,23 +487,41 @@ def earnings_next_session(spark, sf):
 REPLY = "k int, tag string"
 
 
-@query("json_parse", """
-SELECT event_id AS id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
-  CASE event_id % 4 WHEN 1 THEN 'x' WHEN 2 THEN 'y' END AS tag, event_id % 4 = 3 AS is_broken FROM events""")
+# Clean or mended replies, and their tags; the odd tag holds commas before brackets, an escaped quote and a brace.
+REPLIES = r"""replies AS (
+  SELECT event_id AS id, ts, user_id, event_id % 8 IN (3, 6) AS is_broken,
+    CASE WHEN event_id % 8 NOT IN (3, 6) THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
+    CASE WHEN event_id % 8 = 1 THEN 'x' WHEN event_id % 8 = 2 THEN 'y' WHEN event_id % 8 IN (4, 5, 7) THEN 'a ,] b ,} " }' END AS tag FROM events)"""
+
+
+@query("json_parse", f"WITH {REPLIES} SELECT id, k, tag, is_broken FROM replies")
 def json_parse(spark, sf):
     out = docs.parse_replies(t.raw_replies(spark, sf), REPLY)
     return out.select("id", F.when(~F.col("is_broken"), F.col("doc.k")).alias("k"), F.when(~F.col("is_broken"), F.col("doc.tag")).alias("tag"), "is_broken")
 
 
-@query("with_defaults", """
-SELECT event_id AS id, coalesce(CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS INTEGER) END, 0) AS k,
-  coalesce(CASE event_id % 4 WHEN 1 THEN 'x' WHEN 2 THEN 'y' END, 'none') AS tag, '無前日資料' AS verdict FROM events""")
+@query("with_defaults", f"WITH {REPLIES} SELECT id, coalesce(k, 0) AS k, coalesce(tag, 'none') AS tag, '無前日資料' AS verdict FROM replies")
 def with_defaults(spark, sf):
     parsed = json_parse(spark, sf)
     filled = docs.with_defaults(parsed, {"k": F.lit(0), "tag": F.lit("none"), "verdict": F.lit("無前日資料")})
     return filled.select("id", "k", "tag", "verdict")
 
 
+THEME_LIST = ", ".join(f"'{x}'" for x in dims.THEMES)
+
+
+@query("theme_documents", f"""WITH {REPLIES}
+SELECT {s.day('ts')} AS as_of, [{THEME_LIST}][user_id % {len(dims.THEMES)} + 1] AS theme, CAST(user_id % {len(dims.THEMES)} + 1 AS INTEGER) AS pos,
+  arg_max(k, id) AS k, coalesce(arg_max_null(tag, id), '') AS week_summary, 0 AS flags FROM replies WHERE NOT is_broken GROUP BY 1, 2, 3""")
+def theme_documents(spark, sf):
+    """Written one folder per day and theme, read back with the schema checked."""
+    made = docs.theme_documents(t.theme_replies(spark, sf), "k int, tag string").withColumn("week_summary", F.coalesce("tag", "week_summary"))
+    folder = work_folder(spark, "themes")
+    sinks.write_documents(made.drop("tag"), folder, "as_of", "theme")
+    back = readers.read_theme_docs(spark, folder, "k int, week_summary string, risk_flags array<string>")
+    return back.select(day("as_of").alias("as_of"), "theme", "pos", "k", "week_summary", F.size("risk_flags").alias("flags"))
+
+
 @query("number_extract", r"SELECT doc_id, nullif(regexp_extract(doc_id || ' MOVE at ' || (n_chars % 1300) || '.5 now', '\b(\d{2,3}(?:\.\d+)?)\b', 1), '') AS number FROM documents")
 def number_extract(spark, sf):
     phrase = F.concat(F.col("doc_id"), F.lit(" MOVE at "), F.col("n_chars") % 1300, F.lit(".5 now"))
@@ -544,6 +563,19 @@ def regime_review(spark, sf):
     return _reviews(spark, sf).select(day("as_of").alias("as_of"), day("review_day").alias("review_day"), "metric", "op", "threshold", "today_value", "hit")
 
 
+@query("regime_stored_review", s.with_(f"""
+SELECT {s.day('as_of')} AS as_of, {s.day('review_day')} AS review_day, metric, op, threshold, today_value, hit FROM hits WHERE review_day IS NOT NULL""",
+                                        "instruments", "closes", REGIMES))
+def regime_stored_review(spark, sf):
+    """Regimes written one folder per day, each day's predecessor looked up in what was read back, and reviewed."""
+    folder = work_folder(spark, "regimes")
+    sinks.write_regimes(t.regimes(spark, sf), folder)
+    readings = t.closes(spark, sf).select(F.col("dt").alias("as_of"), F.col("symbol").alias("metric"), F.col("close").alias("value"))
+    held = docs.regime_as_of(spark.read.parquet(folder), readings.select(F.col("as_of").alias("review_day")).distinct())
+    checks = docs.review_regime(held.select("regime.*").dropDuplicates(["as_of"]), readings)
+    return checks.select(day("as_of").alias("as_of"), day("review_day").alias("review_day"), "metric", "op", "threshold", "today_value", "hit")
+
+
 @query("regime_verdict", s.with_(f"""
 SELECT {s.day('as_of')} AS as_of, call, CASE WHEN bool_or(hit) THEN '被證偽' ELSE '延續' END AS verdict, count(*) FILTER (WHERE hit) AS hits
 FROM hits GROUP BY as_of, call""", "instruments", "closes", REGIMES))

@@ -10,7 +10,8 @@ from barline.functions.numeric import pct_change, rnd
 from barline.operators import contraction, ranking, series, smoothing
 from barline.plans import fundamentals as fund
 from barline.plans import screener as scr
-from barline.sources import dims, readers
+from barline.session import work_folder
+from barline.sources import dims, readers, sinks
 from barline.sources import driver_tables as t
 
 YN = "CASE WHEN {0} THEN 'yes' WHEN NOT {0} THEN 'no' END AS {0}"
@@ -379,6 +380,25 @@ def rank_delta(spark, sf):
         "ticker", F.col("rank_change").cast("double").alias("rank_change"), "rank_change_str")
 
 
+@query("snapshot_days", s.with_("""
+SELECT t.ticker, CAST(t.rank AS INTEGER) AS rank, CAST(p.rank AS INTEGER) AS prev_rank
+FROM (SELECT ticker, row_number() OVER (ORDER BY volume DESC, ticker) AS rank FROM bars WHERE dt = (SELECT max(dt) FROM bars)) t
+LEFT JOIN (SELECT ticker, row_number() OVER (ORDER BY volume DESC, ticker) AS rank FROM bars
+           WHERE dt = (SELECT max(dt) FROM bars WHERE dt < (SELECT max(dt) FROM bars))) p USING (ticker)""", "bars"))
+def snapshot_days(spark, sf):
+    """Two days written, the newer one first in part and then again; the newest and the one before it read back."""
+    bars = t.bars(spark, sf)
+    days = scr.newest_sessions(bars, 2)
+    rows = bars.filter(F.col("dt").isin(days)).select(F.col("dt").alias("as_of"), "ticker", "volume")
+    ranked = ranking.position(rows, ["as_of"], "volume", ["ticker"])
+    folder = work_folder(spark, "snapshots")
+    for part in (ranked.filter((F.col("as_of") == F.lit(days[0])) | (F.col("rank") <= 3)), ranked.filter(F.col("as_of") == F.lit(days[1]))):
+        sinks.write_snapshot(part, folder, ["ticker", "rank"])
+    back = spark.read.schema("ticker string, rank int, as_of date").parquet(folder)
+    before = readers.newest_before(back, F.lit(days[1])).select("ticker", F.col("rank").alias("prev_rank"))
+    return sinks.latest_snapshot(back).join(before, "ticker", "left").select("ticker", "rank", "prev_rank")
+
+
 # ---- group rankings --------------------------------------------------------
 
 GROUP_BODY = f"""

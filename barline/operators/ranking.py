@@ -11,6 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barline.session import use_checkpoints
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the checkpoint folder, for rows that are read twice: what made them is neither planned nor run
+    again, and a lost executor costs a read."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
 
 def slice_of(value: Column) -> Column:
     """A whole number that never falls as the value rises: fine around zero, in steps of 1.6 % far from it. Nulls come
@@ -38,7 +47,7 @@ def position(df: DataFrame, by: list[str], value: str, ties: list[str], out: str
     order = [F.col(value).desc_nulls_last(), *map(F.col, ties)]
     # Nulls come last here, so their slice must, too.
     keyed = F.coalesce(falling.cast("double"), F.lit(float("nan")))
-    return running_total(df, by, keyed, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out).cast("int"))
+    return running_total(written(df), by, keyed, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out).cast("int"))
 
 
 def percent_of(part: Column, whole: Column) -> Column:
@@ -46,24 +55,39 @@ def percent_of(part: Column, whole: Column) -> Column:
     return F.floor((part * 2000 + whole) / (whole * 2)) / 10
 
 
-def percents_at_or_below(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+def value_ladder(values: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, value, upto, total) of (*by, value): how many values of the group are at or below each distinct one.
+
+    One row per distinct value from the first shuffle on, so a value shared by a third of the rows is one row here.
+    """
+    levels = values.groupBy(*by, "value").agg(F.count("*").alias("n")).withColumn("_slice", slice_of(F.col("value")))
+    inside = W.partitionBy(*by, "_slice").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    counted = levels.withColumn("upto", F.sum("n").over(inside))
+    # One row per slice: its offset and, at the end of the running sum, the size of the whole group.
+    sums = counted.groupBy(*by, "_slice").agg(F.max("upto").alias("_sum"))
+    before, whole = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
+    offsets = sums.select(*by, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"), F.sum("_sum").over(whole).alias("total"))
+    return counted.join(offsets, [*by, "_slice"]).select(*by, "value", (F.col("upto") + F.col("_offset")).alias("upto"), "total")
+
+
+def percents_at_or_below(df: DataFrame, by: list[str], columns: dict[str, str], key: list[str]) -> DataFrame:
     """For each value column: 100 * count(v <= value) / count(v) within `by` to one decimal.
 
-    columns: value column to output column; null values get null and do not count.
+    columns: value column to output column; null values get null and do not count. `by` and `key` name a row. All
+    columns go through one ladder and one join: each row is there once a column, with its other fields in the first
+    copy only, and the copies of a row are put together again by its name.
     """
-    # One row per distinct value, all columns in one pass: a value shared by a third of the rows is one row here.
-    levels = (
-        df.unpivot(by or [F.lit(1).alias("_all_rows")], list(columns), "_column", "_value").filter(F.col("_value").isNotNull())
-        .groupBy(*by, "_column", "_value").agg(F.count("*").alias("_n"))
-    )
-    ladder = running_total(levels, [*by, "_column"], F.col("_value"), [F.col("_value")], F.col("_n"), "_upto")
-    totals = levels.groupBy(*by, "_column").agg(F.sum("_n").alias("_all"))
-    scale = ladder.join(totals, [*by, "_column"])
-    for value, out in columns.items():
-        part = scale.filter(F.col("_column") == value).select(
-            *by, F.col("_value").alias(value), percent_of(F.col("_upto"), F.col("_all")).alias(out))
-        df = df.join(part, [*by, value], "left")
-    return df
+    df, named = written(df), [*by, *key]
+    rest = F.struct(*[c for c in df.columns if c not in named])
+    copies = F.array(*[
+        F.struct(F.lit(n).alias("column"), F.col(c).cast("double").alias("value"), F.when(F.lit(n) == 0, rest).alias("rest"))
+        for n, c in enumerate(columns)])
+    flat = df.select(*named, F.explode(copies).alias("c")).select(*named, "c.*")
+    ladder = value_ladder(flat.filter("value IS NOT NULL").select(*by, "column", "value"), [*by, "column"])
+    told = flat.join(ladder, [*by, "column", "value"], "left").withColumn("share", percent_of(F.col("upto"), F.col("total")))
+    shares = [F.max(F.when(F.col("column") == n, F.col("share"))).alias(out) for n, out in enumerate(columns.values())]
+    rows = told.groupBy(*named).agg(F.first("rest", ignorenulls=True).alias("rest"), *shares)
+    return rows.select(*[F.col(c) if c in named else F.col("rest").getField(c).alias(c) for c in df.columns], *columns.values())
 
 
 def first_k(

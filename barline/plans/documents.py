@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barline.functions.text import repair_json
+from barline.functions.text import json_body, mend_commas
 from barline.schemas import FALSIFIERS
 from barline.sources.dims import CODE_CAPS
 
 
 def parse_replies(replies: DataFrame, schema: str, text: str = "text") -> DataFrame:
-    """Repaired and parsed replies; `doc` is null and `is_broken` set where nothing can be read."""
-    fixed = replies.withColumn("_json", repair_json(F.col(text)))
-    parsed = fixed.withColumn("doc", F.from_json("_json", f"{schema}, _corrupt string",
-                                                 {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    broken = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
-    return parsed.withColumn("is_broken", broken).drop("_json")
+    """Parsed replies; `doc` is null and `is_broken` set where nothing can be read.
+
+    A reply that parses is left alone; only one that does not has its commas mended, and is parsed once more.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parse = lambda c: F.from_json(c, f"{schema}, _corrupt string", options)
+    failed = lambda doc: F.col(doc).isNull() | F.col(f"{doc}._corrupt").isNotNull()
+    first = replies.withColumn("_json", json_body(F.col(text))).withColumn("_first", parse(F.col("_json")))
+    parsed = first.withColumn("doc", F.when(failed("_first"), parse(mend_commas(F.col("_json")))).otherwise(F.col("_first")))
+    return parsed.withColumn("is_broken", failed("doc")).drop("_json", "_first")
 
 
 def with_defaults(doc: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -93,6 +97,25 @@ def trend_defaults(items: Column, keep: int = 3) -> Column:
     ))
 
 
+def theme_documents(replies: DataFrame, schema: str) -> DataFrame:
+    """The newest readable reply of each (as_of, theme) with its defaults: replies (as_of, theme, at, text)."""
+    parsed = parse_replies(replies, schema).filter(~F.col("is_broken"))
+    newest = parsed.groupBy("as_of", "theme").agg(F.max_by("doc", "at").alias("doc"))
+    fields = newest.select("as_of", "theme", "doc.*").drop("_corrupt")
+    return with_defaults(fields, {"week_summary": F.lit(""), "risk_flags": F.array().cast("array<string>")})
+
+
+def regime_as_of(regimes: DataFrame, days: DataFrame) -> DataFrame:
+    """For each day of `days` (review_day) the newest regime before it, whole: an as-of lookup in one aggregation.
+
+    A regime covers the days up to the next one's, so every day finds its own without a range join."""
+    until = F.lead("as_of").over(W.orderBy("as_of"))  # one row per regime day
+    spans = regimes.withColumn("_until", until).select(
+        F.struct(*regimes.columns).alias("regime"), F.explode(F.sequence(
+            F.date_add("as_of", 1), F.greatest(F.date_add("as_of", 1), F.coalesce("_until", F.date_add("as_of", 30))))).alias("review_day"))
+    return spans.join(days, "review_day").groupBy("review_day").agg(F.max_by("regime", "regime.as_of").alias("regime"))
+
+
 def latest_before(snapshots: DataFrame, today: Column, key: str = "as_of") -> DataFrame:
     """The newest snapshot before today: one as-of day's rows."""
     earlier = snapshots.filter(F.col(key) < today)

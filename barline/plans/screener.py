@@ -26,10 +26,15 @@ def bench_returns(bench: DataFrame) -> DataFrame:
     )
 
 
-def raw_percentiles(returns: DataFrame, by: list[str]) -> DataFrame:
+def newest_bench(bench: DataFrame) -> DataFrame:
+    """bench_13w of the newest day: one row, empty where the benchmark is too short."""
+    return series.last_rows(bench_returns(bench).withColumn("_k", F.lit(1)), "_k", 1).select("bench_13w")
+
+
+def raw_percentiles(returns: DataFrame, by: list[str], key: str = "ticker") -> DataFrame:
     """raw_1w / raw_4w / raw_13w: share of names at or below, one decimal. Names with short
     history still count in the horizons they have."""
-    return ranking.percents_at_or_below(returns, by, {f"ret_{h}": f"raw_{h}" for h in HORIZON_KEYS})
+    return ranking.percents_at_or_below(returns, by, {f"ret_{h}": f"raw_{h}" for h in HORIZON_KEYS}, [key])
 
 
 def rs_fields(df: DataFrame) -> DataFrame:
@@ -47,13 +52,14 @@ def latest_returns(bars: DataFrame, key: str = "ticker") -> DataFrame:
 
 def rs_score(bars: DataFrame, bench: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Today's relative strength per ticker; `previous` is yesterday's snapshot, if any."""
-    today = raw_percentiles(latest_returns(bars), []).filter(F.col("n_bars") >= MIN_RS_BARS)
+    # The one-row benchmark comes first, so that both readings of the bars lie in one job.
+    today = raw_percentiles(latest_returns(bars).crossJoin(F.broadcast(newest_bench(bench))), [])
+    today = today.filter(F.col("n_bars") >= MIN_RS_BARS)
     if previous is None:
         smooth = today.withColumns({s: F.col(r) for s, r in zip(smoothing.SMOOTH, smoothing.RAW)})
     else:
         smooth = smoothing.smooth_once(today, previous)
-    base = series.last_rows(bench_returns(bench).withColumn("_k", F.lit(1)), "_k", 1).select("bench_13w")
-    return rs_fields(smooth).crossJoin(F.broadcast(base)).select(  # base is one row
+    return rs_fields(smooth).select(
         "ticker", "dt", F.col("close").alias("price"), *smoothing.RAW, *smoothing.SMOOTH, "rs_trend", "rs_total",
         "rs_score", rnd(F.col("ret_13w"), 2).alias("return_63d"),
         rnd(F.col("ret_13w") - F.col("bench_13w"), 2).alias("vs_bench_63d"),
@@ -184,11 +190,11 @@ def group_ranking(closes: DataFrame, names: DataFrame, bench: DataFrame, key: st
     """
     listed = closes.join(names.select(key, "name", "pos"), key)
     ret = series.lookback_returns(series.drop_missing(listed), key)
-    today = raw_percentiles(series.newest_alive(ret, key), []).filter(F.col("n_bars") >= MIN_RS_BARS)
-    base = series.last_rows(bench_returns(bench).withColumn("_k", F.lit(1)), "_k", 1).select("bench_13w")
+    newest = series.newest_alive(ret, key).crossJoin(F.broadcast(newest_bench(bench)))
+    today = raw_percentiles(newest, [], key).filter(F.col("n_bars") >= MIN_RS_BARS)
     scored = rs_fields(today.withColumns({s: F.col(r) for s, r in zip(smoothing.SMOOTH, smoothing.RAW)}))
     gained = rnd(F.col("ret_13w"), 2)
-    rows = scored.crossJoin(F.broadcast(base)).select(  # base is one row
+    rows = scored.select(
         F.col(key).alias("ticker"), "name", "pos", "rs_score", *smoothing.SMOOTH, "rs_trend",
         gained.alias("return_13w"), rnd(gained - F.col("bench_13w"), 2).alias("vs_benchmark"),
         rnd(F.col("close"), 2).alias("price"),

@@ -31,18 +31,27 @@ def ticker_of(key: Column) -> Column:
     return F.concat(F.lit("T"), key)
 
 
+def trade_order() -> Column:
+    """Order lines by order, line and part, as one number: a struct here would make every aggregation sort its rows.
+
+    Room for keys of 15 digits and line numbers of four; a larger one fails in the cast, none is taken for another."""
+    parts = F.col("l_orderkey").cast("decimal(15,0)"), F.col("l_linenumber").cast("decimal(4,0)"), F.col("l_partkey").cast("decimal(15,0)")
+    lines = (parts[0] * F.lit(10**4).cast("decimal(5,0)") + parts[1]).cast("decimal(21,0)")
+    return (lines * F.lit(10**15).cast("decimal(16,0)") + parts[2]).cast("decimal(38,0)")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: supplier as ticker, unit price as price, in order-line order."""
-    trade_order = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    order = trade_order()
     unit_price = F.col("l_extendedprice") / F.col("l_quantity")
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", F.to_date("l_shipdate").alias("dt"))
         .agg(
-            F.min_by(unit_price, trade_order).alias("open"),
+            F.min_by(unit_price, order).alias("open"),
             F.max(unit_price).alias("high"),
             F.min(unit_price).alias("low"),
-            F.max_by(unit_price, trade_order).alias("close"),
+            F.max_by(unit_price, order).alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
         .select(ticker_of(F.col("l_suppkey")).alias("ticker"), "dt", "open", "high", "low", "close", "volume")
@@ -279,13 +288,30 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies around the event properties: fenced, trailing comma, cut short, clean."""
+    """Model replies around the event properties: fenced, trailing comma, missing comma, cut short; then strings that
+    hold what a mending of commas looks for: in a clean reply, in one with both faults, with a line feed (no reply can be
+    read that has one), and before a remark with braces."""
     body = F.col("props")
     inner = F.substring(body, F.lit(2), F.length(body))
-    wrapped = (
-        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(F.col("event_id") % 4 == 1, F.concat(F.lit("Here it is: {\"tag\": \"x\","), F.rtrim(F.substring_index(inner, "}", 1)), F.lit(",}")))
-        .when(F.col("event_id") % 4 == 2, F.concat(F.lit("{\"tag\": \"y\"\n"), inner))
-        .otherwise(F.substring(body, 1, 4))
-    )
+    fields = F.rtrim(F.substring_index(inner, "}", 1))
+    odd = r'"tag": "a ,] b ,} \" }"'
+    kinds = [
+        F.concat(F.lit("```json\n"), body, F.lit("\n```")),
+        F.concat(F.lit("Here it is: {\"tag\": \"x\","), fields, F.lit(",}")),
+        F.concat(F.lit("{\"tag\": \"y\"\n"), inner),
+        F.substring(body, 1, 4),
+        F.concat(F.lit("{" + odd + ", "), inner),
+        F.concat(F.lit("{" + odd + "\n"), fields, F.lit(", }")),
+        F.concat(F.lit("{\"tag\": \"two\nlines\", "), inner),
+        F.concat(F.lit("```json\n{" + odd + "\n"), fields, F.lit(",\n}\n```\nas {agreed}")),
+    ]
+    wrapped = F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int"))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), wrapped.alias("text"))
+
+
+def theme_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(as_of, theme, at, text): a weekly theme reply for each event."""
+    names = F.array(*map(F.lit, dims.THEMES))
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.to_date("ts").alias("as_of"), F.element_at(names, (F.col("user_id") % len(dims.THEMES) + 1).cast("int")).alias("theme"))
+    return raw_replies(spark, sf_dir).join(events, "id").select("as_of", "theme", F.col("id").alias("at"), "text")

@@ -93,6 +93,14 @@ def read_news_items(spark: SparkSession, path: str, stream: bool = False) -> Dat
     return reader.schema(schemas.NEWS_ITEM).json(path)
 
 
+def read_theme_docs(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Theme documents as `sinks.write_documents` lays them out, with each theme's place; a document that does not fit
+    `fields` fails the read."""
+    docs = spark.read.schema(f"{fields}, as_of date, theme string").option("mode", "FAILFAST").json(path)
+    places = F.create_map(*[F.lit(x) for pair in ((name, k) for k, name in enumerate(dims.THEMES, 1)) for x in pair])
+    return docs.withColumn("pos", places[F.col("theme")])
+
+
 def newest_before(snapshots: DataFrame, today: Column) -> DataFrame:
     """Rows of the newest snapshot before `today`."""
     earlier = snapshots.filter(F.col("as_of") < today)

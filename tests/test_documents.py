@@ -18,6 +18,30 @@ def test_json_repair(spark):
     assert got[2][1] and got[4][1] and got[5][1]  # a number before the line break is not mended, cut text is flagged
 
 
+def test_strings_are_never_mended(spark):
+    tag = 'a ,] b ,} c"\n"d }\n"'
+    inside = json.dumps(tag)
+    texts = [f'{{"k":1,"tag":{inside}}}', f'{{"k":1,"tag":{inside},}}', f'{{"tag":{inside}\n"k":1\n,}}', f'```\n{{"more":[{{"x":"]\\n["}}\n{{"x":""}},]\n"k":1,"tag":{inside}, }}\n```\nas {{agreed}}',
+             '{"k":1,"tag":"two\nlines"}', '{"k":1,"tag":"open ,]', '{"k":1,"tag":"' + "x\\\\ ,] " * 5000 + '",}', "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r for r in docs.parse_replies(df, "k int, tag string").collect()}
+    assert all((got[i]["doc"]["k"], got[i]["doc"]["tag"], got[i]["is_broken"]) == (1, tag, False) for i in range(4))
+    assert got[6]["doc"]["tag"] == "x\\ ,] " * 5000
+    assert all(got[i]["is_broken"] for i in (4, 5, 7, 8))
+
+
+def test_theme_documents_and_regimes_read_back(spark, tmp_path):
+    rows = [("2024-01-05", "credit", 1, '{"k": 1}'), ("2024-01-05", "credit", 2, '{"k": 2,}'), ("2024-01-05", "credit", 3, "broken"), ("2024-01-12", "macro", 1, "none")]
+    replies = spark.createDataFrame(rows, "as_of string, theme string, at int, text string").withColumn("as_of", F.to_date("as_of"))
+    sinks.write_documents(docs.theme_documents(replies, "k int, week_summary string"), str(tmp_path / "t"), "as_of", "theme")
+    back = readers.read_theme_docs(spark, str(tmp_path / "t"), "k int, week_summary string, risk_flags array<string>").collect()
+    assert [(r.as_of, r.theme, r.pos, r.k, r.week_summary, r.risk_flags) for r in back] == [(date(2024, 1, 5), "credit", 3, 2, "", [])]
+    regimes = spark.createDataFrame([(date(2024, 1, d), f"call {d}") for d in (2, 4, 9)], "as_of date, call string")
+    days = spark.createDataFrame([(date(2024, 1, d),) for d in (1, 2, 3, 4, 5, 9, 10)], "review_day date")
+    got = {r.review_day.day: r.regime.as_of.day for r in docs.regime_as_of(regimes, days).collect()}
+    assert got == {3: 2, 4: 2, 5: 4, 9: 4, 10: 9}
+
+
 def test_regime_defaults(spark):
     df = spark.createDataFrame([(None, ["x"]), ("up", None)], "call string, confirms array<string>")
     rows = docs.with_defaults(df, docs.regime_defaults()).collect()

@@ -15,8 +15,8 @@ def rows(n=400, seed=1):
 def test_percents_match_counting(spark):
     data = rows()
     df = spark.createDataFrame(data, "g string, t string, v double")
-    got = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}).collect()}
-    whole = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, [], {"v": "p"}).collect()}
+    got = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}, ["t"]).collect()}
+    whole = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, [], {"v": "p"}, ["t"]).collect()}
     for g, t, v in data:
         if v is None:
             assert got[t] is None and whole[t] is None
@@ -55,7 +55,7 @@ def test_input_order_does_not_matter(spark):
     for seed in (1, 2):
         random.Random(seed).shuffle(data)
         df = spark.createDataFrame(data, "g string, t string, v double")
-        out.append({r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}).collect()})
+        out.append({r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}, ["t"]).collect()})
     assert out[0] == out[1]
 
 
