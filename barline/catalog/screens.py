@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from barline.catalog import sql as s
@@ -141,6 +144,21 @@ def ema_smooth(spark, sf):
     return scr.rs_history(t.bars(spark, sf)).select("ticker", day("as_of").alias("as_of"), *smoothing.SMOOTH)
 
 
+@query("ema_incremental", s.with_(f"""
+SELECT e.ticker, {s.day('g.as_of')} AS as_of, e.rs_1w, e.rs_4w, e.rs_13w FROM ema e JOIN graw g ON g.ticker = e.ticker AND g.k = e.k
+WHERE g.as_of >= (SELECT max(as_of) FROM cal) - 2""",
+                                  "bars", "returns", "cal", "grid", "graw", "ema"))
+def ema_incremental(spark, sf):
+    """The history up to three days before the end, and each later session as a run of its own on the states it finds."""
+    bars = ranking.written(t.bars(spark, sf))
+    edge = bars.agg(F.max("dt")).first()[0]
+    folder = work_folder(spark, "strength")
+    spark.createDataFrame([], smoothing.STATE).write.partitionBy("seq").parquet(folder)
+    runs = [scr.advance_strength(bars.filter(F.col("dt") <= F.lit(edge - timedelta(days=back))), folder) for back in (3, 2, 1, 0)]
+    new = reduce(lambda a, b: a.unionByName(b), runs[1:])
+    return new.select("ticker", day("as_of").alias("as_of"), *smoothing.SMOOTH)
+
+
 @query("ma_position", s.with_(f"""
 SELECT ticker, {s.r(s.pct('arg_max(close, dt)', 'avg(close)'), 2)} AS vs_200ma_pct FROM (
   SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) <= 200)

@@ -5,7 +5,7 @@ Percentiles carry one decimal, so a step is exact integer arithmetic in tenths.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.session import shuffle_partitions
@@ -33,8 +33,9 @@ def smooth_once(today: DataFrame, previous: DataFrame) -> DataFrame:
     return today.join(prev, "ticker", "left").withColumns(steps).drop(*[f"_{c}" for c in SMOOTH])
 
 
-def smooth_history(rows: DataFrame, keep_last: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Smooth whole histories: (ticker, seq, raw_*, carry) to (ticker, seq, rs_*, carry).
+def smooth_history(rows: DataFrame, keep_last: int | None = None, carry: tuple[str, ...] = (), start: DataFrame | None = None) -> DataFrame:
+    """Smooth whole histories: (ticker, seq, raw_*, carry) to (ticker, seq, rs_*, carry). `start` (ticker, seq, rs_*) is
+    what earlier snapshots came to, in tenths, one row a name.
 
     `seq` numbers the snapshots without holes, so a jump in a name's seq means it was absent and
     starts over. A name's array holds one entry per snapshot. The fold runs in blocks, so that
@@ -63,15 +64,45 @@ def smooth_history(rows: DataFrame, keep_last: int | None = None, carry: tuple[s
         kept = F.slice(fresh, F.size(last) + 1, F.lit(BLOCK))
         return F.concat(blocks, F.array(kept))
 
+    none = F.array().cast(f"array<array<{state_type}>>")
+    if start is None:
+        before = none
+    else:
+        held = F.struct(F.col("seq").cast("int").alias("seq"), *[F.col(c).cast("int").alias(c) for c in SMOOTH])
+        history = history.join(start.select("ticker", F.array(F.array(held)).alias("_start")), "ticker", "left")
+        before = F.coalesce("_start", none)
     starts = F.sequence(F.lit(1), F.size("rows"), F.lit(BLOCK))
-    blocks = F.aggregate(starts, F.array().cast(f"array<array<{state_type}>>"), advance_block)
+    # The start, where there is one, is the first state: it goes again.
+    states = F.flatten(F.aggregate(starts, before, advance_block))
+    blocks = F.slice(states, F.size(states) - F.size("rows") + 1, F.size("rows")) if start is not None else states
     if keep_last is None:
-        both = F.arrays_zip(F.flatten("blocks").alias("s"), F.col("rows").alias("r"))
+        both = F.arrays_zip(F.col("blocks").alias("s"), F.col("rows").alias("r"))
     else:
         n = F.greatest(F.size("rows") - keep_last, F.lit(0)) + 1
-        both = F.arrays_zip(F.slice(F.flatten("blocks"), n, F.lit(keep_last)).alias("s"),
+        both = F.arrays_zip(F.slice("blocks", n, F.lit(keep_last)).alias("s"),
                             F.slice("rows", n, F.lit(keep_last)).alias("r"))
     folded = history.select("ticker", "rows", blocks.alias("blocks"))
     return folded.select("ticker", F.explode(both).alias("x")).select(
         "ticker", "x.s.seq", *[(F.col(f"x.s.{c}") / 10).alias(c) for c in SMOOTH], *[F.col(f"x.r.{c}") for c in carry]
     )
+
+
+# ---- states that are kept ------------------------------------------------------------------------------------------
+
+STATE = "ticker string, rs_1w int, rs_4w int, rs_13w int, seq int"
+
+
+def write_states(states: DataFrame, folder: str, last: int) -> None:
+    """Keep the states (ticker, seq, rs_*) of every `BLOCK`-th snapshot and of the one numbered `last`, in tenths, one
+    folder a snapshot. Writing one again replaces it, so an interrupted or repeated run leaves the same table."""
+    kept = states.filter((F.col("seq") % BLOCK == 0) | (F.col("seq") == last))
+    rows = kept.select("ticker", *[tenths(F.col(c)).alias(c) for c in SMOOTH], F.col("seq").cast("int").alias("seq"))
+    rows.repartition("seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seq").parquet(folder)
+
+
+def states_before(spark: SparkSession, folder: str, seq: int) -> tuple[int, DataFrame]:
+    """Number and rows of the newest kept snapshot before number `seq`; 0 and no rows where there is none. Snapshots are
+    folders, so all but one are left out by name."""
+    held = spark.read.schema(STATE).parquet(folder)
+    found = held.filter(F.col("seq") < seq).agg(F.max("seq")).first()[0]
+    return (found, held.filter(F.col("seq") == found)) if found is not None else (0, held.limit(0))

@@ -91,6 +91,25 @@ def rs_history(
     return smooth.filter(F.col("as_of").isin(as_of)) if as_of else smooth
 
 
+def advance_strength(bars: DataFrame, folder: str, first: int | None = None, min_bars: int = contraction.MIN_BARS) -> DataFrame:
+    """Smoothed strength of the sessions from number `first` on (by default all that are not yet kept in `folder`).
+
+    The newest states kept before `first` are read, only the sessions behind them get percentiles and steps, and their
+    own states are kept: a day that is appended costs one session's ranking and one folder's read, a session of long ago
+    at most `smoothing.BLOCK` sessions more. Sessions are numbered over all bars, so only newer days may be added.
+    """
+    spark = bars.sparkSession
+    calendar = session_numbers(series.sessions(bars))
+    last = calendar.agg(F.max("seq")).first()[0] or 0
+    newest = smoothing.states_before(spark, folder, last + 1)[0]
+    first = newest + 1 if first is None else first
+    seq, start = smoothing.states_before(spark, folder, first)
+    members = rs_at_sessions(bars, calendar.filter(F.col("seq") > seq)).filter(F.col("n_bars") >= min_bars)
+    smooth = ranking.written(smoothing.smooth_history(members, None, ("as_of", "close", "ret_13w"), start))
+    smoothing.write_states(smooth, folder, last)
+    return smooth.filter(F.col("seq") >= first)
+
+
 def ma_position(bars: DataFrame) -> DataFrame:
     """Percent above the 200-bar mean, tickers with at least 200 closes."""
     tail = series.last_rows(series.drop_missing(bars.select("ticker", "dt", "close")), "ticker", 200)

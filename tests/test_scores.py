@@ -199,3 +199,25 @@ def test_first_snapshot_has_no_change(spark):
     df = spark.createDataFrame([("a", 1)], "ticker string, rank int")
     row = scr.with_rank_change(df, None).first()
     assert (row["rank_change"], row["rank_change_str"]) == (None, "—")
+
+
+def test_kept_states_restart_anywhere(spark, tmp_path):
+    """Sessions appended one by one, run again, or started long ago come to what one run over all of them does."""
+    rng = random.Random(4)
+    rows = [(t, k, *[round(rng.uniform(0, 100), 1) for _ in range(3)]) for t in ("A", "B", "C") for k in range(1, 121)
+            if not (t == "B" and k in (40, 41, 100)) and not (t == "C" and k < 97)]
+    df = spark.createDataFrame(rows, "ticker string, seq int, raw_1w double, raw_4w double, raw_13w double")
+    key = lambda out: {(r.ticker, r.seq): (r.rs_1w, r.rs_4w, r.rs_13w) for r in out.collect()}
+    whole = key(smoothing.smooth_history(df))
+    folder = str(tmp_path / "states")
+    spark.createDataFrame([], smoothing.STATE).write.partitionBy("seq").parquet(folder)
+    assert smoothing.states_before(spark, folder, 99)[0] == 0
+    got = {}
+    for low, high in ((0, 99), (99, 100), (100, 101), (101, 120), (100, 101)):
+        seq, start = smoothing.states_before(spark, folder, low + 1)
+        out = smoothing.smooth_history(df.filter((df.seq > seq) & (df.seq <= high)), start=start)
+        got |= key(out)
+        smoothing.write_states(out, folder, high)
+    assert got == whole
+    assert smoothing.states_before(spark, folder, 60)[0] == 48
+    assert {r.seq for r in spark.read.parquet(folder).select("seq").distinct().collect()} == {48, 96, 99, 100, 101, 120}
