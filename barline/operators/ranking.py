@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barline.session import use_checkpoints
+from barline.session import work_folder
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the checkpoint folder, for rows that are read twice: what made them is neither planned nor run
-    again, and a lost executor costs a read."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """`df` as a table next to the checkpoints, for rows that are read twice: what made them is neither planned nor run
+    again, each reading takes the columns it needs, and a lost executor costs a read."""
+    folder = work_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def slice_of(value: Column) -> Column:
