@@ -7,8 +7,6 @@ def test_stages_match_brute_force(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
-    root = twins.near_documents(docs)
-    docs = {i: t for i, t in docs.items() if root[i][1] == i}
     cut = twins.kept_lines(docs)
     docs = {i: t for i, t in cut.items() if t == docs[i] or twins.spaced(t)}
     root = twins.near_documents(docs)
