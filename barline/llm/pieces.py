@@ -31,6 +31,8 @@ from barline.llm.store import free_name, without
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 DECODED = T.StructField("decoded", T.StringType())
 MARK = "▁"
+#: Bytes of texts in hand at once. Workers go on to other stages, and what they once held stays with them.
+SLAB = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -52,6 +54,8 @@ def processor(path: str):
 class ChunkTable(chunktable.ChunkTable):
     """Ids of distinct chunks. Each text is given a space in front, which the library puts there itself."""
 
+    limit = 500_000
+
     def __init__(self, path: str):
         super().__init__()
         self.model = processor(path)
@@ -89,7 +93,7 @@ class ChunkTable(chunktable.ChunkTable):
 
     def slabs(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of whole texts: first text, end, their ids in a row and the offsets of each text's."""
-        for first, end, raw, offsets in textkit.slabs(texts):
+        for first, end, raw, offsets in textkit.slabs(texts, SLAB):
             filled = offsets[1:] > offsets[:-1]
             raw = np.insert(raw, offsets[:-1][filled], 32)
             ids, n = self.encode(raw, offsets + np.append(0, np.cumsum(filled)), [])

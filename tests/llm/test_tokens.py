@@ -28,8 +28,8 @@ def model():
 def test_chunk_table_is_the_library(model, monkeypatch):
     texts = ODD + mixed(1, 3000) + ["word " * 50_000, "x" * 5000, "a, b;c (d) 12.5 e\n\n f\ng"]
     for size, slab in ((1_500_000, 1 << 20), (50, 2000)):
-        monkeypatch.setattr(chunktable.ChunkTable, "limit", size)
-        monkeypatch.setattr(textkit.slabs, "__defaults__", (slab,))
+        monkeypatch.setattr(pieces.ChunkTable, "limit", size)
+        monkeypatch.setattr(pieces, "SLAB", slab)
         table, got = pieces.ChunkTable(vocab.path("piece_bpe_32k.model")), []
         for _, _, ids, at in table.slabs(pa.array(texts)):
             got += [x.tolist() for x in np.split(ids, at[1:-1])]
