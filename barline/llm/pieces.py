@@ -113,6 +113,7 @@ def _with(docs: DataFrame, model_path: str, text_col: str, keep: list[str] | Non
             for first, end, ids, at in table.slabs(batch.column(len(keep))):
                 columns = [batch.column(k).slice(first, end - first) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns + make(table, ids, at), names=schema.names)
+        textkit.release()
 
     return source.mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ Texts are UTF-8, so a rule that names ASCII characters can be read off the bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that goes on to other stages would keep what it once held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slabs(texts: pa.Array, size: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about `size` bytes: first text, end, bytes, offsets of the texts in them. Nulls are empty."""
     if texts.null_count:
