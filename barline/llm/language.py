@@ -40,7 +40,7 @@ UNKNOWN = "und"
 SHARE, LOW = 0.6, 0.01
 #: Learned texts that a number of n-grams needs for a bound, and the bound where there are fewer in all.
 ENOUGH, REJECT = 20, 0.2
-SLAB = 1 << 20
+SLAB = 1 << 18
 HELD_LANGS = 16
 #: Codes of one, two and three letter classes, rounded up to whole pieces.
 ONE, TWO, CODES = 64, 64 + 64 * 64, -(-(64 + 64**2 + 64**3) // PIECE) * PIECE
@@ -101,6 +101,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
                     sums[lang] = np.zeros(CODES, np.int64)
                 sums[lang] += np.bincount(np.concatenate(some), minlength=CODES)
     yield out()
+    textkit.release()
 
 
 def _sum(last: bool):
@@ -179,6 +180,7 @@ def identify(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: li
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                  pa.array([f[2] for f in found], pa.int64())], names=schema.names)
+        textkit.release()
 
     return docs.select(*keep, docs[text_col].cast("string").alias(free_name(docs, "__text"))).mapInArrow(run, schema)
 
