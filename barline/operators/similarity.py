@@ -7,10 +7,12 @@ their token sets have Jaccard >= 0.40, or share a money token and a Latin-name t
    pre-aggregated row however many there are).
 2. Every set emits join keys such that two duplicates always meet in a key: for each partner
    size the rarest tokens that a Jaccard match cannot avoid, plus each (money, name) couple.
-3. Rounds: a set that is the earliest of all sets it meets survives; sets similar to a new
-   survivor go. Pairs are made with new survivors only, never among the members of a key.
-   A set also waits for earlier ones that it merely shares a key with, so a chain of such
-   sets takes a round for each of its links.
+3. Rounds: a set without an earlier undecided one in its way survives; sets similar to a new
+   survivor go. In the first round all earlier sets of a key are in the way, which settles most
+   groups for the price of one minimum a key. From then on only true duplicates are: each set is
+   compared with the first `HEADS` undecided sets of its keys, and waits for what lies behind
+   them only if a key holds more. Pairs stay within `HEADS` a set and key, and sets that merely
+   share keys settle together; only a chain of true duplicates takes a round for two of its links.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.text import is_money_token, is_name_token
+from barline.operators.ranking import first_k
 from barline.session import use_checkpoints
 
 THRESHOLD = 0.40
+HEADS = 16
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -96,11 +100,37 @@ def join_keys(sets: DataFrame) -> DataFrame:
     ).select("group", "set_id", "ord", "k.key", "k.side")
 
 
+def behind_keys(live: DataFrame) -> DataFrame:
+    """set_ids of keys with an earlier set on the other side, whether a duplicate or not."""
+    firsts = live.groupBy("group", "key").agg(
+        F.min(F.when(F.col("side") == 0, F.col("ord"))).alias("first0"),
+        F.min(F.when(F.col("side") == 1, F.col("ord"))).alias("first1"),
+    )
+    facing = F.when(F.col("side") == 0, F.col("first1")).otherwise(F.col("first0"))
+    return live.join(firsts, ["group", "key"]).filter(facing < F.col("ord")).select("set_id")
+
+
+def behind_duplicates(live: DataFrame, tokens: DataFrame) -> DataFrame:
+    """set_ids with an earlier duplicate among the first `HEADS` sets of a key, or with more earlier sets than these."""
+    place = ["group", "key", "side"]
+    heads = first_k(live, place, [F.col("ord")], HEADS + 1).select(
+        "group", "key", (1 - F.col("side")).alias("side"), F.col("set_id").alias("head"), F.col("ord").alias("at"), "pos")
+    ahead = live.join(heads, place).filter(F.col("at") < F.col("ord"))
+    unsure = F.max((F.col("pos") > HEADS).cast("int")) == 1
+    met = ahead.groupBy("set_id", "head").agg(unsure.alias("unsure"))
+    compared = (
+        met.join(tokens.withColumnRenamed("tokens", "a"), "set_id")
+        .join(tokens.withColumnsRenamed({"set_id": "head", "tokens": "b"}), "head")
+    )
+    return compared.filter(F.col("unsure") | is_duplicate(F.col("a"), F.col("b"))).select("set_id")
+
+
 def surviving_sets(sets: DataFrame) -> DataFrame:
     """Greedy survivors among distinct token sets (group, set_id, ord, tokens): their set_ids.
 
     Every round settles at least the first undecided set of each group; keys of settled sets leave
-    the table, so rounds shrink. Their number is that of the longest chain of sets that share keys.
+    the table, so rounds shrink. Their number is half that of the longest chain of true duplicates,
+    and where a key holds many sets that are not alike, one for each `HEADS` of them.
     """
     use_checkpoints(sets.sparkSession)
     sets = rarest_first(sets).checkpoint()
@@ -110,12 +140,7 @@ def surviving_sets(sets: DataFrame) -> DataFrame:
     survivors = None
 
     while not undecided.isEmpty():
-        firsts = live.groupBy("group", "key").agg(
-            F.min(F.when(F.col("side") == 0, F.col("ord"))).alias("first0"),
-            F.min(F.when(F.col("side") == 1, F.col("ord"))).alias("first1"),
-        )
-        facing = F.when(F.col("side") == 0, F.col("first1")).otherwise(F.col("first0"))
-        blocked = live.join(firsts, ["group", "key"]).filter(facing < F.col("ord")).select("set_id")
+        blocked = behind_keys(live) if survivors is None else behind_duplicates(live, tokens)
         new = undecided.join(blocked, "set_id", "left_anti").checkpoint()
         survivors = new if survivors is None else survivors.unionByName(new)
 

@@ -220,6 +220,27 @@ def test_dedup_edges(spark):
     assert got == greedy([r for r in rows]) and 12 not in got and 21 not in got and {22, 30, 31} <= got
 
 
+def test_dedup_chain_of_shared_keys_takes_few_rounds(spark, monkeypatch):
+    # each set shares a rare word with the one before it, which makes them meet, but none are alike
+    rng = random.Random(4)
+    rows = [(0, i, [f"k{i}", f"k{i + 1}", *rng.sample([f"w{j}" for j in range(30)], 3)]) for i in range(300)]
+    rounds = []
+    whole = similarity.behind_duplicates
+    monkeypatch.setattr(similarity, "behind_duplicates", lambda live, tokens: rounds.append(1) or whole(live, tokens))
+    df = spark.createDataFrame(rows, "as_of int, pos int, tokens array<string>")
+    got = {r["pos"] for r in similarity.keep_first(df, ["as_of"], ["pos"]).collect()}
+    assert got == greedy([r[1:] for r in rows]) and len(got) > 250
+    assert len(rounds) <= 4
+
+
+def test_dedup_keys_with_more_sets_than_heads(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HEADS", 2)
+    rng = random.Random(5)
+    rows = [(0, i, sorted({"x", *rng.sample([f"w{j}" for j in range(9)], rng.randint(1, 5))})) for i in range(120)]
+    df = spark.createDataFrame(rows, "as_of int, pos int, tokens array<string>")
+    assert {r["pos"] for r in similarity.keep_first(df, ["as_of"], ["pos"]).collect()} == greedy([r[1:] for r in rows])
+
+
 def test_keys_grow_linearly(spark):
     sizes = [5, 50, 500, 5000]
     df = spark.createDataFrame([(0, str(n), n, [f"t{i}" for i in range(n)]) for n in sizes], "group int, set_id string, ord int, tokens array<string>")
