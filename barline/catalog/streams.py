@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from barline.catalog import sql as s
@@ -72,3 +73,24 @@ def run_days(spark, sf):
     d = F.to_date("o_orderdate")
     return t.table(spark, sf, "orders").select(
         "o_orderkey", jobs.is_run_day(d).alias("runs_daily"), jobs.is_run_day(d, screen=True).alias("runs_screen"))
+
+
+NEWEST_DAY = "date_trunc('day', (SELECT max(published) FROM items))"
+
+
+@query("gated_feed_runs", s.with_(f"""
+SELECT feed, pos, title, link, CASE WHEN published < {NEWEST_DAY} THEN '2024-06-07' ELSE '2024-06-10' END AS run_day FROM (
+  SELECT *, 'https://example.com/' || pos AS link FROM items)""", ITEMS))
+def gated_feed_runs(spark, sf):
+    """News files that land in two drops: a Friday run takes the first, a Sunday run nothing, a Monday run the second."""
+    source, folder = work_folder(spark, "drops"), work_folder(spark, "feed")
+    items = t.news_items(spark, sf)
+    newest = items.agg(F.date_trunc("day", F.max("published")).alias("newest"))
+    placed = items.join(F.broadcast(newest)).withColumn("early", F.coalesce(F.col("published") < F.col("newest"), F.lit(False)))
+    friday, sunday, monday = (pd.Timestamp(f"2024-06-{d:02d} 03:00") for d in (7, 9, 10))
+    placed.filter("early").drop("early", "newest").write.mode("append").json(source)
+    jobs.take_new_files(spark, source, folder, friday)
+    placed.filter("NOT early").drop("early", "newest").write.mode("append").json(source)
+    jobs.take_new_files(spark, source, folder, sunday)
+    table = jobs.take_new_files(spark, source, folder, monday)
+    return table.select("feed", "pos", "title", "link", F.date_format("run_at", "yyyy-MM-dd").alias("run_day"))

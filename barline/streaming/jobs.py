@@ -2,22 +2,24 @@
 
 Stateful operators put all rows of a key into one task, so each job first thins its rows inside
 the partitions they arrive in: a key that holds a third of the stream reaches the state as a
-few rows per input batch.
+few rows per input batch. Keyed state lies in RocksDB, outside the heap of the executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from barline.functions.dates import DESK_ZONE
 from barline.functions.text import title_key
 from barline.operators.smoothing import RAW, SMOOTH, tenths
 from barline.session import work_folder
+from barline.sources.readers import read_news_items
 
 
 def read_files(spark: SparkSession, folder: str, schema, files: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
@@ -27,14 +29,26 @@ def read_files(spark: SparkSession, folder: str, schema, files: str = "*.parquet
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything there is, append to a Parquet table, return that table."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Process everything there is, append to a Parquet table, return that table.
+
+    With `folder`, its state and table are gone on with, so files of earlier runs are not taken again; else both are new.
+    """
     spark = stream.sparkSession
-    folder = work_folder(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state").start(f"{folder}/table")
-    )
+    folder = folder or work_folder(spark, name)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)  # a query keeps the store it was started with
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("checkpointLocation", f"{folder}/state").start(f"{folder}/table")
+        )
+    finally:
+        spark.conf.set(STORE, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
@@ -61,12 +75,11 @@ def dedup_titles(items: DataFrame, delay: str = "72 hours", max_age_hours: int |
 
 # ---- newest two closes per symbol ------------------------------------------
 
-LATEST = "symbol string, latest_ts timestamp, latest double, previous double, n_seen bigint"
+LATEST = "symbol string, latest_ts bigint, latest double, previous double, n_seen bigint"
 
 
 def _two_newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        batch = batch.dropna(subset=["close"])
         counts = batch.groupby("symbol")["n"].transform("sum")
         top = batch.assign(n=counts).sort_values("ts").groupby("symbol").tail(2)
         # the count travels on one of the rows only
@@ -74,59 +87,94 @@ def _two_newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield top
 
 
-def _advance_latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kept, seen = (list(zip(state.get[0], state.get[1])), state.get[2]) if state.exists else ([], 0)
-    for batch in batches:
-        seen += int(batch["n"].sum())
-        kept = sorted(kept + list(zip(batch["ts"], batch["close"].astype(float))))[-2:]
-    if not kept:
-        return
-    state.update(([ts for ts, _ in kept], [c for _, c in kept], seen))
-    previous = kept[0][1] if len(kept) == 2 else None
-    yield pd.DataFrame({"symbol": [key[0]], "latest_ts": [kept[-1][0]], "latest": [kept[-1][1]],
-                        "previous": pd.Series([previous], dtype="float64"), "n_seen": [seen]})
+class LatestTwo(StatefulProcessor):
+    """Keeps the newest two closes of a symbol and how many it has seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.closes = handle.getListState("closes", "ts bigint, close double")
+        self.seen = handle.getValueState("seen", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        kept = [(int(ts), float(c)) for ts, c in self.closes.get()]
+        seen = (self.seen.get() or (0,))[0]
+        for batch in rows:
+            seen += int(batch["n"].sum())
+            kept = sorted(kept + [(int(ts), float(c)) for ts, c in zip(batch["ts"], batch["close"])])[-2:]
+        self.closes.put(kept)
+        self.seen.update((seen,))
+        previous = kept[0][1] if len(kept) == 2 else None
+        yield pd.DataFrame({"symbol": [key[0]], "latest_ts": [kept[-1][0]], "latest": [kept[-1][1]],
+                            "previous": pd.Series([previous], dtype="float64"), "n_seen": [seen]})
+
+    def close(self) -> None:
+        pass
 
 
 def latest_two(closes: DataFrame) -> DataFrame:
-    """(symbol, ts, close) stream to one row per symbol and trigger with its newest two closes."""
-    rows = closes.select("symbol", "ts", "close", F.lit(1).cast("bigint").alias("n"))
+    """(symbol, ts, close) stream to one row per symbol and trigger with its newest two closes.
+
+    Rows without symbol, time or close count for nothing. States do not expire: those that live for a processing time
+    would keep an available-now run from ending.
+    """
+    rows = closes.select("symbol", F.unix_micros("ts").alias("ts"), F.col("close").cast("double").alias("close"),
+                         F.lit(1).cast("bigint").alias("n")).dropna()
     thinned = rows.mapInPandas(_two_newest, rows.schema)
-    return thinned.groupBy("symbol").applyInPandasWithState(
-        _advance_latest, LATEST, "ts array<timestamp>, close array<double>, seen bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    out = thinned.groupBy("symbol").transformWithStateInPandas(LatestTwo(), LATEST, "append", "None")
+    return out.withColumn("latest_ts", F.timestamp_micros("latest_ts"))
 
 
-def newest_state(table: DataFrame, key: str = "symbol", version: str = "n_seen") -> DataFrame:
+def newest_state(table: DataFrame, key: str = "symbol", version: tuple[str, ...] = ("latest_ts", "n_seen")) -> DataFrame:
     """The last emitted row of each key."""
     others = [c for c in table.columns if c != key]
-    return table.groupBy(key).agg(F.max_by(F.struct(*others), version).alias("s")).select(key, "s.*")
+    return table.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*version)).alias("s")).select(key, "s.*")
 
 
 # ---- smoothed strength -----------------------------------------------------
 
-def _advance_smooth(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(batches).sort_values("seq")  # one row per snapshot of one name
-    last = list(state.get) if state.exists else None
-    out = []
-    for seq, *raw in rows[["seq", *RAW]].itertuples(index=False):
-        if last is not None and seq <= last[0]:
-            continue  # a late snapshot cannot change what was published
-        follows = last is not None and seq == last[0] + 1
-        last = [int(seq), *[(8 * p + 2 * r + 5) // 10 if follows else int(r) for p, r in zip(last[1:] if last else raw, raw)]]
-        out.append((key[0], *last))
-    if out:
-        state.update(tuple(last))
-    yield pd.DataFrame(out, columns=["ticker", "seq", *SMOOTH])
-
-
-def smooth_states(snapshots: DataFrame) -> DataFrame:
-    """(ticker, seq, raw_*) stream to smoothed values; late snapshots are dropped, a gap restarts."""
-    rows = snapshots.select("ticker", F.col("seq").cast("bigint").alias("seq"), *[tenths(F.col(c)).cast("bigint").alias(c) for c in RAW])
-    out = rows.groupBy("ticker").applyInPandasWithState(
-        _advance_smooth, "ticker string, seq bigint, rs_1w bigint, rs_4w bigint, rs_13w bigint",
-        "seq bigint, a bigint, b bigint, c bigint", "append", GroupStateTimeout.NoTimeout,
-    )
-    return out.select("ticker", "seq", *[(F.col(c) / 10).alias(c) for c in SMOOTH])
+SMOOTHED = "ticker string, seq bigint, rs_1w bigint, rs_4w bigint, rs_13w bigint, late bigint"
+
+
+class SmoothState(StatefulProcessor):
+    """Keeps a name's last smoothed snapshot, in tenths, and how many snapshots came too late for it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq bigint, rs_1w bigint, rs_4w bigint, rs_13w bigint, late bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        row = initialState.sort_values("seq").iloc[-1]
+        self.last.update((int(row["seq"]), *[int(row[c]) for c in SMOOTH], 0))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        # The snapshots of one name in one trigger, 32 bytes each: a trigger may bring them in any order.
+        raws = np.concatenate([batch[["seq", *RAW]].to_numpy("int64") for batch in rows])
+        held = self.last.get()
+        last, late = (list(held[:4]), held[4]) if held else (None, 0)
+        out = []
+        for seq, *raw in raws[np.argsort(raws[:, 0], kind="stable")].tolist():
+            if last is not None and seq <= last[0]:
+                late += 1  # it cannot change what was published
+                continue
+            follows = last is not None and seq == last[0] + 1
+            last = [seq, *[(8 * p + 2 * r + 5) // 10 if follows else r for p, r in zip(last[1:] if last else raw, raw)]]
+            out.append((key[0], *last, late))
+        self.last.update((*last, late))
+        yield pd.DataFrame(out, columns=["ticker", "seq", *SMOOTH, "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def smooth_states(snapshots: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(ticker, seq, raw_*) stream to smoothed values; late snapshots are dropped, a gap restarts.
+
+    `late` counts the name's snapshots dropped so far. `start` (ticker, seq, rs_* in tenths), as `smoothing.states_before`
+    reads it, is what a new stream goes on from. Snapshots with a null count as absent.
+    """
+    rows = snapshots.select("ticker", F.col("seq").cast("bigint").alias("seq"),
+                            *[tenths(F.col(c)).cast("bigint").alias(c) for c in RAW]).dropna()
+    held = None if start is None else start.select("ticker", *[F.col(c).cast("bigint").alias(c) for c in ("seq", *SMOOTH)]).groupBy("ticker")
+    out = rows.groupBy("ticker").transformWithStateInPandas(SmoothState(), SMOOTHED, "append", "None", held)
+    return out.select("ticker", "seq", *[(F.col(c) / 10).alias(c) for c in SMOOTH], "late")
 
 
 # ---- tumbling bars ---------------------------------------------------------
@@ -153,3 +201,13 @@ def run_if_due(job: Callable[[], DataFrame], now: pd.Timestamp, screen: bool = F
     """Run an available-now job on its days, else nothing. `now` is UTC."""
     weekday = now.tz_localize("UTC").tz_convert(DESK_ZONE).weekday()
     return job() if (1 <= weekday <= 5 if screen else weekday != 6) else None
+
+
+def take_new_files(spark: SparkSession, source: str, folder: str, now: pd.Timestamp, screen: bool = False) -> DataFrame | None:
+    """One gated run over a folder of news files: on a run day, append the items of files that no earlier run took to the
+    table in `folder`, with the time of the run, and return that table. On other days nothing is read, and the files wait
+    for the next run. `now` is UTC. A run that is lost goes on from the checkpoint and takes no file twice."""
+    def job() -> DataFrame:
+        items = read_news_items(spark, source, stream=True)
+        return run_available(items.withColumn("run_at", F.lit(now.to_pydatetime())), "feed", folder)
+    return run_if_due(job, now, screen)

@@ -41,6 +41,36 @@ def test_latest_two_split_equals_whole(spark, tmp_path):
         assert got[s] == (mine[-1][1], mine[-2][1], len(mine))
 
 
+def state_rows(spark, folder, variable):
+    return spark.read.format("statestore").option("stateVarName", variable).load(f"{folder}/state")
+
+
+def test_latest_two_state_is_bounded(spark, tmp_path):
+    rows = [(s, datetime(2024, 1, 1) + timedelta(minutes=i), float(i)) for i in range(200) for s in "AB"]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:150] + [(None, rows[0][1], 1.0), ("C", None, 1.0)], rows[150:]):
+        spark.createDataFrame(part, "symbol string, ts timestamp, close double").write.mode("append").parquet(source)
+        table = jobs.run_available(jobs.latest_two(spark.readStream.schema("symbol string, ts timestamp, close double").parquet(source)), "l", out)
+    assert state_rows(spark, out, "closes").count() == 4
+    assert {(r["symbol"], r["latest"], r["previous"], r["n_seen"]) for r in jobs.newest_state(table).collect()} == {("A", 199.0, 198.0, 200), ("B", 199.0, 198.0, 200)}
+
+
+def test_smooth_state_goes_on_from_a_snapshot(spark, tmp_path):
+    cols = "ticker string, seq int, raw_1w double, raw_4w double, raw_13w double"
+    rng = random.Random(8)
+    rows = [(t, s, *[rng.randint(0, 1000) / 10 for _ in range(3)]) for t in "abc" for s in range(1, 21)]
+    whole = spark.createDataFrame(rows, cols)
+    smoothing.write_states(smoothing.smooth_history(whole.filter("seq <= 12 AND ticker <> 'c'")), str(tmp_path / "kept"), 12)
+    seq, start = smoothing.states_before(spark, str(tmp_path / "kept"), 13)
+    late = spark.createDataFrame([("a", 12, 1.0, 1.0, 1.0), ("a", 3, 1.0, 1.0, 1.0), ("b", 14, None, 1.0, 1.0)], cols)
+    (whole.filter("seq > 12").unionByName(late)).write.parquet(str(tmp_path / "in"))
+    out = jobs.run_available(jobs.smooth_states(spark.readStream.schema(cols).parquet(str(tmp_path / "in")), start), "s").collect()
+    want = {(r["ticker"], r["seq"]): [r[c] for c in smoothing.SMOOTH]
+            for r in smoothing.smooth_history(whole.filter("seq > 12 OR ticker <> 'c'")).filter("seq > 12").collect()}
+    assert seq == 12 and {(r["ticker"], r["seq"]): [r[c] for c in smoothing.SMOOTH] for r in out} == want
+    assert {(r["ticker"], r["late"]) for r in out} == {("a", 2), ("b", 0), ("c", 0)}
+
+
 def test_smooth_state_equals_fold_and_drops_late(spark, tmp_path):
     cols = "ticker string, seq int, raw_1w double, raw_4w double, raw_13w double"
     rng = random.Random(6)
@@ -62,6 +92,19 @@ def test_tumbling_bars_wait_for_the_watermark(spark, tmp_path):
     assert [(r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in out] == [(10.0, 14.0, 10.0, 13.0, 24), (14.0, 14.0, 10.0, 12.0, 24)]
 
 
+def test_gated_runs_take_each_file_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    item = lambda title: spark.createDataFrame([(title,)], "title string").write.mode("append").json(source)
+    friday, sunday, monday = (pd.Timestamp(f"2024-06-{d:02d} 03:00") for d in (7, 9, 10))
+    item("first")
+    assert jobs.take_new_files(spark, source, out, friday).count() == 1
+    item("second")
+    assert jobs.take_new_files(spark, source, out, sunday) is None
+    got = jobs.take_new_files(spark, source, out, monday).collect()
+    assert sorted((r["title"], r["run_at"].day) for r in got) == [("first", 7), ("second", 10)]
+    assert jobs.take_new_files(spark, source, out, monday).count() == 2  # nothing new
+
+
 def test_schedule_gate(spark):
     ran = []
     job = lambda: ran.append(1)
