@@ -17,7 +17,7 @@ from barline.streaming import jobs
 
 
 def stream_of(spark, sf, name: str):
-    return jobs.read_files(spark, sf, t.table(spark, sf, name).schema, f"{name}.parquet")
+    return jobs.read_table(spark, f"{sf}/{name}.parquet", t.table(spark, sf, name).schema)
 
 
 @query("stream_title_dedup", s.with_(f"SELECT DISTINCT {KEY.format('title')} AS title_key FROM items", ITEMS))

@@ -29,6 +29,12 @@ def read_files(spark: SparkSession, folder: str, schema, files: str = "*.parquet
     return reader.parquet(folder)
 
 
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Stream of a table that is one Parquet file or a folder of them. A pattern that only this path matches lets a
+    stream start at a file, too."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

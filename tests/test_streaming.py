@@ -116,3 +116,12 @@ def test_schedule_gate(spark):
     assert ran == [1, 1]
     days = spark.sql("SELECT * FROM VALUES (date'2024-06-09'), (date'2024-06-10'), (date'2024-06-11') t(d)")
     assert [tuple(r) for r in days.select(jobs.is_run_day(F.col("d")), jobs.is_run_day(F.col("d"), True)).collect()] == [(False, False), (True, False), (True, True)]
+
+
+def test_a_table_of_several_files_is_read_whole(spark, sf, tmp_path):
+    from barline.catalog import streams
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    keys = lambda folder: sorted(r[0] for r in streams.stream_title_dedup(spark, folder).collect())
+    assert keys(str(tmp_path)) == keys(sf) != []
