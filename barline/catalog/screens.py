@@ -141,7 +141,7 @@ def rs_score_with_previous(spark, sf):
 SELECT e.ticker, {s.day('g.as_of')} AS as_of, e.rs_1w, e.rs_4w, e.rs_13w FROM ema e JOIN graw g ON g.ticker = e.ticker AND g.k = e.k""",
                              "bars", "returns", "cal", "grid", "graw", "ema"))
 def ema_smooth(spark, sf):
-    return scr.rs_history(t.bars(spark, sf)).select("ticker", day("as_of").alias("as_of"), *smoothing.SMOOTH)
+    return scr.rs_history(t.bars(spark, sf), carry=("as_of",)).select("ticker", day("as_of").alias("as_of"), *smoothing.SMOOTH)
 
 
 @query("ema_incremental", s.with_(f"""
@@ -154,7 +154,7 @@ def ema_incremental(spark, sf):
     edge = bars.agg(F.max("dt")).first()[0]
     folder = work_folder(spark, "strength")
     spark.createDataFrame([], smoothing.STATE).write.partitionBy("seq").parquet(folder)
-    runs = [scr.advance_strength(bars.filter(F.col("dt") <= F.lit(edge - timedelta(days=back))), folder) for back in (3, 2, 1, 0)]
+    runs = [scr.advance_strength(bars.filter(F.col("dt") <= F.lit(edge - timedelta(days=back))), folder, carry=("as_of",)) for back in (3, 2, 1, 0)]
     new = reduce(lambda a, b: a.unionByName(b), runs[1:])
     return new.select("ticker", day("as_of").alias("as_of"), *smoothing.SMOOTH)
 

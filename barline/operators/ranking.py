@@ -91,6 +91,16 @@ def percents_at_or_below(df: DataFrame, by: list[str], columns: dict[str, str],
     return rows.select(*[F.col(c) if c in named else F.col("rest").getField(c).alias(c) for c in df.columns], *columns.values())
 
 
+def percents_in_place(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """The same percents for groups that lie in one task each, as the rows of a session do: a sort a column there, which
+    can spill, and nothing is moved, copied or written."""
+    for value, out in columns.items():
+        order = W.partitionBy(*by).orderBy(value)
+        upto, total = F.count(value).over(order), F.count(value).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        df = df.withColumn(out, F.when(F.col(value).isNotNull(), percent_of(upto, total)))
+    return df
+
+
 def first_k(
     df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "pos"
 ) -> DataFrame:

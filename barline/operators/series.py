@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from barline.functions import dates
 from barline.functions.numeric import pct_change, ratio, rnd
+from barline.session import shuffle_partitions
 from barline.sources.dims import literal_frame
 
 #: Bars looked back per horizon; "5 days" spans 4 bars, and so on.
 HORIZONS = {"1w": 5, "4w": 21, "13w": 63}
 #: Calendar days of history that a session looks back on: a name without a bar in them is gone.
 PANEL_DAYS = 300
+#: Calendar days whose rows are made in one task.
+DAY_BLOCK = 8
 
 
 def by_day(key: str):
@@ -58,19 +61,24 @@ def newest_alive(df: DataFrame, key: str, panel_days: int = PANEL_DAYS) -> DataF
 def carry_to_sessions(df: DataFrame, calendar: DataFrame, key: str, panel_days: int = PANEL_DAYS) -> DataFrame:
     """Every (series, session) with the newest row at or before it, not older than `panel_days`: an as-of fill.
 
-    Each row covers the days up to the next row of its series, the end of its panel or the last session, so the
-    fill is an expansion plus an equi-join with the session calendar, never a range join, and a name that stopped
-    trading makes no rows for ever.
+    Each row covers the days up to the next row of its series, the end of its panel or the last session. These spans are
+    moved, not the days in them: a span goes once to each `block` of `DAY_BLOCK` days it reaches, and days are made where
+    it arrives. So the fill costs little more than the rows themselves, all rows of a session lie in one task, and a
+    name that stopped trading makes no rows for ever.
     """
-    edge = calendar.agg(F.max("as_of").alias("_last"))
+    edge = calendar.agg(F.min("as_of").alias("_first"), F.max("as_of").alias("_last"))
     until = F.date_sub(F.lead("dt").over(by_day(key)), 1)
     spans = df.withColumn("_until", until).crossJoin(F.broadcast(edge))  # one row
     until = F.least(F.coalesce("_until", "_last"), F.date_add("dt", panel_days))
-    days = F.sequence(F.col("dt"), F.greatest(F.col("dt"), until))
-    return (
-        spans.withColumn("as_of", F.explode(days)).filter(F.col("as_of") <= F.col("_last"))
-        .drop("_until", "_last").join(calendar, "as_of")
-    )
+    low, high = F.greatest("dt", "_first"), F.least(F.greatest(F.col("dt"), until), "_last")
+    block = lambda day: F.floor(F.unix_date(day) / DAY_BLOCK).cast("int")
+    reach = F.when(low <= high, F.sequence(block(low), block(high)))
+    cut = spans.select("*", low.alias("_low"), high.alias("_high"), F.explode(reach).alias("block")).drop("_until", "_first", "_last")
+    moved = cut.repartition(shuffle_partitions(df.sparkSession), "block")
+    start = F.date_from_unix_date(F.col("block") * DAY_BLOCK)
+    days = F.sequence(F.greatest("_low", start), F.least("_high", F.date_add(start, DAY_BLOCK - 1)))
+    # The calendar has one row a trading day.
+    return moved.withColumn("as_of", F.explode(days)).drop("_low", "_high").join(F.broadcast(calendar), "as_of")
 
 
 def sessions(df: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from barline.functions.numeric import combined, pct_change, rnd, rs_total, rs_tr
 from barline.operators import contraction, ranking, series, smoothing
 
 MIN_RS_BARS = 63
+#: What a smoothed row brings along of its session.
+CARRY = ("as_of", "close", "ret_13w")
 HORIZON_KEYS = list(series.HORIZONS)
 
 
@@ -69,7 +71,8 @@ def rs_score(bars: DataFrame, bench: DataFrame, previous: DataFrame | None = Non
 def rs_at_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Raw percentiles of every ticker at every session of `calendar` (as_of)."""
     ret = series.lookback_returns(series.drop_missing(bars.select("ticker", "dt", "close")))
-    return raw_percentiles(series.carry_to_sessions(ret, calendar, "ticker"), ["as_of"])
+    filled = series.carry_to_sessions(ret, calendar, "ticker")
+    return ranking.percents_in_place(filled, ["block", "as_of"], {f"ret_{h}": f"raw_{h}" for h in HORIZON_KEYS}).drop("block")
 
 
 def session_numbers(calendar: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def session_numbers(calendar: DataFrame) -> DataFrame:
 
 
 def rs_history(
-    bars: DataFrame, as_of: list[date] | None = None, min_bars: int = contraction.MIN_BARS
+    bars: DataFrame, as_of: list[date] | None = None, min_bars: int = contraction.MIN_BARS, carry: tuple[str, ...] = CARRY
 ) -> DataFrame:
     """Smoothed relative strength over all sessions of the bars, or the newest ones in `as_of`.
 
@@ -87,11 +90,15 @@ def rs_history(
     """
     calendar = session_numbers(series.sessions(bars))  # the fill brings seq along
     members = rs_at_sessions(bars, calendar).filter(F.col("n_bars") >= min_bars)
-    smooth = smoothing.smooth_history(members, len(as_of) if as_of else None, ("as_of", "close", "ret_13w"))
+    if as_of:  # what a session that is not asked for would carry is dead weight on its way to the fold
+        members = members.withColumns({c: F.when(F.col("as_of").isin(as_of), F.col(c)) for c in carry if c != "as_of"})
+    smooth = smoothing.smooth_history(members, len(as_of) if as_of else None, carry)
     return smooth.filter(F.col("as_of").isin(as_of)) if as_of else smooth
 
 
-def advance_strength(bars: DataFrame, folder: str, first: int | None = None, min_bars: int = contraction.MIN_BARS) -> DataFrame:
+def advance_strength(
+    bars: DataFrame, folder: str, first: int | None = None, min_bars: int = contraction.MIN_BARS, carry: tuple[str, ...] = CARRY
+) -> DataFrame:
     """Smoothed strength of the sessions from number `first` on (by default all that are not yet kept in `folder`).
 
     The newest states kept before `first` are read, only the sessions behind them get percentiles and steps, and their
@@ -105,7 +112,7 @@ def advance_strength(bars: DataFrame, folder: str, first: int | None = None, min
     first = newest + 1 if first is None else first
     seq, start = smoothing.states_before(spark, folder, first)
     members = rs_at_sessions(bars, calendar.filter(F.col("seq") > seq)).filter(F.col("n_bars") >= min_bars)
-    smooth = ranking.written(smoothing.smooth_history(members, None, ("as_of", "close", "ret_13w"), start))
+    smooth = ranking.written(smoothing.smooth_history(members, None, carry, start))
     smoothing.write_states(smooth, folder, last)
     return smooth.filter(F.col("seq") >= first)
 

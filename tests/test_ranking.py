@@ -1,8 +1,11 @@
 import random
+import re
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from barline.operators import ranking
+from barline.operators import ranking, series
+from barline.plans import screener
 
 
 def rows(n=400, seed=1):
@@ -69,3 +72,32 @@ def test_rank_labels(spark):
     df = spark.createDataFrame([(5, 3), (3, 5), (4, 4), (None, 1)], "p int, c int")
     d = ranking.rank_delta(F.col("p"), F.col("c"))
     assert [r[0] for r in df.select(ranking.rank_delta_label(d)).collect()] == ["↑2", "↓2", "—", "新進"]
+
+
+def test_percents_in_place_are_those_of_the_ladder(spark):
+    data = rows() + [("a", "n1", float("nan")), ("a", "n2", float("nan")), ("b", "z1", -0.0), ("b", "z2", 0.0), ("b", "i", float("inf")), ("c", "x", None)]
+    df = spark.createDataFrame(data, "g string, t string, v double")
+    ladder = {r["t"]: r["p"] for r in ranking.percents_at_or_below(df, ["g"], {"v": "p"}, ["t"]).collect()}
+    assert {r["t"]: r["p"] for r in ranking.percents_in_place(df, ["g"], {"v": "p"}).collect()} == ladder
+
+
+def test_sessions_are_ranked_where_their_spans_arrive(spark):
+    """A bar is moved once a block of days, not once a session and column, and what comes out is the fill and its shares."""
+    rng, first = random.Random(6), date(2024, 1, 1)
+    bars = [(f"t{t}", first + timedelta(days=d), rng.uniform(5, 9)) for t in range(9) for d in range(0, 420) if rng.random() < (0.02 if t > 6 else 0.5)]
+    df = spark.createDataFrame([b for b in bars if b[0] != "t3" or b[1] < date(2024, 1, 30)], "ticker string, dt date, close double")
+    out = screener.rs_at_sessions(df, screener.session_numbers(series.sessions(df)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\(as_of#\d+, [a-z]", plan)
+    ret = {}
+    for r in series.lookback_returns(df).collect():
+        ret.setdefault(r["ticker"], {})[r["dt"]] = r
+    want = {}
+    for day in {b.dt for b in df.collect()}:
+        held = {t: max(d for d in by if d <= day) for t, by in ret.items() if any(d <= day for d in by)}
+        alive = {t: ret[t][d] for t, d in held.items() if (day - d).days <= series.PANEL_DAYS}
+        for t, row in alive.items():
+            pool = [x["ret_4w"] for x in alive.values() if x["ret_4w"] is not None]
+            n = sum(x <= row["ret_4w"] for x in pool) if row["ret_4w"] is not None else None
+            want[t, day] = (row["close"], None if n is None else (n * 2000 + len(pool)) // (len(pool) * 2) / 10)
+    assert {(r["ticker"], r["as_of"]): (r["close"], r["raw_4w"]) for r in out.collect()} == want
