@@ -31,14 +31,16 @@ from barline.llm import textkit
 from barline.llm.store import without
 
 WINDOW = 10
-SHARD = 1 << 20
+SHARD = 1 << 19
+#: Bytes of text in hand at once.
+RUN = 1 << 20
 SAMPLE = 8
 PHRASE_WORDS = 200_000
 
 
 def word_codes(texts: pa.Array) -> Iterator[tuple]:
     """Per slab: first text, end, word hashes, owners, start and end bytes inside the text."""
-    for first, end, raw, offsets in textkit.slabs(texts):
+    for first, end, raw, offsets in textkit.slabs(texts, RUN):
         starts, ends, owner = textkit.spans(raw, offsets, textkit.ALNUM)
         yield first, end, textkit.hashes(raw, starts, ends), owner, starts - offsets[owner], ends - offsets[owner]
 
@@ -315,32 +317,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for k, block in enumerate(blocks):
         keep = [i for i in range(len(docs.columns)) if keep_text or k < len(blocks) - 1 or i != text_at]
         schema = T.StructType([now.schema[i] for i in keep] + list(now.schema)[-3:])
-        now = now.mapInArrow(_pass(block, text_at, keep, to_arrow_schema(schema)), schema)
+        now = now.mapInArrow(textkit.tidied(_pass(block, text_at, keep, to_arrow_schema(schema))), schema)
     return now
 
 
-def _cut(texts, spans):
-    for text, found in zip(texts, spans):
-        if text is None or found is None or not len(found):
-            yield text
-            continue
-        raw, at, out = text.encode(), 0, []
-        for span in sorted(found, key=lambda s: s["start"]):
-            if span["start"] > at:
-                out.append(raw[at : span["start"]])
-            at = max(at, span["end"])
-        yield b"".join([*out, raw[at:]]).decode()
-
-
 def without_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """Texts without their hit stretches; n_words, spans and items go."""
+    """Texts without their hit stretches; n_words, spans and items go. Cut by built-in expressions: a second Python
+    worker a task would cost as much memory as the first."""
+    raw, spans = F.encode(F.col(text_col).cast("string"), "UTF-8"), F.array_sort("spans")
+    # What lies before the first stretch, between two, and behind the last. Stretches do not meet.
+    opens = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    closes = lambda i: F.coalesce(F.get(spans, i)["start"], F.octet_length(text_col))
+    between = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.decode(
+        F.substring(raw, (opens(i) + 1).cast("int"), (closes(i) - opens(i)).cast("int")), "UTF-8"))
+    cut = F.when(F.size("spans") > 0, F.array_join(between, "")).otherwise(F.col(text_col))
     columns = [c for c in found.columns if c not in ("n_words", "spans", "items")]
-    schema = found.select(*columns).schema
-    at = columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
-            texts = pa.array(_cut(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()), batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(len(columns))], names=columns)
-
-    return found.select(*columns, "spans").mapInArrow(run, schema)
+    return found.select(*(cut.alias(c) if c == text_col else F.col(c) for c in columns))

@@ -45,14 +45,16 @@ BUCKETS = 1024
 FLUSH = 500_000
 SEEN = 500_000
 SLAB = 2048
+#: Bytes of text in hand at once.
+RUN = 1 << 20
 #: Bytes of a shingle's hash that travel for the comparison of two sets.
 KEPT = 6
 _MANY = 1 << 40
 
 
 def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The shingle set of each text, in order."""
-    for first, end, raw, offsets in textkit.slabs(texts):
+    """The shingle set of each text, in order. Slabs are small, since a worker holds some ten times their bytes."""
+    for first, end, raw, offsets in textkit.slabs(texts, RUN):
         starts, ends, owner = textkit.spans(raw, offsets, textkit.SPACED)
         yield from textkit.shingles(textkit.hashes(raw, starts, ends), owner, end - first, WIDTH)
 
@@ -304,8 +306,8 @@ def _links(texts: DataFrame, named: DataFrame, order: Order) -> DataFrame:
     """Links (a, b) between classes that connect all that is connected. `named`: (id, n, cls) of all documents."""
     spark = texts.sparkSession
     buckets = max(BUCKETS, 4 * shuffle_partitions(spark))
-    prefixes = texts.mapInArrow(_prefix_rows(spark.sparkContext.broadcast(order), buckets), "bucket int, tokens binary, cls binary")
-    entries = prefixes.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_shared(buckets), "token long, sets long, cls long")
+    prefixes = texts.mapInArrow(textkit.tidied(_prefix_rows(spark.sparkContext.broadcast(order), buckets)), "bucket int, tokens binary, cls binary")
+    entries = prefixes.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(textkit.tidied(_shared(buckets)), "token long, sets long, cls long")
     # A class has as many entries as its prefix, so they may stand in one row.
     given = entries.groupBy("cls").agg(F.collect_set(F.struct("sets", "token")).alias("given")).where(F.size("given") >= NEED)
     given = saved(given, "given")
@@ -339,11 +341,11 @@ def _links(texts: DataFrame, named: DataFrame, order: Order) -> DataFrame:
     places = saved(seats.unionByName(guests), "places")
 
     wanted = named.join(places.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    sets = _only(texts, wanted).mapInArrow(_set_rows, "cls long, data binary")
+    sets = _only(texts, wanted).mapInArrow(textkit.tidied(_set_rows), "cls long, data binary")
     # Either side grows with the documents, so neither is ever broadcast.
     met = places.hint("merge").join(sets, "cls").select("block", "salt", "role", "cls", "data")
     return met.repartition("block", "salt").sortWithinPartitions("block", "salt", "role", "cls").mapInPandas(
-        _open, "a long, b long")
+        textkit.tidied(_open), "a long, b long")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -351,7 +353,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id in it, n_copies)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = texts.withColumn("mark", F.xxhash64("text"))
-    first = saved(marked.mapInArrow(_count_sets, "kind int, id long, n long, cls long, mark long, piece int, data binary"), "sets", "kind")
+    first = saved(marked.mapInArrow(textkit.tidied(_count_sets), "kind int, id long, n long, cls long, mark long, piece int, data binary"), "sets", "kind")
     rows = first.where("kind = 0").select("id", "n", "cls", "mark")
     order = Order(counter(first.where("kind = 1").select("piece", "data"), SKETCH))
 

@@ -294,18 +294,18 @@ def _near(texts: DataFrame, rows: DataFrame, different: DataFrame) -> DataFrame:
     """(k1, k2) of different lines that an earlier one is near to."""
     shared = rows.select("k1", F.explode("halves").alias("half")).groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
     bits = texts.sparkSession.sparkContext.broadcast(_bitmap(shared, "half"))
-    found = texts.select("text").mapInArrow(_candidates(bits), "k1 long, k2 long, words binary")
+    found = texts.select("text").mapInArrow(textkit.tidied(_candidates(bits)), "k1 long, k2 long, words binary")
     found = saved(found.dropDuplicates(["k1", "k2"]), "candidates")
     # Numbered in order of place: numbers of one table, so that they stay.
     sorted_ = found.join(different, ["k1", "k2"]).repartitionByRange("first").sortWithinPartitions("first")
     lines = saved(sorted_.select(F.monotonically_increasing_id().alias("place"), "k1", "k2", "words"), "ordered")
 
     buckets = max(BUCKETS, 4 * shuffle_partitions(texts.sparkSession))
-    entries = lines.select("place", "words").mapInArrow(_variants(buckets, FLUSH), "bucket int, keys binary, places binary, kinds binary")
-    pairs = entries.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_meet(buckets), "place long, partner long").distinct()
+    entries = lines.select("place", "words").mapInArrow(textkit.tidied(_variants(buckets, FLUSH)), "bucket int, keys binary, places binary, kinds binary")
+    pairs = entries.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(textkit.tidied(_meet(buckets)), "place long, partner long").distinct()
     partners = lines.select(F.col("place").alias("partner"), F.col("words").alias("p_words"))
     met = pairs.join(lines, "place").join(partners, "partner").select("k1", "k2", "words", "p_words")
-    return met.mapInPandas(_verify, "k1 long, k2 long").distinct()
+    return met.mapInPandas(textkit.tidied(_verify), "k1 long, k2 long").distinct()
 
 
 def _cut(schema: T.StructType, at: int):
@@ -333,7 +333,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """`docs` with its texts cut to the lines that stay, n_lines (before) and n_kept."""
     docs = without(docs, "n_lines", "n_kept")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(texts.mapInArrow(_line_rows, "id long, mark long, line int, k1 long, k2 long, halves array<long>"), "lines")
+    rows = saved(texts.mapInArrow(textkit.tidied(_line_rows), "id long, mark long, line int, k1 long, k2 long, halves array<long>"), "lines")
     different = saved(rows.groupBy("k1", "k2").agg(F.min(_place()).alias("first")), "different")
     near = _near(texts, rows, different).withColumn("near", F.lit(True))
     fates = different.join(near, ["k1", "k2"], "left")
@@ -342,7 +342,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = (F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)) == gone["_doc"]) & (F.xxhash64(docs[text_col]) == gone["_mark"])
     met = docs.join(gone, same, "left").select(*(docs[c] for c in docs.columns), gone["_gone"].alias(free_name(docs, "gone")))
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
-    return met.mapInArrow(_cut(schema, docs.columns.index(text_col)), schema)
+    return met.mapInArrow(textkit.tidied(_cut(schema, docs.columns.index(text_col))), schema)
 
 
 def with_content(found: DataFrame, text_col: str = "text") -> DataFrame:

@@ -61,6 +61,14 @@ def release() -> None:
         trim(0)
 
 
+def tidied(run):
+    """`run`, a function of the batches of a task, with freed memory given back when the task ends."""
+    def whole(batches):
+        yield from run(batches)
+        release()
+    return whole
+
+
 def slabs(texts: pa.Array, size: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about `size` bytes: first text, end, bytes, offsets of the texts in them. Nulls are empty."""
     if texts.null_count:

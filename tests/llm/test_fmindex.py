@@ -75,3 +75,22 @@ def test_query_digest(spark, sf):
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, len(hit), len(names), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
     assert any(hit for _, hit, _ in want.values())
+
+
+def test_texts_are_cut_without_another_worker(spark):
+    rows = [(1, "über alles, wörter 日本 end", [(0, 0, 0, 5), (2, 3, 13, 27)]), (2, "abc", []), (3, None, []), (4, "all", [(0, 0, 0, 3)]),
+            (5, "one two three", [(1, 1, 4, 7)])]
+    span = "array<struct<first: long, last: long, start: long, end: long>>"
+    found = spark.createDataFrame(rows, f"doc_id long, text string, spans {span}").selectExpr("*", "0L AS n_words", "array('x') AS items")
+    out = fmindex.without_spans(found)
+    assert out.columns == ["doc_id", "text"] and "Python" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "InArrow" not in plan
+    want = {i: t if not s else "".join(p.decode() for p in pieces(t.encode(), s)) for i, t, s in rows}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+
+
+def pieces(raw, spans):
+    at = 0
+    for _, _, start, end in spans:
+        yield raw[at:start]
+        at = end
+    yield raw[at:]
