@@ -13,6 +13,7 @@ their token sets have Jaccard >= 0.40, or share a money token and a Latin-name t
    compared with the first `HEADS` undecided sets of its keys, and waits for what lies behind
    them only if a key holds more. Pairs stay within `HEADS` a set and key, and sets that merely
    share keys settle together; only a chain of true duplicates takes a round for two of its links.
+   Pairs that a map of their tokens rules out are dropped inside the join and never moved.
 """
 
 from __future__ import annotations
@@ -46,6 +47,20 @@ def needed_overlap(size_a: Column, size_b: Column) -> Column:
     return F.ceil(share * (size_a + size_b) - 1e-9).cast("int")
 
 
+def token_bits(tokens: Column) -> Column:
+    """A 64-bit map of the tokens' hashes."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(bit(t)))
+
+
+def may_match(key: Column, bits_a: Column, n_a: Column, bits_b: Column, n_b: Column) -> Column:
+    """Whether two sets that meet in `key` can be duplicates: each bit that only one side has is a token the other lacks.
+    Sets that share a couple meet in its own key, too, where nothing is ruled out."""
+    alone = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    shared = F.least(n_a - alone(bits_a, bits_b), n_b - alone(bits_b, bits_a))
+    return F.startswith(key, F.lit("$|")) | (shared >= needed_overlap(n_a, n_b))
+
+
 def rarest_first(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Reorder every token array by rising document frequency (ties by token)."""
     flat = sets.select("set_id", F.explode(tokens).alias("token"))
@@ -67,7 +82,7 @@ def size_classes(limit: int = 2**31 - 1) -> list[tuple[int, int]]:
 
 
 def join_keys(sets: DataFrame) -> DataFrame:
-    """(group, set_id, ord, key, side). Duplicates always share a key with opposite sides.
+    """(group, set_id, ord, bits, n, key, side). Duplicates always share a key with opposite sides.
 
     One set of keys per partner size class: the rarest tokens that a match with the smallest
     possible partner of the class cannot avoid. A small set thus offers its frequent tokens only
@@ -94,10 +109,9 @@ def join_keys(sets: DataFrame) -> DataFrame:
     money, names = F.filter("tokens", is_money_token), F.filter("tokens", is_name_token)
     couples = F.flatten(F.flatten(F.transform(money, lambda m: F.transform(names, lambda n: F.transform(
         F.array(F.lit(0), F.lit(1)), lambda s: F.struct(F.concat_ws("|", F.lit("$"), m, n).alias("key"), s.alias("side")))))))
-    ready = sets.withColumns({"partners": partners, "own": own})
-    return ready.select(
-        "group", "set_id", "ord", F.explode(F.concat(by_size, couples)).alias("k")
-    ).select("group", "set_id", "ord", "k.key", "k.side")
+    ready = sets.withColumns({"partners": partners, "own": own, "bits": token_bits(F.col("tokens")), "n": size})
+    carried = ["group", "set_id", "ord", "bits", "n"]
+    return ready.select(*carried, F.explode(F.concat(by_size, couples)).alias("k")).select(*carried, "k.key", "k.side")
 
 
 def behind_keys(live: DataFrame) -> DataFrame:
@@ -114,8 +128,10 @@ def behind_duplicates(live: DataFrame, tokens: DataFrame) -> DataFrame:
     """set_ids with an earlier duplicate among the first `HEADS` sets of a key, or with more earlier sets than these."""
     place = ["group", "key", "side"]
     heads = first_k(live, place, [F.col("ord")], HEADS + 1).select(
-        "group", "key", (1 - F.col("side")).alias("side"), F.col("set_id").alias("head"), F.col("ord").alias("at"), "pos")
-    ahead = live.join(heads, place).filter(F.col("at") < F.col("ord"))
+        "group", "key", (1 - F.col("side")).alias("side"), F.col("set_id").alias("head"), F.col("ord").alias("at"), "pos",
+        F.col("bits").alias("at_bits"), F.col("n").alias("at_n"))
+    near = may_match(*map(F.col, ("key", "bits", "n", "at_bits", "at_n")))
+    ahead = live.join(heads, place).filter((F.col("at") < F.col("ord")) & ((F.col("pos") > HEADS) | near))
     unsure = F.max((F.col("pos") > HEADS).cast("int")) == 1
     met = ahead.groupBy("set_id", "head").agg(unsure.alias("unsure"))
     compared = (
@@ -145,9 +161,11 @@ def surviving_sets(sets: DataFrame) -> DataFrame:
         survivors = new if survivors is None else survivors.unionByName(new)
 
         won = live.join(new, "set_id", "left_semi").select(
-            "group", "key", (1 - F.col("side")).alias("side"), F.col("set_id").alias("winner"), F.col("ord").alias("won"))
+            "group", "key", (1 - F.col("side")).alias("side"), F.col("set_id").alias("winner"), F.col("ord").alias("won"),
+            F.col("bits").alias("won_bits"), F.col("n").alias("won_n"))
         rest = live.join(new, "set_id", "left_anti")
-        met = rest.join(won, ["group", "key", "side"]).filter(F.col("won") < F.col("ord")).select("set_id", "winner").distinct()
+        near = may_match(*map(F.col, ("key", "bits", "n", "won_bits", "won_n")))
+        met = rest.join(won, ["group", "key", "side"]).filter((F.col("won") < F.col("ord")) & near).select("set_id", "winner").distinct()
         beaten = (
             met.join(tokens.withColumnRenamed("tokens", "a"), "set_id")
             .join(tokens.withColumnsRenamed({"set_id": "winner", "tokens": "b"}), "winner")
@@ -165,7 +183,7 @@ def keep_first(items: DataFrame, group: list[str], order: list[str], tokens: str
     filled = keyed.filter(F.size("_tokens") > 0)
     sets = filled.groupBy(F.struct(*group).alias("group"), F.col("_tokens").alias("tokens")).agg(
         F.min(rank).alias("ord")
-    ).withColumn("set_id", F.sha2(F.to_json(F.struct("group", "tokens")), 256))
+    ).withColumn("set_id", F.substring(F.unhex(F.sha2(F.to_json(F.struct("group", "tokens")), 256)), 1, 16))
     alive = surviving_sets(sets)
     winners = sets.join(alive, "set_id", "left_semi").select("group.*", F.col("ord").alias("_ord"))
     kept = filled.withColumn("_ord", rank).join(winners, [*group, "_ord"], "left_semi").drop("_ord")

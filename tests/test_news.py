@@ -241,6 +241,21 @@ def test_dedup_keys_with_more_sets_than_heads(spark, monkeypatch):
     assert {r["pos"] for r in similarity.keep_first(df, ["as_of"], ["pos"]).collect()} == greedy([r[1:] for r in rows])
 
 
+def test_pairs_are_ruled_out_before_they_are_moved(spark):
+    """Sets that share one frequent word are no candidates; true duplicates always are, by words or by a couple."""
+    rng = random.Random(7)
+    words = ["$5B", "nvidia", *[f"w{j}" for j in range(40)]]
+    sets = [sorted(set(rng.sample(words, rng.randint(1, 12)))) for _ in range(60)] + [["$5B", "nvidia", *[f"{c}{j}" for j in range(9)]] for c in "pq"]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(sets)], "i int, t array<string>")
+    side = lambda c: df.select(F.col("i").alias(f"i{c}"), F.col("t").alias(c), similarity.token_bits(F.col("t")).alias(f"b{c}"))
+    pairs = side("x").crossJoin(side("y")).filter("ix < iy")
+    may = lambda key: similarity.may_match(F.lit(key), F.col("bx"), F.size("x"), F.col("by"), F.size("y"))
+    told = pairs.select(similarity.is_duplicate(F.col("x"), F.col("y")).alias("same"), (similarity.jaccard(F.col("x"), F.col("y")) >= 0.4).alias("alike"),
+                        may("0/0|w").alias("word"), may("$|$5B|nvidia").alias("couple")).collect()
+    assert all(r["couple"] for r in told) and all(r["word"] for r in told if r["alike"]) and any(r["same"] and not r["alike"] for r in told)
+    assert sum(r["word"] for r in told) < 0.3 * len(told)
+
+
 def test_keys_grow_linearly(spark):
     sizes = [5, 50, 500, 5000]
     df = spark.createDataFrame([(0, str(n), n, [f"t{i}" for i in range(n)]) for n in sizes], "group int, set_id string, ord int, tokens array<string>")
