@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.text import cut_legal_suffix
+from barline.operators.ranking import written
 
 RUN = r"[A-Za-z0-9]+"
 WIDE = r"[^\x00-\x7F]{2,}"
@@ -23,23 +24,54 @@ def _neighbours(run: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
 
 
-def text_anchors(items: DataFrame, item_key: list[str], text: Column) -> DataFrame:
+def _place(value: Column, kind: str = "") -> Column:
+    return F.pmod(F.xxhash64(value, F.lit(kind)), F.lit(BITS))
+
+
+def bit_map(places: DataFrame) -> Column:
+    """The places (one column) as one value of `BITS` bits, whatever their number: 256 KB in longs."""
+    held = places.toDF("_p").select(F.expr("_p div 64").alias("_word"), F.expr("shiftleft(1L, cast(_p % 64 as int))").alias("_bits"))
+    every = places.sparkSession.range(BITS // 64).select(F.col("id").alias("_word"), F.lit(0).cast("bigint").alias("_bits"))
+    words = held.unionByName(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    ordered = words.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).alias("w"))
+    return ordered.select(F.col("w._bits")).scalar()
+
+
+def _held(bits: Column, place: Column) -> Column:
+    return F.call_function("bit_get", F.get(bits, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
+
+
+def anchor_map(patterns: DataFrame) -> Column:
+    """The anchors of the watch list as a bit map: whole anchors, first words of pairs, words in capitals."""
+    anchor = F.col("anchor")
+    pair, capitals = anchor.contains(" "), anchor.startswith("=")
+    return bit_map(patterns.select(
+        F.when(pair, _place(F.substring_index(anchor, " ", 1), " "))
+        .when(capitals, _place(F.substring(anchor, F.lit(2), F.length(anchor)), "=")).otherwise(_place(anchor))).dropna())
+
+
+def text_anchors(items: DataFrame, item_key: list[str], text: Column, patterns: DataFrame) -> DataFrame:
     """(item_key, anchor): whole ASCII words (lowered), pairs of neighbouring words, words in
-    capitals (`=NVDA`), runs of digits (`#2330`) and pairs of neighbouring wide characters."""
-    cut = items.select(
-        *item_key, F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("words"),
-        F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)).alias("digits"),
-        F.regexp_extract_all(F.lower(text), F.lit(WIDE), F.lit(0)).alias("wide"),
-    ).withColumn("low", F.transform("words", F.lower))
-    later = F.slice("low", 2, F.greatest(F.size("low") - 1, F.lit(0)))
-    earlier = F.slice("low", 1, F.greatest(F.size("low") - 1, F.lit(0)))
-    anchors = F.concat(
-        F.col("low"), F.zip_with(earlier, later, lambda a, b: F.concat_ws(" ", a, b)),
-        F.transform(F.filter("words", lambda w: w == F.upper(w)), lambda w: F.concat(F.lit("="), w)),
-        F.transform("digits", lambda d: F.concat(F.lit("#"), d)),
-        F.flatten(F.transform("wide", _neighbours)),
-    )
-    return cut.select(*item_key, F.explode(F.array_distinct(anchors)).alias("anchor"))
+    capitals (`=NVDA`), runs of digits (`#2330`) and pairs of neighbouring wide characters, as far as the watch list may
+    hold them: its bit map drops the rest, words and pairs before they are made. It lets a few others through, which
+    the join drops. An anchor may come more than once."""
+    listed = patterns.agg(F.max(F.col("anchor").startswith("#")).alias("digits"), F.max(F.col("anchor").rlike(WIDE)).alias("wide"))
+    has = lambda kind: F.coalesce(listed.select(kind).scalar(), F.lit(False))
+    none = F.array().cast("array<string>")
+    runs = lambda value, rule: F.regexp_extract_all(value, F.lit(rule), F.lit(0))
+    digits = F.when(has("digits"), F.transform(runs(text, r"\d+"), lambda d: F.concat(F.lit("#"), d)))
+    wide = F.when(has("wide"), F.flatten(F.transform(runs(F.lower(text), WIDE), _neighbours)))
+    cut = items.select(*item_key, F.concat(runs(text, RUN), F.coalesce(digits, none), F.coalesce(wide, none)).alias("_words"))
+    # Digits and wide characters follow the words; a pair across that seam is in no list.
+    later = F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0)))
+    words = cut.select(*item_key, F.inline(F.arrays_zip(F.col("_words").alias("_word"), later.alias("_next"))))
+    bits, word, low = anchor_map(patterns), F.col("_word"), F.lower("_word")
+    anchors = words.select(*item_key, F.explode(F.array(
+        F.when(_held(bits, _place(low)), low),
+        F.when(_held(bits, _place(low, " ")), F.concat(low, F.lit(" "), F.lower("_next"))),
+        F.when(_held(bits, _place(word, "=")), F.concat(F.lit("="), word)),
+    )).alias("anchor"))
+    return anchors.filter("anchor IS NOT NULL")
 
 
 def key_anchor(key: Column) -> Column:
@@ -55,17 +87,6 @@ def quoted(key: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def known_anchors(anchors: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Anchors that the watch list may hold: a bitmap in pieces of 32 kbit filters them before they are shuffled. It
-    lets a few others through, which the join drops."""
-    place = F.pmod(F.xxhash64("anchor"), F.lit(BITS))
-    pieces = patterns.select(place.alias("_p")).groupBy(F.expr("_p div 32768").alias("_piece")).agg(
-        F.expr("bitmap_construct_agg(_p % 32768)").alias("_bits"))
-    met = anchors.withColumn("_p", place).withColumn("_piece", F.expr("_p div 32768")).join(F.broadcast(pieces), "_piece")  # 256 KB at most
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).select(*anchors.columns)
-
-
 def watch_patterns(watchlist: DataFrame) -> DataFrame:
     """(ticker, pos, anchor, pattern): one row per alias, cleaned company name, bare ticker or digits.
 
@@ -92,25 +113,34 @@ def watch_patterns(watchlist: DataFrame) -> DataFrame:
 
 
 def tag_items(items: DataFrame, watchlist: DataFrame, item_key: list[str], limit: int = MAX_TAGS) -> DataFrame:
-    """Items plus `watch`: up to `limit` tickers in watch-list order; null where none match.
+    """Items plus `watch`: up to `limit` tickers in watch-list order; null where none match. `item_key` names an item.
 
     Only keys and anchors that the list may hold travel through the join; the text is read
-    again for the few candidates whose pattern has to be tried.
+    again for the few items with a pattern that has to be tried and could still change the result.
     """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
     patterns = watch_patterns(watchlist).withColumnRenamed("pos", "_order")
-    found = known_anchors(text_anchors(items, item_key, text), patterns).join(patterns, "anchor")
+    found = text_anchors(items, item_key, text, patterns).join(patterns, "anchor")
     hit = F.struct("_order", "ticker")
     grouped = found.groupBy(*item_key).agg(
         F.collect_set(F.when(F.col("pattern").isNull(), hit)).alias("_sure"),
         F.collect_set(F.when(F.col("pattern").isNotNull(), F.struct("_order", "ticker", "pattern"))).alias("_maybe"),
     )
-    tried = F.transform(
-        F.filter("_maybe", lambda m: F.call_function("rlike", text, m["pattern"])),
-        lambda m: F.struct(m["_order"].alias("_order"), m["ticker"].alias("ticker")))
-    hits = F.slice(F.array_sort(F.array_union("_sure", tried)), 1, limit)
-    return items.join(grouped, item_key, "left").withColumn(
-        "watch", F.when(F.size(hits) > 0, F.transform(hits, lambda h: h["ticker"]))).drop("_sure", "_maybe")
+    named = lambda m: F.struct(m["_order"].alias("_order"), m["ticker"].alias("ticker"))
+    # What is sure already, or comes after `limit` sure ones, need not be tried.
+    open_to = lambda sure: F.filter("_maybe", lambda m: ~F.array_contains(sure, named(m)) & (
+        (F.size(sure) < limit) | (named(m) < F.get(sure, F.lit(limit - 1)))))
+    both = F.transform(F.array(F.slice(F.sort_array("_sure"), 1, limit)), lambda sure: F.struct(sure.alias("_sure"), open_to(sure).alias("_maybe")))
+    decided = written(grouped.select(*item_key, F.inline(both)))  # read three times
+    opened = decided.filter(F.size("_maybe") > 0)
+    # Only texts of items with a name to try are moved; those that share a bit with one are dropped by the join.
+    place = F.pmod(F.xxhash64(*item_key), F.lit(BITS))
+    texts = items.select(*item_key, text.alias("_text")).filter(_held(bit_map(opened.select(place)), place))
+    met = F.filter("_maybe", lambda m: F.call_function("rlike", F.col("_text"), m["pattern"]))
+    tried = texts.join(opened, item_key).select(*item_key, F.explode_outer(F.array_union("_sure", F.transform(met, named))).alias("_hit")).groupBy(
+        *item_key).agg(F.slice(F.sort_array(F.collect_set("_hit")), 1, limit).alias("_hits"))
+    settled = decided.filter(F.size("_maybe") == 0).select(*item_key, F.col("_sure").alias("_hits")).unionByName(tried)
+    return items.join(settled, item_key, "left").withColumn("watch", F.when(F.size("_hits") > 0, F.col("_hits.ticker"))).drop("_hits")
 
 
 def watch_order(watchlist: DataFrame) -> DataFrame:

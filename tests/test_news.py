@@ -148,6 +148,17 @@ def test_tagging_matches_brute_force(spark):
         assert got[pos] == brute_tags(f"{title} {summary}"), (title, summary)
 
 
+def test_names_that_cannot_change_the_tags_are_not_tried(spark, monkeypatch):
+    """A pattern that does not compile stands for a text that is not read again."""
+    rules = [("A", 0, "alpha", None), ("A", 0, "alpha of", "("), ("B", 1, "beta", None), ("C", 2, "gamma", None), ("D", 3, "delta", None),
+             ("E", 4, "omega", "("), ("F", 5, "zeta of", "(?i)zeta of(?![a-z])"), ("G", 6, "=ZETA", None)]
+    frame = spark.createDataFrame(rules, "ticker string, pos int, anchor string, pattern string")
+    monkeypatch.setattr(tagging, "watch_patterns", lambda watchlist: frame)
+    items = [(1, "Alpha of beta, gamma, delta", "omega"), (2, "alpha of", None), (3, "ZETA of", "delta"), (4, "zeta. Of", None), (5, None, ""), (6, "Zeta of x alpha of", "")]
+    got = tagging.tag_items(spark.createDataFrame(items, "pos int, title string, summary string"), frame, ["pos"]).collect()
+    assert {r["pos"]: r["watch"] for r in got} == {1: ["A", "B", "C", "D"], 2: ["A"], 3: ["D", "F", "G"], 4: None, 5: None, 6: ["A", "F"]}
+
+
 def test_tagging_whole_documents(spark, sf):
     """The registered whole-text query against a word-set check."""
     watch = [r.asDict() for r in t.watchlist(spark, sf).collect()]
