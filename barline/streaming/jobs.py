@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -138,33 +139,100 @@ def newest_state(table: DataFrame, key: str = "symbol", version: tuple[str, ...]
 # ---- smoothed strength -----------------------------------------------------
 
 SMOOTHED = "ticker string, seq bigint, rs_1w bigint, rs_4w bigint, rs_13w bigint, late bigint"
+#: Names are dealt to this many states, by hash. A call of Python costs milliseconds, whatever it is for, so it
+#: advances a state's names together; the number is part of a checkpoint.
+BUCKETS = 1024
+PACKED_ROWS = 1 << 16  # about 64 snapshots an array, so that a batch of rows stays small
+PACKED = "bucket int, ticker array<string>, seq array<bigint>, " + ", ".join(f"{c} array<bigint>" for c in RAW)
+
+
+def _bucket(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
+
+
+def _packed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row a bucket, its snapshots in arrays, in the order they came."""
+    run = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    buckets = run.column("bucket").to_numpy()
+    order = np.argsort(buckets, kind="stable")
+    keys, firsts = np.unique(buckets[order], return_index=True)
+    offsets = pa.array(np.append(firsts, len(order)), pa.int32())
+    run = run.take(pa.array(order))
+    names = ["ticker", "seq", *RAW]
+    arrays = [pa.ListArray.from_arrays(offsets, run.column(c)) for c in names]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *arrays], names=["bucket", *names])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    run, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            run.append(batch)
+            size += batch.num_rows
+        if size >= PACKED_ROWS:
+            yield _packed(run)
+            run, size = [], 0
+    if run:
+        yield _packed(run)
+
+
+def _fold(raws: np.ndarray, follows: np.ndarray, counts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Smooth the snapshots (rows, in order of name and number) of names with `counts` rows each, all names a step at a
+    time. A row that `follows` goes on from the row before it, or from `before`, what its name came to."""
+    out = np.empty_like(raws)
+    by = np.argsort(-counts, kind="stable")
+    starts, counts, last = (np.cumsum(counts) - counts)[by], counts[by], before[by]
+    for step in range(counts[0]):
+        open_names = np.searchsorted(-counts, -step, side="left")
+        rows = starts[:open_names] + step
+        raw = raws[rows]
+        last = np.where(follows[rows, None], (8 * last[:open_names] + 2 * raw + 5) // 10, raw)
+        out[rows] = last
+    return out
 
 
 class SmoothState(StatefulProcessor):
-    """Keeps a name's last smoothed snapshot, in tenths, and how many snapshots came too late for it."""
+    """Keeps the last smoothed snapshot of each name of a bucket, in tenths, and how many snapshots came too late for it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq bigint, rs_1w bigint, rs_4w bigint, rs_13w bigint, late bigint")
+        self.last = handle.getListState("last", SMOOTHED)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        row = initialState.sort_values("seq").iloc[-1]
-        self.last.update((int(row["seq"]), *[int(row[c]) for c in SMOOTH], 0))
+        rows = initialState[["ticker", "seq", *SMOOTH]].itertuples(index=False)
+        self.last.appendList([(name, *map(int, row), 0) for name, *row in rows])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        # The snapshots of one name in one trigger, 32 bytes each: a trigger may bring them in any order.
-        raws = np.concatenate([batch[["seq", *RAW]].to_numpy("int64") for batch in rows])
-        held = self.last.get()
-        last, late = (list(held[:4]), held[4]) if held else (None, 0)
-        out = []
-        for seq, *raw in raws[np.argsort(raws[:, 0], kind="stable")].tolist():
-            if last is not None and seq <= last[0]:
-                late += 1  # it cannot change what was published
-                continue
-            follows = last is not None and seq == last[0] + 1
-            last = [seq, *[(8 * p + 2 * r + 5) // 10 if follows else r for p, r in zip(last[1:] if last else raw, raw)]]
-            out.append((key[0], *last, late))
-        self.last.update((*last, late))
-        yield pd.DataFrame(out, columns=["ticker", "seq", *SMOOTH, "late"])
+        # The snapshots of one bucket in one trigger, 40 bytes each: a trigger may bring them in any order.
+        arrays = pd.concat(list(rows))
+        column = lambda c: np.concatenate(arrays[c].to_list())
+        held = {row[0]: tuple(row[1:]) for row in sorted(self.last.get(), key=lambda row: row[1])}
+        name_of, names = pd.factorize(column("ticker"))
+        none = (np.iinfo("int64").min, 0, 0, 0, 0)
+        before = np.array([held.get(name, none) for name in names], "int64")
+        seq, raws = column("seq").astype("int64"), np.stack([column(c) for c in RAW], axis=1).astype("int64")
+        order = np.lexsort((seq, name_of))
+        name_of, seq, raws = name_of[order], seq[order], raws[order]
+
+        again = np.append(False, (name_of[1:] == name_of[:-1]) & (seq[1:] == seq[:-1]))
+        late = again | (seq <= before[name_of, 0])  # they cannot change what was published
+        n_late = np.cumsum(late)
+        first = np.searchsorted(name_of, np.arange(len(names)))
+        n_late += (before[:, 4] - n_late[first] + late[first])[name_of]
+
+        name_of, seq, raws, seen = name_of[~late], seq[~late], raws[~late], n_late[~late]
+        counts = np.bincount(name_of, minlength=len(names))
+        previous = np.append(0, seq[:-1])[:len(seq)]
+        begins = np.append(True, name_of[1:] != name_of[:-1])[:len(seq)]
+        previous[begins] = before[name_of[begins], 0]
+        smooth = _fold(raws, seq - 1 == previous, counts, before[:, 1:4])
+
+        after = before.copy()
+        some, ends = counts > 0, np.cumsum(counts) - 1
+        after[some, 0], after[some, 1:4] = seq[ends[some]], smooth[ends[some]]
+        after[:, 4] = n_late[np.append(first[1:], len(n_late)) - 1]
+        held.update(zip(names, map(tuple, after.tolist())))
+        self.last.put([(name, *row) for name, row in held.items()])
+        yield pd.DataFrame({"ticker": names[name_of], "seq": seq, **{c: smooth[:, i] for i, c in enumerate(SMOOTH)}, "late": seen})
 
     def close(self) -> None:
         pass
@@ -176,10 +244,11 @@ def smooth_states(snapshots: DataFrame, start: DataFrame | None = None) -> DataF
     `late` counts the name's snapshots dropped so far. `start` (ticker, seq, rs_* in tenths), as `smoothing.states_before`
     reads it, is what a new stream goes on from. Snapshots with a null count as absent.
     """
-    rows = snapshots.select("ticker", F.col("seq").cast("bigint").alias("seq"),
+    rows = snapshots.select(_bucket(F.col("ticker")).alias("bucket"), "ticker", F.col("seq").cast("bigint").alias("seq"),
                             *[tenths(F.col(c)).cast("bigint").alias(c) for c in RAW]).dropna()
-    held = None if start is None else start.select("ticker", *[F.col(c).cast("bigint").alias(c) for c in ("seq", *SMOOTH)]).groupBy("ticker")
-    out = rows.groupBy("ticker").transformWithStateInPandas(SmoothState(), SMOOTHED, "append", "None", held)
+    held = None if start is None else start.filter("ticker IS NOT NULL").select(
+        _bucket(F.col("ticker")).alias("bucket"), "ticker", *[F.col(c).cast("bigint").alias(c) for c in ("seq", *SMOOTH)]).groupBy("bucket")
+    out = rows.mapInArrow(_pack, PACKED).groupBy("bucket").transformWithStateInPandas(SmoothState(), SMOOTHED, "append", "None", held)
     return out.select("ticker", "seq", *[(F.col(c) / 10).alias(c) for c in SMOOTH], "late")
 
 

@@ -83,6 +83,38 @@ def test_smooth_state_equals_fold_and_drops_late(spark, tmp_path):
     assert key(out) == key(smoothing.smooth_history(spark.createDataFrame(rows, cols)))
 
 
+def one_by_one(triggers):
+    """What each name's snapshots come to, one name and one snapshot at a time."""
+    last, late, out = {}, {}, []
+    for rows in triggers:
+        for name, seq, *raw in sorted((r for r in rows if None not in r), key=lambda r: r[:2]):
+            if name in last and seq <= last[name][0]:
+                late[name] = late.get(name, 0) + 1
+                continue
+            follows = name in last and seq == last[name][0] + 1
+            tenths = [round(10 * x) for x in raw]
+            last[name] = [seq, *[(8 * p + 2 * r + 5) // 10 if follows else r for p, r in zip(last[name][1:] if follows else tenths, tenths)]]
+            out.append((name, seq, *[x / 10 for x in last[name][1:]], late.get(name, 0)))
+    return sorted(out)
+
+
+def test_smooth_states_of_many_names_share_a_call(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 3)
+    cols = "ticker string, seq int, raw_1w double, raw_4w double, raw_13w double"
+    rng = random.Random(5)
+    row = lambda name, seq: (name, seq, *[rng.randint(0, 1000) / 10 for _ in range(3)])
+    first = [row(f"n{n}", seq) for n in range(40) for seq in range(1, n + 2) if rng.random() < 0.9]
+    second = [row(f"n{n}", seq) for n in range(20, 50) for seq in range(max(n - 3, 1), n + 6)] + [("n1", 9, None, 1.0, 1.0), (None, 9, 1.0, 1.0, 1.0)]
+    third = [(f"n{n}", 1, 5.0, 5.0, 5.0) for n in range(30, 40)] + [(name, 60, 7.0, 8.0, 9.0) for name in ("n3", "n3", "n60")]  # late ones, one twice
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in (first, second, third):
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(source)
+        table = jobs.run_available(jobs.smooth_states(spark.readStream.schema(cols).parquet(source)), "s", out)
+    assert sorted(tuple(r) for r in table.select("ticker", "seq", *smoothing.SMOOTH, "late").collect()) == one_by_one((first, second, third))
+    assert state_rows(spark, out, "last").select("key").distinct().count() == 3
+
+
 def test_tumbling_bars_wait_for_the_watermark(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [("A", start + timedelta(hours=h), h, float(10 + h % 5), 1) for h in range(60)]
