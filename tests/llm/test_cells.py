@@ -59,3 +59,33 @@ def test_defined_cases(spark):
     rows = [(i, v, 1) for i, v in enumerate(odd)] + [(20, [1.0, 1.0], None), (None, [1.0, 1.0], 1), (9, [1.0, 1.0, 0.0], 1)] + [(i, [0.5, -0.5], 7) for i in range(100, 400)]
     assert run(spark, rows) == brute(rows)
     assert cells.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_a_dense_group_over_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 700)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=24)
+    rows = [(i, [float(y) for y in centre + rng.normal(size=24) * s], 4) for i, s in enumerate(rng.choice([0.05, 0.4, 2.0], 1500))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_row_is_moved_a_few_times(spark, monkeypatch):
+    # A label is four blocks here and a chunk: a row is held by one task and passes by those of the blocks before its own.
+    moved, compare = spark.sparkContext.accumulator(0), cells._compare
+
+    def counted(*given):
+        inner = compare(*given)
+
+        def run(batches):
+            def each():
+                for batch in batches:
+                    moved.add(len(batch))
+                    yield batch
+            yield from inner(each())
+        return run
+
+    monkeypatch.setattr(cells, "_compare", counted)
+    vectors = np.random.default_rng(6).normal(size=(20_000, 32))
+    df = spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    assert cells.near_duplicates(df).count() == len(vectors)
+    assert 0 < moved.value <= 4 * len(vectors)
