@@ -215,14 +215,14 @@ def vcp_score(spark, sf):
                       yes_no("trend_ok").alias("trend_ok"))
 
 
-def _screen_inputs(spark, sf):
-    bars = t.bars_smooth(spark, sf)
-    days = scr.newest_sessions(t.bars(spark, sf), 2)
-    return days, scr.rs_history(bars, days), contraction.contraction_score(bars, days)
+def _screen_inputs(spark, sf, made=None):
+    bars, dates = t.bars_smooth(spark, sf, made), t.bar_days(spark, sf)
+    days = scr.newest_sessions(dates, 2)
+    return days, scr.rs_history(bars, days, days=series.sessions(dates)), contraction.contraction_score(bars, days)
 
 
-def ranked_us(spark, sf):
-    days, rs, vcp = _screen_inputs(spark, sf)
+def ranked_us(spark, sf, made=None):
+    days, rs, vcp = _screen_inputs(spark, sf, made)
     return scr.latest_with_change(scr.screen_us(rs, vcp, t.universe(spark, sf)), days)
 
 
@@ -364,8 +364,9 @@ SELECT (SELECT string_agg(ticker, ',' ORDER BY rank) FROM chg WHERE rank <= 30)
 def result_document(spark, sf):
     from barline.sources.sinks import result_document as document
 
-    ranked = ranked_us(spark, sf)
-    doc = document(scr.top_n(ranked), scr.top_picks(ranked), sector_table(spark, sf), global_table(spark, sf))
+    bars = ranking.written(t.bars(spark, sf).drop("open"))  # strength, contraction and the markets read them
+    ranked = ranked_us(spark, sf, bars)
+    doc = document(scr.top_n(ranked), scr.top_picks(ranked), sector_table(spark, sf), global_table(spark, sf, bars))
     joined = lambda part, f: F.array_join(F.transform(part, f), ",")
     return doc.select(joined("top30", lambda r: r["ticker"]).alias("top30"),
                       joined("top_picks", lambda r: F.concat_ws(":", r["direction"], r["ticker"])).alias("picks"))
@@ -466,11 +467,14 @@ GLOBAL_CTES = ["bars", "bench", "bench13", s.values("markets", "pos, ticker, nam
                GROUP_RET, "today", "raw"]
 
 
-def global_table(spark, sf):
-    bars = t.bars(spark, sf)
+def global_table(spark, sf, made=None):
+    bars = t.bars(spark, sf) if made is None else made
     markets = dims.literal_frame(spark, MARKETS, "pos int, symbol string, name string")
     home = t.table(spark, sf, "supplier").select(t.ticker_of(F.col("s_suppkey")).alias("ticker"), F.col("s_nationkey").alias("pos"))
-    index = bars.join(home, "ticker").groupBy("pos", "dt").agg(rnd(F.avg("close"), 4).alias("close"))
+    # Bars without a home stay, under a place that no market has: so these are the bars that the benchmark takes, which
+    # are moved once for both.
+    placed = bars.join(home, "ticker", "left").select(F.coalesce("pos", F.lit(-1)).alias("pos"), "dt", "close")
+    index = placed.groupBy("pos", "dt").agg(rnd(F.avg("close"), 4).alias("close"))
     closes = index.join(markets, "pos").select("symbol", "dt", "close")
     return scr.group_ranking(closes, markets, t.benchmark_closes(bars), "symbol")
 

@@ -5,6 +5,8 @@ Percentiles carry one decimal, so a step is exact integer arithmetic in tenths.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ ALPHA_TENTHS = 2  # weight of the new value, in tenths
 RAW = ["raw_1w", "raw_4w", "raw_13w"]
 SMOOTH = ["rs_1w", "rs_4w", "rs_13w"]
 BLOCK = 48
+#: Sessions before the first wanted one from which the newest states are tried; each further try takes `WIDER` times as many.
+WINDOW = 320
+WIDER = 4
+#: A share in tenths of a percent lies between these, and so does all that shares are smoothed to.
+LEAST, MOST = 0, 1000
 
 
 def tenths(value: Column) -> Column:
@@ -87,6 +94,39 @@ def smooth_history(rows: DataFrame, keep_last: int | None = None, carry: tuple[s
     )
 
 
+def smooth_newest(rows: DataFrame, as_of: list[date], before: int, carry: tuple[str, ...]) -> DataFrame:
+    """The snapshots of `as_of` as `smooth_history` has them, from the rows of the snapshots behind number `before` alone:
+    (ticker, seq, rs_*, carry, settled).
+
+    A step never falls as the state before it rises, and a name that was absent goes on as if its state had been its own
+    share. So the fold is done from the least and from the most that the state can be at `before`: where both come to the
+    same, so does the true one, and the row is `settled`. Others need more rows. With `before` at 0 there is no state before.
+    """
+    raw = [tenths(F.col(c)).alias(c) for c in RAW]
+    entry = F.struct(F.col("seq").cast("int").alias("seq"), *raw, *carry)
+    history = rows.repartition(shuffle_partitions(rows.sparkSession), "ticker").groupBy("ticker").agg(
+        F.sort_array(F.collect_list(entry)).alias("rows"))
+    bounds = {"low": LEAST, "high": MOST}
+    names = [f"{bound}_{s}" for bound in bounds for s in SMOOTH]
+    state = F.struct(F.lit(before).alias("seq"), *[
+        F.lit(value if before else None).cast("int").alias(f"{bound}_{s}") for bound, value in bounds.items() for s in SMOOTH])
+    none = F.array().cast(f"array<struct<seq:int,{','.join(f'{n}:int' for n in names)}>>")
+    is_wanted = lambda row: F.coalesce(row["as_of"].isin(as_of), F.lit(False))
+
+    def advance(done: Column, row: Column) -> Column:
+        follows = done["state"]["seq"] == row["seq"] - 1
+        now = F.struct(row["seq"].alias("seq"), *[
+            _step_tenths(F.when(follows, done["state"][n]), row[r]).alias(n) for n, r in zip(names, RAW * len(bounds))])
+        return F.struct(now.alias("state"), F.when(is_wanted(row), F.concat(done["kept"], F.array(now))).otherwise(done["kept"]).alias("kept"))
+
+    kept = F.aggregate("rows", F.struct(state.alias("state"), none.alias("kept")), advance)["kept"]
+    both = F.arrays_zip(kept.alias("s"), F.filter("rows", is_wanted).alias("r"))
+    settled = [F.col(f"x.s.low_{s}").eqNullSafe(F.col(f"x.s.high_{s}")) for s in SMOOTH]
+    return history.select("ticker", F.explode(both).alias("x")).select(
+        "ticker", "x.s.seq", *[(F.col(f"x.s.low_{s}") / 10).alias(s) for s in SMOOTH], *[F.col(f"x.r.{c}") for c in carry],
+        (settled[0] & settled[1] & settled[2]).alias("settled"))
+
+
 # ---- states that are kept ------------------------------------------------------------------------------------------
 
 STATE = "ticker string, rs_1w int, rs_4w int, rs_13w int, seq int"

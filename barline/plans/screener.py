@@ -81,19 +81,33 @@ def session_numbers(calendar: DataFrame) -> DataFrame:
 
 
 def rs_history(
-    bars: DataFrame, as_of: list[date] | None = None, min_bars: int = contraction.MIN_BARS, carry: tuple[str, ...] = CARRY
+    bars: DataFrame, as_of: list[date] | None = None, min_bars: int = contraction.MIN_BARS, carry: tuple[str, ...] = CARRY,
+    days: DataFrame | None = None
 ) -> DataFrame:
-    """Smoothed relative strength over all sessions of the bars, or the newest ones in `as_of`.
+    """Smoothed relative strength over all sessions of the bars, or the newest ones in `as_of`. `days` (as_of) are the
+    sessions of the bars, where they are at hand.
 
     A snapshot holds the names that also have a contraction score, so the chain starts at
     `min_bars` bars.
+
+    What a session was worth fades from the states. So the newest ones are tried from the `smoothing.WINDOW` sessions
+    before them, whatever the states were there; while that leaves a name undecided, the sessions are more, at last all.
     """
-    calendar = session_numbers(series.sessions(bars))  # the fill brings seq along
-    members = rs_at_sessions(bars, calendar).filter(F.col("n_bars") >= min_bars)
-    if as_of:  # what a session that is not asked for would carry is dead weight on its way to the fold
+    calendar = session_numbers(series.sessions(bars) if days is None else days)  # the fill brings seq along
+    if not as_of:
+        members = rs_at_sessions(bars, calendar).filter(F.col("n_bars") >= min_bars)
+        return smoothing.smooth_history(members, None, carry)
+    first = calendar.filter(F.col("as_of").isin(as_of)).agg(F.min("seq")).first()[0] or 0
+    width = smoothing.WINDOW
+    while True:
+        before = max(first - 1 - width, 0)
+        members = rs_at_sessions(bars, calendar.filter(F.col("seq") > before)).filter(F.col("n_bars") >= min_bars)
+        # What a session that is not asked for would carry is dead weight on its way to the fold.
         members = members.withColumns({c: F.when(F.col("as_of").isin(as_of), F.col(c)) for c in carry if c != "as_of"})
-    smooth = smoothing.smooth_history(members, len(as_of) if as_of else None, carry)
-    return smooth.filter(F.col("as_of").isin(as_of)) if as_of else smooth
+        smooth = ranking.written(smoothing.smooth_newest(members, as_of, before, carry))
+        if not before or smooth.filter(~F.col("settled")).isEmpty():
+            return smooth.drop("settled")
+        width *= smoothing.WIDER
 
 
 def advance_strength(

@@ -58,8 +58,14 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bars_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with a 60-row trailing mean price, so that pullbacks look like real ones."""
+def bar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dt): the days of all bars, which are those of the order lines, without making the bars."""
+    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("dt")).distinct()
+
+
+def bars_smooth(spark: SparkSession, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
+    """Bars with a 60-row trailing mean price, so that pullbacks look like real ones. `made` are the bars, where they are
+    at hand."""
     days = W.partitionBy("ticker").orderBy("dt")
     prices = ["high", "low", "close"]
     # Running totals in whole ten-thousandths: exact, and linear where a sliding mean is not.
@@ -67,7 +73,7 @@ def bars_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = F.least(F.row_number().over(days), F.lit(60))
     means = {c: rnd((F.col(f"_{c}") - F.coalesce(F.lag(f"_{c}", 60).over(days), F.lit(0))) / width / 10000, 4) for c in prices}
     # One spread by ticker serves this window and all array work that follows.
-    spread = bars(spark, sf_dir).repartition(shuffle_partitions(spark), "ticker")
+    spread = (bars(spark, sf_dir) if made is None else made).repartition(shuffle_partitions(spark), "ticker")
     return spread.withColumns(totals).withColumns(means).drop(*totals)
 
 

@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from barline.operators import contraction, smoothing
+from barline.operators import contraction, series, smoothing
 from barline.plans import screener as scr
 
 
@@ -221,3 +221,41 @@ def test_kept_states_restart_anywhere(spark, tmp_path):
     assert got == whole
     assert smoothing.states_before(spark, folder, 60)[0] == 48
     assert {r.seq for r in spark.read.parquet(folder).select("seq").distinct().collect()} == {48, 96, 99, 100, 101, 120}
+
+
+def test_newest_snapshots_are_told_from_those_before(spark):
+    """From any number on, a settled row is that of the whole history; a share that stands still settles nothing."""
+    rng, day = random.Random(6), date(2024, 1, 1)
+    rows = [(t, k, day + timedelta(days=k), *[rng.randint(0, 1000) / 10 if t != "still" else 40.0 for _ in range(3)])
+            for t in ("a", "b", "c", "gap", "new", "still", "none") for k in range(1, 161) if not (t == "gap" and k in (150, 159)) and not (t == "new" and k < 155)]
+    rows = [r if r[0] != "none" or r[1] != 157 else (*r[:3], None, r[4], r[5]) for r in rows]
+    df = spark.createDataFrame(rows, "ticker string, seq int, as_of date, raw_1w double, raw_4w double, raw_13w double")
+    wanted = [day + timedelta(days=159), day + timedelta(days=160)]
+    key = lambda out: {(r.ticker, r.seq): (r.as_of, r.rs_1w, r.rs_4w, r.rs_13w) for r in out.collect()}
+    whole = key(smoothing.smooth_history(df, None, ("as_of",)).filter(F.col("as_of").isin(wanted)))
+    for before in (0, 20, 140, 157):
+        out = smoothing.smooth_newest(df.filter(F.col("seq") > before), wanted, before, ("as_of",))
+        settled = key(out.filter("settled"))
+        assert settled.items() <= whole.items() and len(key(out)) == len(whole) == 13
+        names = {t for t, _ in settled}
+        assert "gap" in names and ("still" in names) == (before == 0) and ("new" in names or before > 154)
+        assert before > 20 or {"a", "b", "c", "none"} <= names
+        assert before < 157 or "a" not in names
+
+
+@pytest.mark.parametrize("width,tries", [(90, 1), (3, 4)])
+def test_newest_strength_reads_few_sessions(spark, monkeypatch, width, tries):
+    """The newest sessions come to what the whole history has for them, and only as many are ranked as that takes."""
+    rng = random.Random(8)
+    bars = [(f"t{t}", date(2024, 1, 1) + timedelta(days=d), rng.uniform(5, 50)) for t in range(12) for d in range(260) if t or d % 3]
+    df = spark.createDataFrame(bars, "ticker string, dt date, close double")
+    days = scr.newest_sessions(df, 2)
+    whole = scr.rs_history(df, min_bars=70).filter(F.col("as_of").isin(days))
+    asked, at_sessions = [], scr.rs_at_sessions
+    monkeypatch.setattr(scr, "rs_at_sessions", lambda bars, calendar: asked.append(calendar.count()) or at_sessions(bars, calendar))
+    monkeypatch.setattr(smoothing, "WINDOW", width, raising=False)
+    got = scr.rs_history(df, days, min_bars=70)
+    key = lambda out: sorted(tuple(r) for r in out.select("ticker", "seq", "as_of", *smoothing.SMOOTH, "close", "ret_13w").collect())
+    assert key(got) == key(whole) and len(key(got)) == 24
+    assert asked[0] == width + 2 and len(asked) <= tries and max(asked) < 260
+    assert key(scr.rs_history(df, days, min_bars=70, days=series.sessions(df))) == key(whole)
